@@ -121,7 +121,10 @@ def slice_rows(
 
 
 def file_checks(df: DataFrame, expected_sr: int = 16000, min_duration: float = 0.5, max_duration: float = 30.0) -> DataFrame:
-    """Add ``errors`` and ``passed`` to file metadata; a row without metadata is an unreadable file."""
+    """Add ``errors`` and ``passed`` to file metadata; a row without metadata is an unreadable file.
+
+    Seconds in messages have two digits, decimal halves rounded up.
+    """
     sr, ch, dur = F.col("sample_rate"), F.col("channels"), F.col("duration_sec")
     unreadable = sr.isNull() | ch.isNull() | dur.isNull()
     seconds = F.format_string("%.2f", dur)

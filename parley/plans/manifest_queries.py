@@ -97,8 +97,8 @@ def _(spark, d):
 CHECKED = """checked AS (SELECT path, CASE WHEN sample_rate IS NULL THEN ['unreadable file'] ELSE list_filter([
       CASE WHEN sample_rate <> 16000 THEN 'sample_rate ' || sample_rate || ' != expected 16000' END,
       CASE WHEN channels <> 1 THEN 'channels ' || channels || ' != 1 (mono)' END,
-      CASE WHEN duration_sec < 0.5 THEN 'duration ' || printf('%.2f', duration_sec) || 's < min 0.5s' END,
-      CASE WHEN duration_sec > 30 THEN 'duration ' || printf('%.2f', duration_sec) || 's > max 30.0s' END], lambda e: e IS NOT NULL) END AS errors FROM meta)"""
+      CASE WHEN duration_sec < 0.5 THEN 'duration ' || printf('%.2f', round(duration_sec, 2)) || 's < min 0.5s' END,
+      CASE WHEN duration_sec > 30 THEN 'duration ' || printf('%.2f', round(duration_sec, 2)) || 's > max 30.0s' END], lambda e: e IS NOT NULL) END AS errors FROM meta)"""
 
 
 @query("file_checks", sql("meta", "SELECT path, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS passed FROM checked", CHECKED))
