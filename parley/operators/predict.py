@@ -31,9 +31,8 @@ def predict_column(df: DataFrame, fn: Callable[..., Sequence], inputs: Sequence[
     names = list(inputs)
 
     @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in batches:
-            pdf = pd.DataFrame(dict(zip(names, cols)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in batches:
             try:
                 got = list(fn(pdf))
             except Exception:
@@ -46,7 +45,7 @@ def predict_column(df: DataFrame, fn: Callable[..., Sequence], inputs: Sequence[
             got = (got + [""] * len(pdf))[: len(pdf)]
             yield pd.Series([str("" if g is None else g).strip() for g in got])
 
-    return df.withColumn(out, run(*[F.col(c) for c in names]))
+    return df.withColumn(out, run(F.struct(*names)))
 
 
 def skip_or_call(

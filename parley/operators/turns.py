@@ -135,3 +135,12 @@ def new_only(df: DataFrame, count: str, session: str = "session", order: str = "
     prev = OrderedScan(df, [session], [order]).lag("_before", F.col(count)).result()
     fresh = F.col(count) - F.coalesce(F.col("_before"), F.lit(0))
     return prev.withColumn("new", fresh).filter(F.col("new") > 0).drop("_before")
+
+
+def session_gaps(df: DataFrame, gap_us: int, session: str = "session", at: str = "pos") -> DataFrame:
+    """Rows, first and last time per stretch of a session without a gap of ``gap_us`` or more (batch form of session windows)."""
+    prev = OrderedScan(df, [session], [at]).lag("_before", F.col(at)).result(keep_slab=True)
+    opens = F.col("_before").isNull() | (F.col(at) - F.col("_before") >= gap_us)
+    numbered = OrderedScan(prev.withColumn("_opens", opens.cast("int")), [session], [at]).running_sum("_w", F.col("_opens")).result()
+    return numbered.groupBy(session, "_w").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("_w")

@@ -214,17 +214,17 @@ def chrf_ctes(src: str, key: str, by: str = "") -> list[str]:
     group = f"{by}, " if by else ""
     n = "(VALUES (1), (2), (3), (4), (5), (6)) v(n)"
     gram = lambda side: (
-        f"SELECT {key}, n, g, count(*) AS c FROM (SELECT {key}, n, unnest(list_transform(range(1, len({side}) - n + 2), "
-        f"lambda i: array_to_string({side}[i:i + n - 1], ''))) AS g FROM chrf_tok, {n}) GROUP BY ALL")
-    chars = lambda c: rf"list_filter(string_split(regexp_replace(COALESCE({c}, ''), '\s', '', 'g'), ''), lambda x: x <> '')"
+        f"SELECT {key}, n, g, count(*) AS c FROM (SELECT {key}, n, unnest(list_transform(range(1, length({side}) - n + 2), "
+        f"lambda i: substr({side}, i, n))) AS g FROM chrf_tok, {n}) GROUP BY ALL")
+    chars = lambda c: rf"regexp_replace(COALESCE({c}, ''), '\s', '', 'g')"
     join = " AND ".join(f"h.{k.strip()} = r.{k.strip()}" for k in key.split(","))
     keys = ", ".join(f"h.{k.strip()}" for k in key.split(","))
     return [
         f"chrf_tok AS (SELECT {key}, {group}{chars('ref')} AS r, {chars('hyp')} AS h FROM {src})",
         f"chrf_h AS ({gram('h')})", f"chrf_r AS ({gram('r')})",
         f"chrf_m AS (SELECT {keys}, h.n, sum(least(h.c, r.c)) AS m FROM chrf_h h JOIN chrf_r r ON {join} AND h.n = r.n AND h.g = r.g GROUP BY ALL)",
-        f"chrf_long AS (SELECT {key}, {group}n, CASE WHEN len(r) >= n THEN greatest(len(h) - n + 1, 0) ELSE 0 END AS ht, "
-        f"greatest(len(r) - n + 1, 0) AS rt, COALESCE(m, 0) AS m FROM chrf_tok CROSS JOIN {n} LEFT JOIN chrf_m USING ({key}, n))",
+        f"chrf_long AS (SELECT {key}, {group}n, CASE WHEN length(r) >= n THEN greatest(length(h) - n + 1, 0) ELSE 0 END AS ht, "
+        f"greatest(length(r) - n + 1, 0) AS rt, COALESCE(m, 0) AS m FROM chrf_tok CROSS JOIN {n} LEFT JOIN chrf_m USING ({key}, n))",
     ]
 
 

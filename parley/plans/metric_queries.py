@@ -41,12 +41,12 @@ def _(spark, d):
     return rounded(scoring.wer_setdiff(pairs(spark, d), ["dataset"]))
 
 
-# Edit distance over whole texts: one row of the distance table per reference word and pair.  The
-# new row is the running minimum over (cost - position) plus position.
+# Edit distance over whole texts: one row of the distance table per reference word and pair; the
+# reduce carries the left neighbour along the row.
 EDITS = f"""w AS (SELECT conv_id, turn, dataset, {sql_words('ref')} AS r, {sql_words('hyp')} AS h FROM pairs),
     dp(conv_id, turn, i, line) AS (
       SELECT conv_id, turn, 0, range(0, len(h) + 1) FROM w
-      UNION ALL SELECT conv_id, turn, i, list_transform(costs, lambda c, j: list_min(list_transform(costs[1:j], lambda x, k: x - k)) + j) FROM (
+      UNION ALL SELECT conv_id, turn, i, list_reduce(list_transform(costs, lambda c: [c]), lambda a, b: list_append(a, least(b[1], a[-1] + 1))) FROM (
         SELECT p.conv_id, p.turn, p.i + 1 AS i, list_transform(p.line, lambda c, j: CASE WHEN j = 1 THEN c + 1
             ELSE least(c + 1, p.line[j - 1] + CASE WHEN w.h[j - 1] = w.r[p.i + 1] THEN 0 ELSE 1 END) END) AS costs
         FROM dp p JOIN w ON w.conv_id = p.conv_id AND w.turn = p.turn WHERE p.i < len(w.r)))"""
@@ -65,10 +65,12 @@ def _(spark, d):
     return scoring.match_by_length(pairs(spark, d))
 
 
-@query("score_histogram", sql("pairs", """, st AS (SELECT least(30, greatest(10, count(*) // 5)) AS bins, min(f1) AS lo, max(f1) AS hi FROM f1),
-    b AS (SELECT unnest(range(0, bins)) AS bin, lo, (hi - lo) / bins AS width, bins FROM st)
-    SELECT b.bin, round(lo + width * b.bin, 6) AS left_edge, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM b LEFT JOIN (
-      SELECT least(CAST(floor((f1 - lo) / ((hi - lo) / bins)) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM f1, st GROUP BY 1) c ON c.bin = b.bin""".removeprefix(", "), F1).replace("f1 AS (SELECT *", "f1 AS (SELECT *", 1))
+BINS = """st AS (SELECT least(30, greatest(10, count(*) // 5)) AS bins, min(f1) AS lo, max(f1) AS hi FROM f1),
+    b AS (SELECT unnest(range(0, bins)) AS bin, lo, (hi - lo) / bins AS width, bins FROM st)"""
+
+
+@query("score_histogram", sql("pairs", """SELECT b.bin, round(lo + width * b.bin, 6) AS left_edge, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM b LEFT JOIN (
+      SELECT least(CAST(floor((f1 - lo) / ((hi - lo) / bins)) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM f1, st GROUP BY 1) c ON c.bin = b.bin""", F1, BINS))
 def _(spark, d):
     p = pairs(spark, d).withColumn("f1", M.token_f1(F.col("ref"), F.col("hyp")))
     return rounded(scoring.score_histogram(p, "f1"))
@@ -305,10 +307,12 @@ def _(spark, d):
     return rounded(predict.ablation_delta(p, ["conv_id", "turn"], lower, "src", "ref"))
 
 
-@query("quartile_means", sql("pairs terms", f""", q AS (SELECT *, greatest(len({sql_words('ref')}), 1) AS wc, EXISTS (SELECT 1 FROM terms WHERE contains(lower(ref), term)) AS has_term FROM f1),
+STRATA = f"""q AS (SELECT *, greatest(len({sql_words('ref')}), 1) AS wc, EXISTS (SELECT 1 FROM terms WHERE contains(lower(ref), term)) AS has_term FROM f1),
     e AS (SELECT list_distinct(quantile_cont(wc, [0, 0.25, 0.5, 0.75, 1])) AS edges FROM q),
-    b AS (SELECT q.*, CASE WHEN len(edges) < 2 THEN 'all' ELSE 'q' || greatest(len(list_filter(edges, lambda x: x < wc)), 1) END AS bucket FROM q, e)
-    SELECT stratum, value, count(*) AS n, round(avg(f1), 6) AS mean FROM (SELECT 'length' AS stratum, bucket AS value, f1 FROM b UNION ALL SELECT 'glossary', CAST(has_term AS VARCHAR), f1 FROM b UNION ALL SELECT 'emotion', emotion, f1 FROM b) GROUP BY 1, 2""".removeprefix(", "), F1))
+    b AS (SELECT q.*, CASE WHEN len(edges) < 2 THEN 'all' ELSE 'q' || greatest(len(list_filter(edges, lambda x: x < wc)), 1) END AS bucket FROM q, e)"""
+
+
+@query("quartile_means", sql("pairs terms", """SELECT stratum, value, count(*) AS n, round(avg(f1), 6) AS mean FROM (SELECT 'length' AS stratum, bucket AS value, f1 FROM b UNION ALL SELECT 'glossary', CAST(has_term AS VARCHAR), f1 FROM b UNION ALL SELECT 'emotion', emotion, f1 FROM b) GROUP BY 1, 2""", F1, STRATA))
 def _(spark, d):
     p = glossary.with_glossary_flag(pairs(spark, d), terms(spark, d), ["conv_id", "turn"])
     p = p.withColumns({"f1": M.token_f1(F.col("ref"), F.col("hyp")), "wc": F.greatest(F.size(M.words(F.col("ref"))), F.lit(1))})

@@ -39,7 +39,8 @@ def run_state(
         held.update((*current, last))
         if idle_ms is not None:
             held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + idle_ms)
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
     return stream.groupBy(key).applyInPandasWithState(fold, out, schema, "append", timeout)
