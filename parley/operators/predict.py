@@ -71,7 +71,11 @@ def with_defaults(configs: Sequence[dict], overrides: dict | None = None) -> lis
 
 def load_configs(spark: SparkSession, path: str, overrides: dict | None = None) -> DataFrame:
     """One row per ``*.yaml`` file of flat ``key: value`` lines, with defaults and overrides."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path)
+    return parse_configs(spark.read.text(path, wholetext=True, pathGlobFilter="*.yaml"), overrides)
+
+
+def parse_configs(files: DataFrame, overrides: dict | None = None) -> DataFrame:
+    """Configs out of whole file texts (column ``value``)."""
 
     def value(key: str) -> Column:
         raw = F.regexp_extract("value", rf"(?m)^{key}:[ \t]*[\"']?([^\"'#\r\n]*)", 1)
