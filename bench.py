@@ -3,7 +3,7 @@
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_RUNS     timed runs per query after one warm-up (default 3, the median counts)
-BENCH_QUERIES  space-separated names (default: all)
+BENCH_QUERIES  space-separated names, or ``all`` (default: the headline queries)
 """
 
 from __future__ import annotations
@@ -18,11 +18,22 @@ from parley.plans import catalog
 from parley.session import build_session
 
 
+# One or two per operator family.
+HEADLINE = """
+slice_counts numeric_profile expectations anomaly_report speaker_split combine_inputs unique_names manifest_file_diff
+infer_fields parse_tagged_lines token_f1 exact_match wer corpus_bleu chrf glossary_hits group_metrics disparities
+config_search validation_table quartile_means leave_one_out turns speaker_summary interval_overlap utterances
+emit_on_change active_config normalize_loudness noise_profile trim_silence utterance_stream session_windows gates
+""".split()
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    names = os.environ.get("BENCH_QUERIES", "").split() or list(catalog.QUERIES)
+    names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
+    if names == ["all"]:
+        names = list(catalog.QUERIES)
     spark = build_session(
         "parley-bench", f"local[{cpus}]",
         **{

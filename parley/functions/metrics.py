@@ -8,12 +8,11 @@ per group.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from parley.functions.text import SPACE, norm_text, squeeze_spaces, words
+from parley.functions.text import SPACE, let, norm_text, squeeze_spaces, words
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
@@ -28,14 +27,6 @@ PERIOD_BEFORE_NON_DIGIT = r"([\.,])([^0-9])"
 DASH_AFTER_DIGIT = r"([0-9])(-)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it in ``body``.
-
-    Inside a lambda an expression is evaluated per element; a bound value is evaluated per row.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def tokens_13a(c: Column) -> Column:
     """Tokens of the 13a scheme, separated by single spaces."""
     t = F.coalesce(c, F.lit(""))
@@ -66,12 +57,13 @@ def _clipped(hyp, ref, n: int) -> int:
 @F.pandas_udf(LONGS)
 def _token_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     rows = ((h.split(), r.split()) for h, r in zip(hyp, ref))
-    return pd.Series([[_clipped(h, r, n) for n in range(1, BLEU_ORDER + 1)] for h, r in rows])
+    return pd.Series([[*(_clipped(h, r, n) for n in range(1, BLEU_ORDER + 1)), len(h), len(r)] for h, r in rows])
 
 
 @F.pandas_udf(LONGS)
 def _char_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([[_clipped(h, r, n) for n in range(1, CHRF_ORDER + 1)] for h, r in zip(hyp, ref)])
+    rows = zip(hyp, ref)
+    return pd.Series([[*(_clipped(h, r, n) for n in range(1, CHRF_ORDER + 1)), len(h), len(r)] for h, r in rows])
 
 
 def _left(n: Column, order: int) -> Column:
@@ -80,14 +72,11 @@ def _left(n: Column, order: int) -> Column:
 
 def with_bleu_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """Add the row statistics of BLEU: matches and totals per order, both lengths."""
-    toks = df.withColumns({"_h": tokens_13a(F.col(hyp)), "_r": tokens_13a(F.col(ref))})
-    counted = toks.withColumns(
-        {"_m": _token_overlaps("_h", "_r"), "bleu_hyp": F.size(words(F.col("_h"))).cast("long"),
-         "bleu_ref": F.size(words(F.col("_r"))).cast("long")}
-    )
-    out = {f"bleu_m{n}": F.col("_m")[n - 1] for n in range(1, BLEU_ORDER + 1)}
-    out |= {f"bleu_t{n}": _left(F.col("bleu_hyp"), n) for n in range(1, BLEU_ORDER + 1)}
-    return counted.withColumns(out).drop("_h", "_r", "_m")
+    m = F.col("_m")
+    out = {f"bleu_m{n}": m[n - 1] for n in range(1, BLEU_ORDER + 1)}
+    out |= {f"bleu_t{n}": _left(m[BLEU_ORDER], n) for n in range(1, BLEU_ORDER + 1)}
+    out |= {"bleu_hyp": m[BLEU_ORDER], "bleu_ref": m[BLEU_ORDER + 1]}
+    return df.withColumn("_m", _token_overlaps(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref)))).withColumns(out).drop("_m")
 
 
 BLEU_STATS = [f"bleu_{k}{n}" for k in "mt" for n in range(1, BLEU_ORDER + 1)] + ["bleu_hyp", "bleu_ref"]
@@ -96,15 +85,13 @@ CHRF_STATS = [f"chrf_{k}{n}" for k in "mhr" for n in range(1, CHRF_ORDER + 1)]
 
 def with_chrf_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """Add the row statistics of chrF: matches, hypothesis and reference n-grams per order."""
-    squeezed = df.withColumns({"_h": no_spaces(F.col(hyp)), "_r": no_spaces(F.col(ref))})
-    counted = squeezed.withColumn("_m", _char_overlaps("_h", "_r"))
-    out = {}
+    m, out = F.col("_m"), {}
     for n in range(1, CHRF_ORDER + 1):
-        ref_n = _left(F.length("_r"), n)
-        out[f"chrf_m{n}"] = F.col("_m")[n - 1]
-        out[f"chrf_h{n}"] = F.when(ref_n > 0, _left(F.length("_h"), n)).otherwise(F.lit(0).cast("long"))
+        ref_n = _left(m[CHRF_ORDER + 1], n)
+        out[f"chrf_m{n}"] = m[n - 1]
+        out[f"chrf_h{n}"] = F.when(ref_n > 0, _left(m[CHRF_ORDER], n)).otherwise(F.lit(0).cast("long"))
         out[f"chrf_r{n}"] = ref_n
-    return counted.withColumns(out).drop("_h", "_r", "_m")
+    return df.withColumn("_m", _char_overlaps(no_spaces(F.col(hyp)), no_spaces(F.col(ref)))).withColumns(out).drop("_m")
 
 
 def bleu_score(prefix: str = "bleu_", effective_order: bool = False) -> Column:

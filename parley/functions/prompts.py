@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from parley.functions.text import LINE_BREAK, blank_to_null, strip
+from parley.functions.text import LINE_BREAK, blank_to_null, let, strip
 
 # Names of the three holes in a prompt template.
 PLACEHOLDERS = ("source_text", "source_language", "target_language")
@@ -29,21 +29,23 @@ def parse_tagged_lines(answer: Column, tag: str, source_tag: str = "EN") -> Colu
     Without either the first 200 characters stand in for the source and the translation says that
     parsing failed.
     """
-    lines = F.transform(F.split(strip(F.coalesce(answer, F.lit(""))), LINE_BREAK), strip)
+    split_lines = F.transform(F.split(strip(F.coalesce(answer, F.lit(""))), LINE_BREAK), strip)
 
-    def last(t: str) -> Column:
+    def last(lines: Column, t: str) -> Column:
         pattern = f"(?i)^{t}:\\s*(.*)$"
-        hits = F.filter(lines, lambda s: s.rlike(pattern))
-        return F.coalesce(
-            F.when(F.size(hits) > 0, strip(F.regexp_extract(F.element_at(hits, -1), pattern, 1))), F.lit("")
+        hit = F.try_element_at(F.filter(lines, lambda s: s.rlike(pattern)), F.lit(-1))
+        return F.coalesce(strip(F.regexp_extract(hit, pattern, 1)), F.lit(""))
+
+    def parts(found: Column) -> Column:
+        src, dst = found["src"], found["dst"]
+        failed = (src == "") & (dst == "")
+        return F.struct(
+            F.when(failed, F.substring(answer, 1, 200)).when(src == "", answer).otherwise(src).alias("source_phrase"),
+            F.when(failed, F.lit(PARSE_FAILED)).otherwise(dst).alias("translated"),
         )
 
-    src, dst = last(source_tag), last(tag)
-    failed = (src == "") & (dst == "")
-    return F.struct(
-        F.when(failed, F.substring(answer, 1, 200)).when(src == "", answer).otherwise(src).alias("source_phrase"),
-        F.when(failed, F.lit(PARSE_FAILED)).otherwise(dst).alias("translated"),
-    )
+    both = lambda lines: F.struct(last(lines, source_tag).alias("src"), last(lines, tag).alias("dst"))
+    return let(let(split_lines, both), parts)
 
 
 def prediction_shape(answer: Column) -> Column:

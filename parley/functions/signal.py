@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from parley.functions.metrics import let
+from parley.functions.text import let
 
 
 def to_mono(frames: Column) -> Column:

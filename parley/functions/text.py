@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Line ends in the Unicode sense.
@@ -11,9 +13,27 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+# The same characters one by one, for trimming: only the two ends are looked at.
+SPACE_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it in ``body``.
+
+    Inside a lambda an expression is evaluated per element; a bound value is evaluated per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def is_blank(c: Column) -> Column:
+    """Null, empty or nothing but white space; stops at the first other character."""
+    return ~F.coalesce(c, F.lit("")).rlike(f"[^{SPACE[1:]}")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -46,10 +66,14 @@ def safe_name(c: Column) -> Column:
 
 def safe_suffix(*cols: Column, limit: int = 80, keep: int = 60) -> Column:
     """Column names joined into a file-name suffix; long ones are cut and get a hash of the whole."""
-    raw = F.concat_ws("_", *[blank_to_null(strip(c)) for c in cols])
-    safe = F.regexp_replace(raw, r"[^A-Za-z0-9_.-]+", "_")
-    short = F.concat(F.substring(safe, 1, keep), F.lit("_"), F.substring(F.sha1(raw), 1, 8))
-    return F.when(raw == "", F.lit("nogroups")).when(F.length(safe) > limit, short).otherwise(safe)
+    def suffix(both: Column) -> Column:
+        raw, safe = both["raw"], both["safe"]
+        short = F.concat(F.substring(safe, 1, keep), F.lit("_"), F.substring(F.sha1(raw), 1, 8))
+        return F.when(raw == "", F.lit("nogroups")).when(F.length(safe) > limit, short).otherwise(safe)
+
+    joined = F.concat_ws("_", *[blank_to_null(strip(c)) for c in cols])
+    cleaned = lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, r"[^A-Za-z0-9_.-]+", "_").alias("safe"))
+    return let(let(joined, cleaned), suffix)
 
 
 def preview(c: Column, n: int = 120) -> Column:

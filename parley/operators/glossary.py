@@ -15,11 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.functions.metrics import let
+from parley.functions.text import let
 from parley.operators.beside import beside
 
 ANCHOR = 4
-SMALL = 1000
+SMALL = 4000
 
 
 def glossary_hits(
@@ -35,7 +35,7 @@ def glossary_hits(
     few = [r["term"] for r in t.limit(small + 1).collect()]  # at most `small` + 1 terms reach the driver
     if len(few) <= small:
         return _hits_by_filter(texts, few, keys)
-    return _hits_by_anchor(texts, t, keys)
+    return _hits_in_stream(texts, t, keys) if df.isStreaming else _hits_by_anchor(texts, t, keys)
 
 
 def _hits_by_filter(texts: DataFrame, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -71,6 +71,22 @@ def _hits_by_anchor(texts: DataFrame, terms: DataFrame, keys: Sequence[str]) ->
     return found.filter("_in_ref").select(*keys, "term", "kept")
 
 
+def _hits_in_stream(texts: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The anchor join without an aggregate: distinct anchors per text, each term has one anchor, so no hit comes twice.
+
+    Every anchor row carries its text, which suits utterances and not documents.
+    """
+    def runs(letters: Column) -> Column:
+        of = lambda n: F.transform(
+            F.sequence(F.lit(1), F.size(letters)), lambda i: F.array_join(F.slice(letters, i, n), ""))
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, ANCHOR + 1)]))
+
+    anchored = terms.withColumn("_anchor", F.substring("term", 1, ANCHOR))
+    spots = texts.withColumn("_anchor", F.explode(let(F.split("_ref", ""), runs)))
+    return spots.join(anchored, "_anchor").filter(F.contains("_ref", "term")).select(
+        *keys, "term", F.contains("_hyp", "term").alias("kept"))
+
+
 def glossary_counts(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Terms in the reference and terms kept, per row that has any."""
     return glossary_hits(df, terms, keys, ref, hyp).groupBy(*keys).agg(

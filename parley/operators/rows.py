@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions import labels as L
-from parley.functions.text import strip
+from parley.functions.text import is_blank, strip
 from parley.operators.beside import beside
 from parley.operators.ordered import OrderedScan
 
@@ -51,7 +51,7 @@ def task_view(df: DataFrame, task: str) -> DataFrame:
 
 
 def has_text(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit(""))) != ""
+    return ~is_blank(c)
 
 
 def is_exempt(dataset: Column, exempt: str = EXEMPT_DATASET) -> Column:

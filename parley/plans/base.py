@@ -86,7 +86,7 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("ref"),
         F.when(kind == 0, F.concat(F.lit("  "), "text")).when(kind == 1, without_first_word(F.col("text")))
         .otherwise(F.coalesce("_next", F.lit(""))).alias("hyp"),
-    )
+    ).hint("rebalance")  # the metrics are bound by CPU: even partitions are worth one shuffle of the texts
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
