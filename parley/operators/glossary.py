@@ -3,7 +3,8 @@
 Terms are matched as substrings of lower-cased text.  There are two exact ways, chosen by a size
 check:
 
-* up to ``SMALL`` terms travel as one array constant and every text filters that array: no join, no shuffle;
+* up to ``SMALL`` terms travel with the tasks, keyed by their first characters, and every text looks up its own runs of
+  characters in Arrow batches: no join, no shuffle (as array functions on the JVM this took fifty times longer);
 * beyond that, the first characters of a term are its anchor, every text position gives its own,
   and an equi join on the anchor finds the candidates.  No (text, term) pair is formed unless they
   share an anchor, texts themselves are never shuffled, and hits combine before the shuffle.
@@ -13,13 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parley.functions.text import let
 from parley.operators.beside import beside
 
 ANCHOR = 4
-SMALL = 4000
+SMALL = 100_000
+HITS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("kept", T.BooleanType())]))
 
 
 def glossary_hits(
@@ -34,15 +37,28 @@ def glossary_hits(
                       F.lower(F.coalesce(F.col(hyp), F.lit(""))).alias("_hyp"))
     few = [r["term"] for r in t.limit(small + 1).collect()]  # at most `small` + 1 terms reach the driver
     if len(few) <= small:
-        return _hits_by_filter(texts, few, keys)
+        return _hits_by_finder(texts, few, keys)
     return _hits_in_stream(texts, t, keys) if df.isStreaming else _hits_by_anchor(texts, t, keys)
 
 
-def _hits_by_filter(texts: DataFrame, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    if not terms:
-        return texts.filter(F.lit(False)).select(*keys, F.lit("").alias("term"), F.lit(False).alias("kept"))
-    found = F.filter(F.lit(sorted(terms)), lambda t: F.contains(F.col("_ref"), t))
-    return texts.withColumn("term", F.explode(found)).select(*keys, "term", F.contains("_hyp", "term").alias("kept"))
+def _hits_by_finder(texts: DataFrame, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    heads: dict[int, dict[str, list[str]]] = {}
+    for t in sorted(terms):
+        n = min(ANCHOR, len(t))
+        heads.setdefault(n, {}).setdefault(t[:n], []).append(t)
+
+    def find(ref: str, hyp: str) -> list[dict]:
+        out = []
+        for n, by_head in heads.items():
+            for head in {ref[i : i + n] for i in range(len(ref) - n + 1)} & by_head.keys():
+                out += [{"term": t, "kept": t in hyp} for t in by_head[head] if t in ref]
+        return out
+
+    @F.pandas_udf(HITS)
+    def found(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        return pd.Series([find(r, h) for r, h in zip(ref, hyp)])
+
+    return texts.select(*keys, F.explode(found("_ref", "_hyp")).alias("_h")).select(*keys, "_h.*")
 
 
 def _hits_by_anchor(texts: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -82,23 +82,28 @@ def speaker_summary(
 ) -> DataFrame:
     """Per speaker: seconds spoken, majority gender of the segments, dominant emotion.
 
-    One aggregate over (speaker, gender, emotion) shrinks the segments; the majorities are taken
-    over those few counts.
+    Three aggregates in a row and no join: segments shrink to counts per (speaker, gender, emotion),
+    each count is read once as a gender and once as an emotion, and the majorities are taken over
+    those.  Of equally frequent values the one seen first wins.
     """
     keys = [session, speaker]
     small = segments.groupBy(*keys, gender, emotion).agg(
         F.sum(F.greatest(F.col(end) - F.col(start), F.lit(0.0))).alias("_secs"),
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_at"),
     )
-
-    def majority(value: str) -> DataFrame:
-        c = small.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("_n").alias("_k"), F.min("_at").alias("_a"))
-        return c.groupBy(*keys).agg(F.max_by(value, F.struct(F.col("_k"), -F.col("_a"))).alias(value))
-
-    total = small.groupBy(*keys).agg(F.sum("_secs").alias("total_seconds"))
-    return total.join(majority(gender), keys, "left").join(majority(emotion), keys, "left").select(
-        *keys, F.coalesce(gender, F.lit("unknown")).alias("estimated_gender"),
-        F.coalesce(emotion, F.lit("unknown")).alias("dominant_emotion"), "total_seconds",
+    kinds = F.explode(F.array(F.struct(F.lit("g").alias("kind"), F.col(gender).alias("v")),
+                              F.struct(F.lit("e").alias("kind"), F.col(emotion).alias("v")))).alias("_k")
+    per_value = small.select(*keys, "_secs", "_n", "_at", kinds).groupBy(*keys, "_k").agg(
+        F.sum("_secs").alias("_secs"), F.sum("_n").alias("_n"), F.min("_at").alias("_at"))
+    value = F.col("_k")["v"]
+
+    def majority(kind: str) -> Column:
+        rank = F.when((F.col("_k")["kind"] == kind) & value.isNotNull(), F.struct(F.col("_n"), -F.col("_at")))
+        return F.coalesce(F.max_by(value, rank), F.lit("unknown"))
+
+    return per_value.groupBy(*keys).agg(
+        majority("g").alias("estimated_gender"), majority("e").alias("dominant_emotion"),
+        F.sum(F.when(F.col("_k")["kind"] == "g", F.col("_secs"))).alias("total_seconds"),
     )
 
 
