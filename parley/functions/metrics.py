@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -51,9 +52,34 @@ def _clipped(hyp, ref, n: int) -> int:
     return sum(min(k, have[g]) for g, k in want.items() if g in have)
 
 
+def _clipped_chars(hyp: str, ref: str) -> list[int]:
+    """Clipped counts of the character n-grams of all orders.
+
+    With up to 1024 distinct characters an n-gram packs into one 64-bit number, and sorting numbers
+    replaces hashing tuples; other pairs take the plain way.
+    """
+    letters, ids = np.unique(np.frombuffer((hyp + ref).encode("utf-32-le"), dtype="<u4"), return_inverse=True)
+    bits = max(1, int(len(letters) - 1).bit_length()) if len(letters) else 1
+    if bits * CHRF_ORDER > 63:
+        return [_clipped(hyp, ref, n) for n in range(1, CHRF_ORDER + 1)]
+    h = h1 = ids[: len(hyp)].astype("int64")
+    r = r1 = ids[len(hyp) :].astype("int64")
+    out = []
+    for n in range(1, CHRF_ORDER + 1):
+        if n > 1:
+            h, r = (h[:-1] << bits) | h1[n - 1 :], (r[:-1] << bits) | r1[n - 1 :]
+        if len(h) == 0 or len(r) == 0:
+            return out + [0] * (CHRF_ORDER + 1 - n)
+        want, k = np.unique(h, return_counts=True)
+        have, m = np.unique(r, return_counts=True)
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        out.append(int(np.minimum(k, m[at])[have[at] == want].sum()))
+    return out
+
+
 # The clipped n-gram counts are the one place where Arrow batches beat the JVM: as a sort-and-fold
-# over arrays they took 13 s for 24 million character n-grams on 8 cores, this way 2.6 s, and both
-# leave the rows where they are.  An explode into (row, n-gram) would shuffle every n-gram.
+# over arrays they took 13 s for 24 million character n-grams on 8 cores, hashed in Arrow batches 2.6 s,
+# and both leave the rows where they are.  An explode into (row, n-gram) would shuffle every n-gram.
 @F.pandas_udf(LONGS)
 def _token_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     rows = ((h.split(), r.split()) for h, r in zip(hyp, ref))
@@ -62,8 +88,7 @@ def _token_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
 
 @F.pandas_udf(LONGS)
 def _char_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    rows = zip(hyp, ref)
-    return pd.Series([[*(_clipped(h, r, n) for n in range(1, CHRF_ORDER + 1)), len(h), len(r)] for h, r in rows])
+    return pd.Series([[*_clipped_chars(h, r), len(h), len(r)] for h, r in zip(hyp, ref)])
 
 
 def _left(n: Column, order: int) -> Column:

@@ -46,13 +46,14 @@ def interval_overlap(
         .unionByName(point(queries, start, 0, -1)).unionByName(point(queries, end, 0, 1))
     )
     # (a query column of side -1 subtracts the cover up to its start, side 1 adds the cover up to its end)
-    scan = OrderedScan(line, [session], ["_t"], splits).lag("_before", F.col("_t"))
+    first = OrderedScan(line, [session], ["_t"], splits)
+    scan = first.lag("_before", F.col("_t"))
     for i in range(len(labels)):
         scan = scan.running_sum(f"_open{i}", F.col(f"_d{i}"))
     opened = scan.result(keep_slab=True)
     gap = F.coalesce(F.col("_t") - F.col("_before"), zero)
     # what was open between the point before and this one: the running sum without this point
-    scan = OrderedScan(opened, [session], ["_t"])
+    scan = first.again(opened)
     for i in range(len(labels)):
         scan = scan.running_sum(f"_cover{i}", gap * (F.col(f"_open{i}") - F.col(f"_d{i}")))
     cover = scan.result().filter(F.col("_side") != 0)

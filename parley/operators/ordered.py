@@ -5,10 +5,10 @@ name holds a third of all rows, that task never ends.  An :class:`OrderedScan` c
 (more rows than one even share of the shuffle) into slabs along the order column, runs the window
 inside each slab, and adds what the earlier slabs of the key carry over.
 
-The carry table has one row per slab of a hot key.  There are at most ``splits`` hot keys and at
-most ``4 * splits`` slabs in all, whatever the data size, so broadcasting both is bounded by a
-setting and not by the data.  Keys that are not hot keep a single slab and need no carry: for them
-the plan is a plain window behind one exchange.
+Which keys are hot is found by one count per key when the scan is set up.  There are at most
+``splits`` of them and at most ``4 * splits`` slabs in all, whatever the data size, so the rows that
+reach the driver and the tables that are broadcast are bounded by a setting and not by the data.
+Without hot keys the plan is a plain window behind one exchange.
 """
 
 from __future__ import annotations
@@ -44,26 +44,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, splits: int | None
     )
 
 
-def with_slabs(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> DataFrame:
-    """Add the slab number: null for ordinary keys, 0..pieces-1 along ``order`` for hot ones.
+def with_slabs(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> tuple[DataFrame, bool]:
+    """Add the slab number: null for ordinary keys, 0..pieces-1 along ``order`` for hot ones; and are there hot ones.
 
     ``order`` must be numeric and close to unique inside a key (a position, a sequence number, a
     timestamp in microseconds); equal values stay in one slab.
     """
-    keys = list(keys)
     hot = hot_keys(df, keys, order, splits)
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_lo", "_hi", "_pieces")
+    found = hot.collect()  # at most `splits` rows
+    if not found:
+        return df.withColumn(SLAB, F.lit(None).cast("long")), False
+    renamed = df.sparkSession.createDataFrame(found, hot.schema).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
         cond = c if cond is None else cond & c
     span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
     slab = F.floor((F.col(order) - F.col("_lo")).cast("double") / span * F.col("_pieces")).cast("long")
-    return (
-        df.join(F.broadcast(renamed), cond, "left")  # at most `splits` rows
-        .withColumn(SLAB, slab)
-        .drop(*[f"_hot_{k}" for k in keys], "_lo", "_hi", "_pieces")
-    )
+    cut = df.join(F.broadcast(renamed), cond, "left").withColumn(SLAB, slab)  # at most `splits` rows
+    return cut.drop(*[f"_hot_{k}" for k in keys], "_lo", "_hi", "_pieces"), True
 
 
 class OrderedScan:
@@ -83,16 +82,28 @@ class OrderedScan:
         if self._constant:
             df, keys = df.withColumn("_whole", F.lit(1)), ["_whole"]
         self.keys, self.order = list(keys), list(order)
-        self.df = df if SLAB in df.columns else with_slabs(df, self.keys, self.order[0], splits)
+        self.df, self.has_hot = with_slabs(df, self.keys, self.order[0], splits)
+        self._start()
+
+    def again(self, df: DataFrame) -> OrderedScan:
+        """A further scan over the same keys, order and slabs; ``df`` comes from ``result(keep_slab=True)``."""
+        other = object.__new__(OrderedScan)
+        other.keys, other.order, other.has_hot, other._constant, other.df = self.keys, self.order, self.has_hot, self._constant, df
+        other._start()
+        return other
+
+    def _start(self):
         self._local: list[tuple[str, Column]] = []
         self._slab_aggs: list[Column] = []
         self._carry: list[tuple[str, Column]] = []
         self._final: list[tuple[str, Column]] = []
         self._inputs: list[tuple[str, Column]] = []
+        self._plain: list[tuple[str, Column]] = []  # what is left to do where nothing is carried
 
     # windows -----------------------------------------------------------------
     def _inside(self):
-        return Window.partitionBy(SLAB, *self.keys).orderBy(*self.order)
+        slab = [SLAB] if self.has_hot else []
+        return Window.partitionBy(*slab, *self.keys).orderBy(*self.order)
 
     def _rows(self):
         return self._inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -114,6 +125,7 @@ class OrderedScan:
         self._final.append(
             (name, F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
         )
+        self._plain.append((name, F.coalesce(F.col(name), F.lit(0))))
         return self
 
     def row_number(self, name: str) -> OrderedScan:
@@ -129,6 +141,7 @@ class OrderedScan:
         self._slab_aggs.append(F.max_by(F.col(v), self._order_struct()).alias(f"_c_{name}"))
         self._carry.append((f"_c_{name}", F.last(f"_c_{name}", True).over(self._earlier())))
         self._final.append((name, F.coalesce(F.col(name), F.col(f"_c_{name}"))["v"]))
+        self._plain.append((name, F.col(name)["v"]))
         return self
 
     def last_known(self, name: str, value: Column, before: bool = False) -> OrderedScan:
@@ -148,6 +161,12 @@ class OrderedScan:
     def result(self, keep_slab: bool = False) -> DataFrame:
         base = self.df.withColumns(dict(self._inputs))
         local = base.withColumns(dict(self._local))
+        drop = [n for n, _ in self._inputs]
+        if not keep_slab:
+            drop += [SLAB, "_whole"] if self._constant else [SLAB]
+        if not self.has_hot:
+            here = {n: v for n, v in self._plain}
+            return (local.withColumns(here) if here else local).drop(*drop)
         carry = (
             base.filter(F.col(SLAB).isNotNull())
             .groupBy(*self.keys, SLAB)
@@ -163,14 +182,7 @@ class OrderedScan:
         for k in self.keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"_carry_{k}"))
         out = local.join(F.broadcast(carry), cond, "left").withColumns(dict(self._final))
-        drop = (
-            [n for n, _ in self._inputs] + [n for n, _ in self._carry]
-            + ["_carry_slab"] + [f"_carry_{k}" for k in self.keys]
-        )
-        if not keep_slab:
-            drop.append(SLAB)
-            if self._constant:
-                drop.append("_whole")
+        drop += [n for n, _ in self._carry] + ["_carry_slab"] + [f"_carry_{k}" for k in self.keys]
         return out.drop(*drop)
 
 

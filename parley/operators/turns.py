@@ -39,9 +39,10 @@ def turns(
     """
     key = _speaker_key(F.col(speaker))
     words = words.withColumn("_who", F.struct(F.col(is_event).alias("e"), key.alias("s")))
-    scan = OrderedScan(words, [session], [pos], splits).lag("_prev", F.col("_who")).result(keep_slab=True)
+    first = OrderedScan(words, [session], [pos], splits)
+    scan = first.lag("_prev", F.col("_who")).result(keep_slab=True)
     breaks = F.col("_prev").isNull() | F.col(is_event) | F.col("_prev")["e"] | (F.col("_prev")["s"] != key)
-    numbered = OrderedScan(scan.withColumn("_break", breaks.cast("int")), [session], [pos]).running_sum(
+    numbered = first.again(scan.withColumn("_break", breaks.cast("int"))).running_sum(
         "_turn", F.col("_break")).result(keep_slab=True)
 
     word = blank_to_null(strip(F.coalesce(F.col(text), F.lit(""))))
@@ -144,8 +145,9 @@ def new_only(df: DataFrame, count: str, session: str = "session", order: str = "
 
 def session_gaps(df: DataFrame, gap_us: int, session: str = "session", at: str = "pos") -> DataFrame:
     """Rows, first and last time per stretch of a session without a gap of ``gap_us`` or more (batch form of session windows)."""
-    prev = OrderedScan(df, [session], [at]).lag("_before", F.col(at)).result(keep_slab=True)
+    scan = OrderedScan(df, [session], [at])
+    prev = scan.lag("_before", F.col(at)).result(keep_slab=True)
     opens = F.col("_before").isNull() | (F.col(at) - F.col("_before") >= gap_us)
-    numbered = OrderedScan(prev.withColumn("_opens", opens.cast("int")), [session], [at]).running_sum("_w", F.col("_opens")).result()
+    numbered = scan.again(prev.withColumn("_opens", opens.cast("int"))).running_sum("_w", F.col("_opens")).result()
     return numbered.groupBy(session, "_w").agg(
         F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("_w")

@@ -84,13 +84,13 @@ def _stretches(chunks: DataFrame, gate: Gate, session: str, seq: str, level: str
     """Add ``_stretch``: a number that grows wherever the gate is surely idle."""
     quiet = F.col(level) <= min(gate.keep_level, gate.start_level)
     quiet_us = F.when(quiet, F.floor(F.col(seconds) * 1_000_000)).otherwise(0)
+    first = OrderedScan(chunks, [session], [seq], splits)
     counted = (
-        OrderedScan(chunks, [session], [seq], splits)
-        .running_sum("_quiet_n", quiet.cast("int")).running_sum("_quiet_us", quiet_us)
+        first.running_sum("_quiet_n", quiet.cast("int")).running_sum("_quiet_us", quiet_us)
         .result(keep_slab=True)
     )
     mark = F.when(~quiet, F.struct(F.col("_quiet_n").alias("n"), F.col("_quiet_us").alias("us")))
-    marked = OrderedScan(counted, [session], [seq]).last_known("_mark", mark, before=True).result(keep_slab=True)
+    marked = first.again(counted).last_known("_mark", mark, before=True).result(keep_slab=True)
     run_n, run_us = F.col("_quiet_n") - F.col("_mark")["n"], F.col("_quiet_us") - F.col("_mark")["us"]
     enough = F.lit(False)
     if gate.end_frames is not None:
@@ -100,7 +100,7 @@ def _stretches(chunks: DataFrame, gate: Gate, session: str, seq: str, level: str
         enough = enough | (run_us > int(gate.end_seconds * 1_000_000) + 1)
     cut = ~quiet & (F.col("_mark").isNull() | enough)
     return (
-        OrderedScan(marked.withColumn("_cut", cut.cast("int")), [session], [seq])
+        first.again(marked.withColumn("_cut", cut.cast("int")))
         .running_sum("_stretch", F.col("_cut")).result()
         .drop("_quiet_n", "_quiet_us", "_mark", "_cut")
     )

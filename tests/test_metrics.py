@@ -150,3 +150,14 @@ def test_repeats(spark):
     df = spark.createDataFrame([("t1", 1.0), ("t1", 3.0), ("t2", 5.0)], "t string, s double")
     got = {r["t"]: (r["mean"], r["std"]) for r in predict.repeat_stats(df, ["t"], "s").collect()}
     assert got["t1"] == pytest.approx((2.0, math.sqrt(2.0))) and got["t2"] == (5.0, 0.0)
+
+
+def test_packed_and_plain_character_counts_agree():
+    import random
+    rng = random.Random(4)
+    for size in (0, 1, 3, 7, 200):
+        for letters in ("ab", "abcdefgé😀", [chr(200 + i) for i in range(3000)]):
+            h, r = ("".join(rng.choice(letters) for _ in range(rng.randint(0, size))) for _ in range(2))
+            assert M._clipped_chars(h, r) == [M._clipped(h, r, n) for n in range(1, 7)]
+    wide = "".join(chr(200 + i) for i in range(2000))
+    assert M._clipped_chars(wide, wide) == [2000 - n for n in range(6)]
