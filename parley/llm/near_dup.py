@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.llm.blocks import Words, lower_ascii, mix, pieces, raw, runs, shingle_sets
 from parley.llm.components import components
-from parley.llm.store import kept, partitions
+from parley.llm.store import kept, likely, partitions
 
 _U = np.uint64
 
@@ -46,7 +46,7 @@ class Join:
     tokens: int = 128
     trees: int = 12
     levels: int = 8
-    leaf: int = 256
+    leaf: int = 4096
     slack: float = 5.0
     block: int = 1024
     block_shingles: int = 4_000_000
@@ -236,7 +236,9 @@ def confirmed(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("m") / join.block), F.ceil(F.col("total") / join.block_shingles)).cast("int")
     members = clusters.join(sizes.select("component", blocks.alias("blocks")), "component").select(
         "id", F.col("component").alias("part"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("home"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").mapInArrow(
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # the same plan at every size: only texts that may be members are dealt by id
+    texts = named.filter(likely(clusters, ["id"])).join(members.hint("merge"), "id").mapInArrow(
         _shingles(join.words), "id long, part long, home int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("away")).select(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from parley.llm.store import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,87 @@ _SETS = r"""words AS (SELECT doc_id, list_filter(string_split_regex(translate(CO
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.near_dup import Join, near_duplicates
     return near_duplicates(table(spark, folder, "documents"), Join(percent=85))
+
+
+# --- 1: packing ---------------------------------------------------------------
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    from parley.llm.packing import packed
+    return packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# --- 3: quality rules ---------------------------------------------------------
+
+_RULES = r"""w AS (SELECT doc_id, source, COALESCE(text, '') AS t, list_filter(string_split_regex(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+      FROM documents),
+  lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM w),
+  grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+  twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+  rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2), (3), (4)) v(k) GROUP BY doc_id),
+  m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, COALESCE(n, 0) AS n_repeat_words
+      FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+  hosts AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS BIGINT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+  prior AS (SELECT avg(f / CAST(n AS DOUBLE)) AS mean, var_pop(f / CAST(n AS DOUBLE)) AS v FROM hosts),
+  rates AS (SELECT source, CASE WHEN v > 0 THEN (f + greatest(mean * (1 - mean) / v - 1, 0) * mean) / (n + greatest(mean * (1 - mean) / v - 1, 0))
+      ELSE mean END AS rate FROM hosts, prior)"""
+
+
+@query("op3_host_rules", f"""WITH {_RULES}
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         NOT base_failed AND COALESCE(rate, 0) <= 0.5 AS kept FROM b LEFT JOIN rates USING (source)""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.rules import judged
+    return judged(table(spark, folder, "documents")).drop("host")
+
+
+# --- 4: BPE -------------------------------------------------------------------
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    from parley.llm.bpe import Vocabulary, decode, encode
+    vocabulary = Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = decode(encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
+# --- 8: WARC ------------------------------------------------------------------
+
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {s}) & 31 AS INTEGER) + 1, 1)"
+                       for g in range(8) for s in (15, 10, 5, 0))
+
+
+@query("op8_warc_salvage", f"""
+  WITH p AS (SELECT page_id, COALESCE(html, '') AS b FROM pages), d AS (SELECT page_id, CAST(strlen(b) AS BIGINT) AS n, sha1(b) AS h FROM p),
+  e AS (SELECT page_id, n, {_LETTERS} AS digest, max(page_id) OVER (PARTITION BY h, n) AS best FROM d)
+  SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+         CASE WHEN page_id <> best THEN best END AS refers_to FROM e""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.warc import page_records, read_archives, verdicts, write_archives
+    files = write_archives(verdicts(table(spark, folder, "pages")))
+    records, _ = read_archives(files, payloads=False)
+    return page_records(kept(records, "records"))
+
+
+# --- 9: repeated strings ------------------------------------------------------
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.repeats import without_repeats
+    return without_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+
+
+# --- 2: language-model scores -------------------------------------------------
+
+@query("op2_pitman_yor")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.pitman_yor import scored
+    return scored(table(spark, folder, "documents"))

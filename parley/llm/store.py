@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parley.session import work_dir
 
@@ -18,3 +22,49 @@ def kept(df: DataFrame, name: str = "part") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BITS = 1 << 24  # size of a row filter, whatever the number of keys: 2 MB
+_SEGMENT = 1 << 19
+
+
+def likely(keys: DataFrame, on: list[str]) -> Column:
+    """A condition on rows with the columns ``on``: true for all whose key is among ``keys``, and by chance for a few others.
+
+    For joins that keep few of many long rows, so that most texts are not shuffled.  The filter is a bitmap of fixed
+    size (two bits a key).  With more keys than it can tell apart it lets every row through, and the join does the work.
+    """
+    spark = keys.sparkSession
+
+    def places(h: np.ndarray) -> np.ndarray:
+        h = h.view(np.uint64)
+        return np.r_[h % np.uint64(BITS), (h >> np.uint64(32)) % np.uint64(BITS)].astype(np.int64)
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[places(batch.column("h").to_numpy(zero_copy_only=False))] = True
+        used = [i for i in range(BITS // _SEGMENT) if bits[i * _SEGMENT:(i + 1) * _SEGMENT].any()]
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(used, pa.int32()), "bits": pa.array(
+            [np.packbits(bits[i * _SEGMENT:(i + 1) * _SEGMENT]).tobytes() for i in used], pa.binary())})
+
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(_SEGMENT // 8, np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    schema = "segment int, bits binary"
+    segments = keys.select(F.xxhash64(*on).alias("h")).mapInArrow(mark, schema).groupBy("segment").applyInArrow(joined, schema).collect()
+    whole = np.zeros(BITS // 8, np.uint8)
+    for r in segments:
+        whole[r["segment"] * _SEGMENT // 8:(r["segment"] + 1) * _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
+    held = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        at = places(h.to_numpy(np.int64))
+        hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pd.Series(hit[:len(h)] & hit[len(h):]).astype(bool)
+
+    return may(F.xxhash64(*on))
