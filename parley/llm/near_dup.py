@@ -271,3 +271,11 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     one = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", one.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps."""
+    gone = kept(near_duplicates(docs, join).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    # texts that surely stay pass by; only those that may go meet the list
+    rows = docs.withColumn("_may_go", likely(gone, ["doc_id"]))
+    return rows.filter(~F.col("_may_go")).union(rows.filter("_may_go").join(gone.hint("merge"), "doc_id", "left_anti").select(*rows.columns)).drop("_may_go")

@@ -119,7 +119,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.repeats import without_repeats
-    return without_repeats(table(spark, folder, "documents")).select(
+    return without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
 
 
@@ -129,3 +129,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.pitman_yor import scored
     return scored(table(spark, folder, "documents"))
+
+
+# --- 5: quality classifier ----------------------------------------------------
+
+@query("op5_attention_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.mil import scored
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# --- 7: nearest neighbours ----------------------------------------------------
+
+@query("op7_nn_descent")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.nn_descent import neighbours
+    return neighbours(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
+# --- 6: main text of pages ----------------------------------------------------
+
+@query("op6_dom_content")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.dom_content import extracted
+    return extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parley.llm.blocks import mix, pieces, prefix_hash, range_hash, raw, runs
 from parley.llm.store import kept, likely, partitions
@@ -306,21 +306,25 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = b"".join(left)
                 rows.append((len(data), len(data) - len(rest), len(gone), rest))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "rest"])
+            yield pa.RecordBatch.from_arrays([part.column("own"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
+                                             ["own", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
 def without_repeats(docs: DataFrame, size: int = 400, gram: int = 32) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, rest): each text without the bytes that a repeated string of ``size`` bytes covers.
+    """The columns of ``docs`` without text, and (n_bytes, n_removed, n_spans, rest): each text without the bytes that a repeated
+    string of ``size`` bytes covers.
 
     ``rest`` is binary, as a cut may fall inside a letter.  Texts are UTF-8; null counts as empty and stays so.  Strings
-    never cross texts.  Rows that repeat a doc_id and text are texts of their own and so repeat each other.
+    never cross texts.  Rows that repeat a doc_id and text are texts of their own and so repeat each other.  Columns of
+    ``docs`` with the names of results give way to them.  An empty table gives no rows.
     """
-    own = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(own).alias("body"), own.alias("text"))
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    results = ["n_bytes", "n_removed", "n_spans", "rest"]
+    own = [c for c in docs.columns if c not in (*results, "text")]
+    rows = docs.select(F.struct(*own).alias("own"), F.coalesce(doc, F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
     spans = kept(repeated(rows.select("doc", "body", "text"), size, gram), "spans")
     may = likely(spans, ["doc", "body"])
-    near = rows.filter(may).join(spans.hint("merge"), ["doc", "body"], "left")
-    cut = near.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, rest binary")
+    near = rows.filter(may).join(spans.hint("merge"), ["doc", "body"], "left").select("own", "text", "spans")
+    cut = near.mapInArrow(_cut, T.StructType([near.schema["own"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, rest binary").fields]))
     zero, plain = F.lit(0).cast("long"), F.encode("text", "utf-8")
-    return cut.union(rows.filter(~may).select("doc_id", F.length(plain).cast("long"), zero, zero, plain))
+    return cut.union(rows.filter(~may).select("own", F.length(plain).cast("long"), zero, zero, plain)).select("own.*", *results)

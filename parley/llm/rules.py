@@ -7,6 +7,7 @@ all hosts by a beta prior fitted to the hosts themselves; the verdict is joined
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -87,16 +88,43 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failed") + weight * mean) / (F.col("n") + weight))
 
 
-def judged(docs: DataFrame, host: str = "source", least_words: int = 10, repeat_percent: int = 20, host_rate: float = 0.5,
-           window: int = 5) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """A document fails with fewer words, or more of its words (in percent) in repeated windows; a host above this shrunken rate fails whole."""
+
+    least_words: int = 10
+    repeat_percent: int = 20
+    host_rate: float = 0.5
+    window: int = 5
+
+
+def _judged(docs: DataFrame, host: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
+    rows = kept(measures(docs, host, limits.window).withColumn("base_failed", failed), "measures")
+    return rows, kept(host_rates(rows).filter(F.col("rate") > limits.host_rate).select("host", F.lit(True).alias("bad")), "hosts")
+
+
+def judged(docs: DataFrame, host: str = "source", limits: Limits | None = None) -> DataFrame:
     """The measures with ``base_failed`` and ``kept``.
 
-    A document fails with fewer than ``least_words`` words or more than ``repeat_percent`` of its words in repeated
-    windows.  The others are kept unless their host's shrunken rate of failures is above ``host_rate``.  A document
+    A document that does not fail itself is kept unless its host's shrunken rate of failures is too high.  A document
     without a host is judged alone.  Repeated rows count each; an empty table gives no rows.
     """
-    rows = measures(docs, host, window)
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    rows = kept(rows.withColumn("base_failed", failed), "measures")
-    bad = host_rates(rows).filter(F.col("rate") > host_rate).select("host", F.lit(True).alias("bad"))
+    rows, bad = _judged(docs, host, limits or Limits())
     return rows.join(bad, "host", "left").withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull()).drop("bad")
+
+
+def accepted(docs: DataFrame, host: str = "source", limits: Limits | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`judged` keeps."""
+    limits = limits or Limits()
+    _, bad = _judged(docs, host, limits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                got = measure_texts(*raw(part.column("text")), limits.window)
+                n = got["n_words"]
+                yield part.filter(pa.array((n >= limits.least_words) & (100 * got["n_repeat_words"] <= limits.repeat_percent * n)))
+
+    good = docs.mapInArrow(run, docs.schema)
+    return good.join(bad.select(F.col("host").alias(host)), host, "left_anti").select(*docs.columns)
