@@ -61,7 +61,7 @@ def word_count(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """White space and slashes become an underscore."""
-    return F.regexp_replace(c, r"[\s/\\]+", "_")
+    return F.regexp_replace(c, rf"[{SPACE[1:-1]}/\\]+", "_")
 
 
 def safe_suffix(*cols: Column, limit: int = 80, keep: int = 60) -> Column:
@@ -103,8 +103,8 @@ def gloss_clean(answer: Column, source: Column) -> Column:
     """One upper-case line of gloss without quotes or heading; the source itself when nothing is left."""
     unquoted = F.regexp_replace(strip(answer), r"""^["']+|["']+$""", "")
     body = strip(F.regexp_replace(unquoted, r"(?i)^asl\s+gloss\s*:\s*", ""))
-    line = F.upper(F.regexp_replace(strip(F.split(body, LINE_BREAK)[0]), r"\s+", " "))
-    return F.coalesce(blank_to_null(line), F.upper(F.regexp_replace(source, r"\s+", " ")))
+    line = F.upper(F.regexp_replace(strip(F.split(body, LINE_BREAK)[0]), f"{SPACE}+", " "))
+    return F.coalesce(blank_to_null(line), F.upper(F.regexp_replace(source, f"{SPACE}+", " ")))
 
 
 def fingerspell(c: Column) -> Column:

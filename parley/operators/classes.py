@@ -38,7 +38,7 @@ def macro_f1(df: DataFrame, true: str, pred: str, target: float = 0.70) -> DataF
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, labels: Sequence) -> DataFrame:
-    """One row per true label, one count column per predicted label."""
-    cells = df.groupBy(F.col(true).alias("true_label")).pivot(pred, list(labels)).count().na.fill(0)
-    names = {str(v): f"pred_{v}" for v in labels}
-    return cells.filter(F.col("true_label").isin(*labels)).withColumnsRenamed(names)
+    """Square over ``labels``: one row per true label, rows or not, and one count column per predicted label; one aggregate."""
+    cells = [F.count_if((F.col(true) == t) & (F.col(pred) == p)).alias(f"c{i}_{j}") for i, t in enumerate(labels) for j, p in enumerate(labels)]
+    grid = F.array(*[F.struct(F.lit(t).alias("true_label"), *[F.col(f"c{i}_{j}").alias(f"pred_{p}") for j, p in enumerate(labels)]) for i, t in enumerate(labels)])
+    return df.agg(*cells).select(F.inline(grid))

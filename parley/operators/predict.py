@@ -12,8 +12,8 @@ from parley.functions.text import NO_SPEECH, SPACE, blank_to_null, has_source, s
 from parley.operators.joins import config_grid, with_grid
 from parley.operators.scoring import corpus_bleu, corpus_chrf, sentence_bleu, sentence_chrf
 
-# What stands in for a translation when there is nothing to translate.
-EMPTY_MESSAGE = "[EMPTY_TRANSCRIPT] No speech text to translate."
+# What stands in for a translation when there is nothing to translate.
+EMPTY_MESSAGE = "(nothing was said)"
 
 # Settings a config has when its file does not say.
 CONFIG_DEFAULTS = {"provider": "vertex-ai", "temperature": 0.0, "top_p": 1.0, "max_output_tokens": 256}
@@ -23,29 +23,29 @@ def predict_column(df: DataFrame, fn: Callable[..., Sequence], inputs: Sequence[
     """Add ``out`` = ``fn(batch)`` in Arrow batches.
 
     ``fn`` gets a pandas DataFrame of the input columns and gives a sequence of texts.  When it
-    raises for a batch it is called row by row, and a row that still fails gets ``(error: ...)``.
+    raises for a batch the batch is halved until the failing rows stand alone, and such a row gets ``(error: ...)``.
     A short answer is padded with empty texts; answers are trimmed.  Partition count caps the
     number of calls at a time; write the result once and read it for every metric, so that no
     recomputation repeats the calls.
     """
     names = list(inputs)
 
+    def answers(pdf: pd.DataFrame) -> list:
+        try:
+            return (list(fn(pdf)) + [""] * len(pdf))[: len(pdf)]
+        except Exception as e:
+            if len(pdf) < 2:
+                return [f"(error: {e})"] * len(pdf)
+            half = len(pdf) // 2
+            return answers(pdf.iloc[:half]) + answers(pdf.iloc[half:])
+
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in batches:
-            try:
-                got = list(fn(pdf))
-            except Exception:
-                got = []
-                for i in range(len(pdf)):
-                    try:
-                        got.append(list(fn(pdf.iloc[i : i + 1]))[0])
-                    except Exception as e:
-                        got.append(f"(error: {e})")
-            got = (got + [""] * len(pdf))[: len(pdf)]
-            yield pd.Series([str("" if g is None else g).strip() for g in got])
+            yield pd.Series([str("" if g is None else g).strip() for g in answers(pdf)])
 
-    return df.withColumn(out, run(F.struct(*names)))
+    # not deterministic: the optimizer may then neither copy nor repeat the call inside a plan
+    return df.withColumn(out, run.asNondeterministic()(F.struct(*names)))
 
 
 def skip_or_call(
@@ -130,18 +130,18 @@ def repeat_stats(scores: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     )
 
 
-def leave_one_out(df: DataFrame, text: str, max_words: int = 8, out: str = "ablated") -> DataFrame:
-    """One row per left-out word: (…, removed_index, removed_word, ablated text); texts of one word give none."""
+def leave_one_out(df: DataFrame, text: str, max_words: int | None = None, out: str = "ablated") -> DataFrame:
+    """One row per left-out word (of the first ``max_words``, if given): (…, removed_index, removed_word, ablated text); texts of one word give none."""
     ws = F.split(strip(F.col(text)), f"{SPACE}+")
     rows = df.withColumn("_w", ws).filter(F.size("_w") >= 2)
-    rows = rows.select("*", F.posexplode(F.slice("_w", 1, max_words)).alias("removed_index", "removed_word"))
+    rows = rows.select("*", F.posexplode(F.slice("_w", 1, max_words) if max_words else F.col("_w")).alias("removed_index", "removed_word"))
     rest = F.filter("_w", lambda w, i: i != F.col("removed_index"))
     return rows.withColumn(out, F.array_join(rest, " ")).drop("_w")
 
 
 def ablation_delta(
     df: DataFrame, keys: Sequence[str], predict: Callable[[DataFrame, str, str], DataFrame], source: str, ref: str,
-    max_words: int = 8, metric: str = "bleu",
+    max_words: int | None = None, metric: str = "bleu",
 ) -> DataFrame:
     """How much the row score drops when a word is left out of the source.
 

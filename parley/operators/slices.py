@@ -62,11 +62,11 @@ def duration_slices(df: DataFrame, seconds: str = "duration_sec", threshold: flo
     return beside(full, total).select("value", "n", expected.alias("expected"), flag.alias("flagged"))
 
 
-def distinct_speakers(df: DataFrame, col: str = "speaker_id", show: int = 20) -> DataFrame:
-    """The first ``show`` speakers with their counts, next to the number of all speakers."""
+def distinct_speakers(df: DataFrame, col: str = "speaker_id", show: int | None = None) -> DataFrame:
+    """All speakers, or the first ``show``, with their counts, next to the number of all speakers."""
     counts = df.groupBy(F.coalesce(F.col(col), F.lit("unknown")).alias("speaker")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.count(F.lit(1)).alias("speakers"))
-    return beside(counts.orderBy("speaker").limit(show), total)
+    return beside(counts.orderBy("speaker").limit(show) if show else counts, total)
 
 
 def overall_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

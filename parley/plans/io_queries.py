@@ -47,11 +47,12 @@ def _(spark, d):
 
 
 @query("read_phrases", """SELECT 'say ' || doc_id AS source_text, lang AS source_language, 'es' AS target_language,
-    CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || ', then' ELSE source || ', then, more' END AS reference_translation, CAST(doc_id % 3 AS BIGINT) AS overflow FROM documents""")
+    CASE WHEN doc_id % 7 = 6 THEN 'a "q", ' || source ELSE source || repeat(',,x', CAST(doc_id % 24 AS INT)) END AS reference_translation,
+    CASE WHEN doc_id % 7 = 6 THEN CAST(0 AS BIGINT) ELSE doc_id % 24 * 2 END AS overflow FROM documents""")
 def _(spark, d):
-    # rows of four, five and six fields, a header per file and empty rows
-    k = F.col("doc_id") % 3
-    tail = F.when(k == 0, F.col("source")).when(k == 1, F.concat("source", F.lit(", then"))).otherwise(F.concat("source", F.lit(", then, more")))
+    # rows of 4 to 50 fields with empty ones among them, quoted fields with doubled quotes, a header per file and empty rows
+    more = F.concat("source", F.expr("repeat(',,x', cast(doc_id % 24 as int))"))
+    tail = F.when(F.col("doc_id") % 7 == 6, F.concat(F.lit('"a ""q"", '), "source", F.lit('"'))).otherwise(more)
     line = F.concat_ws(",", F.concat(F.lit("say "), F.col("doc_id").cast("string")), "lang", F.lit("es"), tail)
     lines = table(spark, d, "documents").select(line.alias("value"))
     header = table(spark, d, "region").select(F.lit("source_text,source_language,target_language,reference_translation").alias("value"))

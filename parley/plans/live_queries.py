@@ -219,7 +219,7 @@ def _(spark, d):
 # --- streams -----------------------------------------------------------------
 
 def _stream(spark, d) -> DataFrame:
-    return live.chunk_stream(spark, d, table(spark, d, "events").schema, glob="events.parquet")
+    return live.chunk_stream(spark, f"{d.rstrip('/')}/events.parquet", table(spark, d, "events").schema)
 
 
 def _stream_chunks(spark, d) -> DataFrame:
@@ -313,6 +313,6 @@ def _(spark, d):
 
 @query("glossary_guard_stream", sql("terms", """SELECT conv_id, turn, term FROM conversations JOIN terms ON contains(lower(text), term) AND NOT contains(replace(lower(text), 'e', 'i'), term)"""))
 def _(spark, d):
-    s = live.chunk_stream(spark, d, table(spark, d, "conversations").schema, glob="conversations.parquet")
+    s = live.chunk_stream(spark, f"{d.rstrip('/')}/conversations.parquet", table(spark, d, "conversations").schema)
     s = s.select("conv_id", "turn", F.col("text").alias("ref"), F.regexp_replace(F.lower("text"), "e", "i").alias("hyp"))
     return live.drain(glossary_guard(s, terms(spark, d), ["conv_id", "turn"]), work_dir(spark))

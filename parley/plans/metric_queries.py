@@ -287,7 +287,7 @@ def _(spark, d):
 
 LEFT_OUT = rf"""lw AS (SELECT conv_id, turn, string_split_regex(regexp_replace(ref, '^\s+|\s+$', '', 'g'), '\s+') AS w, ref FROM pairs),
     lo AS (SELECT conv_id, turn, ref, i AS removed_index, w[i + 1] AS removed_word, array_to_string(list_concat(w[1:i], w[i + 2:len(w)]), ' ') AS ablated
-      FROM (SELECT *, unnest(range(0, least(len(w), 8))) AS i FROM lw WHERE len(w) >= 2))"""
+      FROM (SELECT *, unnest(range(0, len(w))) AS i FROM lw WHERE len(w) >= 2))"""
 
 
 @query("leave_one_out", sql("pairs", "SELECT conv_id, turn, removed_index, removed_word, ablated FROM lo", LEFT_OUT))
@@ -331,7 +331,7 @@ def _(spark, d):
     return rounded(scoring.same_reference_ab(p, "ref", "stt", "script"))
 
 
-@query("skip_or_call", sql("pairs", r"""SELECT conv_id, turn, CASE WHEN turn = 1 THEN '[EMPTY_TRANSCRIPT] No speech text to translate.' ELSE lower(trim(ref)) END AS translated_text_model, turn <> 1 AS called FROM pairs"""))
+@query("skip_or_call", sql("pairs", r"""SELECT conv_id, turn, CASE WHEN turn = 1 THEN '(nothing was said)' ELSE lower(trim(ref)) END AS translated_text_model, turn <> 1 AS called FROM pairs"""))
 def _(spark, d):
     p = pairs(spark, d).select("conv_id", "turn", F.when(F.col("turn") == 1, F.lit(" NaN ")).otherwise(F.col("ref")).alias("source_text"))
     call = lambda df: predict.predict_column(df, lambda b: [t.lower() for t in b["source_text"]], ["source_text"])

@@ -146,6 +146,6 @@ def _(spark, d):
 
 @query("calibrated_stream")
 def _(spark, d):
-    s = live.chunk_stream(spark, d, table(spark, d, "embeddings").schema, glob="embeddings.parquet")
+    s = live.chunk_stream(spark, f"{d.rstrip('/')}/embeddings.parquet", table(spark, d, "embeddings").schema)
     s = s.select("vec_id", "label", F.col("embedding").alias("samples"))
     return _digest(live.drain(live.calibrated_stream(s, _profiles(spark, d), "label", frame=FRAME), work_dir(spark)))

@@ -35,13 +35,15 @@ def build_session(app: str = "parley", master: str | None = None, **conf: str) -
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared checkpoint folder of this session.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is unset (one
-    machine, tests) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only on one machine
+    (local master, tests) a temporary folder takes its place; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _LOCAL_WORK.setdefault(app, tempfile.mkdtemp(prefix="parley-"))
     return f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}"

@@ -9,7 +9,6 @@ from parley.functions.text import norm_text
 
 ENTRY = "file STRING, dataset STRING, speaker_id STRING, emotion STRING, label STRING, duration_sec DOUBLE"
 PHRASE_COLUMNS = 4
-MAX_OVERFLOW = 32
 
 
 def read_manifests(spark: SparkSession, root: str, multiline: bool = True, name: str = "*.json") -> DataFrame:
@@ -29,23 +28,24 @@ def read_manifests(spark: SparkSession, root: str, multiline: bool = True, name:
     return docs.select("split", F.explode(entries).alias("e")).select("split", "e.*")
 
 
+PHRASE_NAMES = ("source_text", "source_language", "target_language", "reference_translation")
+# One field and the comma before it; a quoted field holds commas, and doubled quotes stand for one.
+_FIELD = r',("(?:[^"]++|"")*+"|[^,]*)'
+
+
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     """Phrase book of four columns; fields beyond the fourth are an unquoted comma in the last one and are joined back.
 
-    Rows with nothing in them are dropped; ``overflow`` counts the extra fields of a row.
+    Any number of fields, empty ones among them, comes back as it was.  Rows with nothing in them and the header
+    row are dropped; ``overflow`` counts the extra fields of a row.
     """
-    lines = spark.read.text(path)
-    names = [f"c{i}" for i in range(PHRASE_COLUMNS + MAX_OVERFLOW)]
-    wide = lines.select(F.from_csv("value", ", ".join(f"{n} STRING" for n in names), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    tail = names[PHRASE_COLUMNS - 1:]
-    rows = wide.select(
-        *[F.col(n) for n in names[: PHRASE_COLUMNS - 1]],
-        F.nullif(F.concat_ws(",", *[F.col(n) for n in tail]), F.lit("")).alias(tail[0]),
-        F.size(F.array_compact(F.array(*[F.col(n) for n in tail[1:]]))).alias("overflow"),
-    )
-    columns = ("source_text", "source_language", "target_language", "reference_translation")
-    named = rows.toDF(*columns, "overflow").dropna("all", subset=list(columns))
-    return named.filter(~F.coalesce(F.col("source_text") == "source_text", F.lit(False)))
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(_FIELD), 1)
+    rows = spark.read.text(path).select(F.transform(fields, lambda f: F.when(
+        f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)).alias("f"))
+    head = [F.nullif(F.get("f", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(PHRASE_NAMES[:-1])]
+    last = F.nullif(F.array_join(F.slice("f", PHRASE_COLUMNS, F.greatest(F.size("f"), F.lit(1))), ","), F.lit("")).alias(PHRASE_NAMES[-1])
+    header = F.col("f") == F.array(*[F.lit(n) for n in PHRASE_NAMES])
+    return rows.filter(~header).select(*head, last, F.greatest(F.size("f") - PHRASE_COLUMNS, F.lit(0)).alias("overflow")).dropna("all", subset=list(PHRASE_NAMES))
 
 
 def read_glossary(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -19,12 +19,16 @@ def _fields(ddl: list[tuple[str, T.DataType]]) -> T.StructType:
 LONG, DOUBLE, TEXT, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 
-def chunk_stream(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
-    """A file stream of chunks; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+def chunk_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """A file stream of a table, which may be one file or a folder of part files; ``max_files`` bounds a micro-batch.
+
+    Without a bound all files that are there come in one micro-batch, so a session's rows are in order whatever file holds them.
+    """
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    path = path.rstrip("/")
+    return reader.load(f"{path[:-1]}[{path[-1]}]")  # as a pattern the path may be a file, too, which a stream refuses otherwise
 
 
 def payload_bytes(payload: Column, is_base64: Column) -> Column:
