@@ -1,7 +1,8 @@
 """Removal of long strings that occur more than once, by a hash-compared suffix sort of sampled suffixes.
 
 Every string of ``size`` bytes contains the places where a hash of ``gram`` bytes is least among its own; equal
-strings have them at the same offsets.  Only these anchors are compared: those whose gram occurs elsewhere too.
+strings have them at the same offsets.  Only these anchors are compared: those whose gram occurs elsewhere too.  A gram of
+half the string's length makes groups of real repetitions, so that common lines and phrases form none.
 Around an anchor, the suffix to the right and the reversed prefix to the left are sorted by mergesort; two of
 them are compared by the length of their common extension, found by binary search on prefix hashes.  Neighbours
 in the two orders have the longest extensions, and what is claimed is verified byte by byte.
@@ -246,7 +247,7 @@ def _windows(size: int, gram: int):
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, gram: int = 32, group: int = 8192) -> DataFrame:
+def repeated(docs: DataFrame, size: int = 400, gram: int = 200, group: int = 16384) -> DataFrame:
     """(doc, body, spans): byte ranges of every text that strings of ``size`` bytes cover which start elsewhere too.
 
     ``docs`` has doc (long), body (hash of the text) and text; rows with equal doc and body are one.  Grams with up to
@@ -255,7 +256,8 @@ def repeated(docs: DataFrame, size: int = 400, gram: int = 32, group: int = 8192
     spark = docs.sparkSession
     found = kept(docs.mapInArrow(_sample(size, gram), "doc long, body long, gram long, around long, at int, left int, right int"), "anchors")
     often = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).filter("n > 1")
-    shared = kept(found.join(often.select("gram", (F.col("a") != F.col("b")).alias("varied")), "gram"), "shared")
+    often = kept(often.select("gram", (F.col("a") != F.col("b")).alias("varied")), "often")
+    shared = kept(found.filter(likely(often, ["gram"])).join(often.hint("merge"), "gram"), "shared")
     alike = shared.filter("NOT varied AND left + right >= %d" % size).select("doc", "body", "at", F.col("left").alias("to_left"), F.col("right").alias("to_right"))
     kinds = shared.filter("varied").groupBy("gram", "around").agg(F.count("*").alias("often"), F.min(F.struct("doc", "body", "at", "left", "right")).alias("r"))
     kinds = kept(kinds, "kinds")
@@ -310,7 +312,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["own", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
-def without_repeats(docs: DataFrame, size: int = 400, gram: int = 32) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 400, gram: int = 200) -> DataFrame:
     """The columns of ``docs`` without text, and (n_bytes, n_removed, n_spans, rest): each text without the bytes that a repeated
     string of ``size`` bytes covers.
 

@@ -24,7 +24,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BITS = 1 << 24  # size of a row filter, whatever the number of keys: 2 MB
+BITS = 1 << 25  # size of a row filter, whatever the number of keys: 4 MB
 _SEGMENT = 1 << 19
 
 
