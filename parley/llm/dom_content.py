@@ -240,12 +240,14 @@ def fitted(pages: list[Page], how: Training) -> Weights:
 
 
 def main_text(page: Page, content: np.ndarray) -> str:
-    """Text runs that are content: runs of a block together, blocks one space apart."""
-    blocks: dict[int, list[str]] = {}
+    """Text of the blocks that are content by the mean over their letters: runs of a block together, blocks one space apart."""
+    blocks: dict[int, list] = {}
     for text, block, p in zip(page.text, page.block, content, strict=True):
-        if text is not None and p >= 0.5:
-            blocks.setdefault(block, []).append(text)
-    done = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
+        if text is not None:
+            held = blocks.setdefault(block, [[], 0.0])
+            held[0].append(text)
+            held[1] += (p - 0.5) * len(text)
+    done = (" ".join(html.unescape("".join(runs)).split()) for runs, more in blocks.values() if more >= 0)
     return " ".join(b for b in done if b)
 
 
