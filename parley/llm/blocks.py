@@ -73,8 +73,10 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """``h[i]``: sum of ``(byte + 1) * BASE**position`` over the first ``i`` bytes."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up, out=out[1:])
-    return out
+    out[1:] = data
+    out[1:] += _U(1)
+    out[1:] *= up
+    return np.cumsum(out, out=out)
 
 
 def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

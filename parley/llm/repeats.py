@@ -204,7 +204,7 @@ def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.array(cols[4], pa.binary())], ["gram", "around", "often", "left", "body"])
 
 
-def _sorted_extents(size: int, task_bytes: int = 8 << 20):
+def _sorted_extents(size: int, task_bytes: int = 1 << 20):
     def solve(tables: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(tables)
         group = t.column("gram").to_numpy()
@@ -247,7 +247,7 @@ def _windows(size: int, gram: int):
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, gram: int = 200, group: int = 16384) -> DataFrame:
+def repeated(docs: DataFrame, size: int = 400, gram: int = 200, group: int = 8192) -> DataFrame:
     """(doc, body, spans): byte ranges of every text that strings of ``size`` bytes cover which start elsewhere too.
 
     ``docs`` has doc (long), body (hash of the text) and text; rows with equal doc and body are one.  Grams with up to
