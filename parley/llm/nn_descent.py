@@ -2,13 +2,14 @@
 
 Equal vectors are one node.  A first graph comes from windows of vectors that random hyperplanes put side by side.
 In every round each node introduces its neighbours, and the nodes that list it, to each other; they keep whom they
-find nearer.  Queries start at their own node's neighbours and walk on to the neighbours of the nearest found so far.
+find nearer.  Queries start at their own node and walk on to the neighbours of the nearest found so far, and to nodes
+that list these.  Graph and walk compare vectors of 8-bit steps; what the walk holds is measured again on the vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,18 @@ _NEAR = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
 @dataclass(frozen=True)
 class Graph:
     """Neighbours of a node; windows: how many orders and their length; rounds at most, and the relative gain that ends them;
-    who may introduce itself by listing a node, on average; search: nodes held, nodes opened per step, steps."""
+    who may introduce itself by listing a node, on average; search: nodes held, nodes opened per step, steps, nodes measured."""
 
     near: int = 24
-    orders: int = 6
-    window: int = 256
+    orders: int = 8
+    window: int = 1024
     rounds: int = 4
-    gain: float = 5e-4
-    listed: int = 10
-    told: int = 10
+    gain: float = 1e-3
+    listed: int = 24
     held: int = 256
     opened: int = 40
-    steps: int = 6
+    steps: int = 7
+    sure: int = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,6 +66,25 @@ def _matrix(column: pa.Array, dtype: type = np.float32) -> np.ndarray:
     return data.view(np.float32).reshape(len(column), -1).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
 
 
+def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors in 8-bit steps of their largest part, the step behind them."""
+    for batch in batches:
+        m = _matrix(batch.column("vec"))
+        if len(m):
+            step = (np.abs(m).max(axis=1, keepdims=True) / 127).astype(np.float32)
+            step[step == 0] = np.finfo(np.float32).tiny
+            data = np.c_[np.rint(m / step).astype(np.int8).view(np.uint8), step.view(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in data], pa.binary())], ["id", "vec"])
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    data, _ = raw(column)
+    if not len(column):
+        return np.zeros((0, 0), np.float32)
+    data = data.reshape(len(column), -1)
+    return data[:, :-4].view(np.int8) * np.ascontiguousarray(data[:, -4:]).view(np.float32)
+
+
 def _lists(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     near = pa.StructArray.from_arrays([pa.array(scores.astype(np.float64)), pa.array(others)], ["score", "id"])
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), near)], ["id", "near"])
@@ -126,44 +146,72 @@ def _merged(most: int):
 
 
 def _introduce(most: int):
-    """Among the nodes that a node knows, for each the nearest others."""
+    """Among the nodes that a node knows, for each the nearest others, if nearer than the last in its own full list (``bar``)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.column("known")
             edge, flat = known.offsets.to_numpy(), known.flatten()
-            ids, m = flat.field("id").to_numpy(), _matrix(flat.field("vec"))
             edge = edge - edge[0]
-            found = [_best(ids[a:b], m[a:b], most) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+            ids, m, bar, parts = flat.field("id").to_numpy(), _long(flat.field("vec")), flat.field("bar").to_numpy(), flat.field("parts").to_numpy()
+            to, who, scores, size, part = [], [], [], [], []
+            for node, a, b in zip(batch.column("id").to_numpy(), edge[:-1], edge[1:], strict=True):
+                score = m[a:b] @ m[a:b].T
+                np.fill_diagonal(score, -np.inf)
+                if b - a > most:
+                    bars = np.maximum(bar[a:b], -np.partition(-score, most - 1, axis=1)[:, most - 1])
+                else:
+                    bars = bar[a:b]
+                row, col = np.nonzero((score >= bars[:, None]) & (score > bar[a:b, None]))
+                to.append(ids[a:b])
+                who.append(ids[a:b][col])
+                scores.append(score[row, col])
+                size.append(np.bincount(row, minlength=b - a))
+                part.append(node % parts[a:b])
+            if to:
+                size, to = np.concatenate(size), np.concatenate(to)
+                lists = _lists(to, np.concatenate(who), np.concatenate(scores), size)
+                out = pa.RecordBatch.from_arrays([lists.column("id"), pa.array(np.concatenate(part)), lists.column("near")], ["id", "part", "near"])
+                yield out.filter(pa.array(size > 0))
 
     return run
 
 
-def graph(nodes: DataFrame, how: Graph) -> DataFrame:
-    """(id, near): for each node of (id, vec) the nearest nodes found, nearest first."""
-    parts = partitions(nodes.sparkSession)
+def _linked(g: DataFrame, listed: int, seed: int) -> DataFrame:
+    """(id, other): whom a node lists, and of those that list it a random share, about ``listed``."""
+    out = g.select("id", F.explode("near.id").alias("other"))
+    often = out.groupBy("other").agg(F.count("*").alias("n"))
+    back = out.join(often, "other").filter(F.pmod(F.xxhash64("id", "other", F.lit(seed)), F.ceil(F.col("n") / listed)) == 0)
+    return out.union(back.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+
+
+def graph(nodes: DataFrame, short: DataFrame, how: Graph) -> DataFrame:
+    """(id, near): for each node of (id, vec) the nearest nodes found, nearest first; ``short`` has the nodes in 8-bit steps."""
+    shares = partitions(nodes.sparkSession)
+    schema = f"id long, near {NEAR}"
     first = None
     for turn in range(how.orders):
         order = nodes.mapInArrow(_codes(turn + 1), "id long, vec binary, code long")
-        lists = order.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").mapInArrow(_window_lists(how.window, how.near), f"id long, near {NEAR}")
+        lists = order.repartitionByRange(shares, "code", "id").sortWithinPartitions("code", "id").mapInArrow(_window_lists(how.window, how.near), schema)
         first = lists if first is None else first.union(lists)
-    merge = lambda rows: rows.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).mapInArrow(_merged(how.near), f"id long, near {NEAR}")
-    g = kept(merge(first), "graph")
+    gathered = lambda rows, *by: rows.groupBy(*by).agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = _merged(how.near)
+    g = kept(gathered(first, "id").mapInArrow(best, schema), "graph")
     before = None
     for turn in range(how.rounds):
         total = g.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, x: a + x["score"]))).first()[0]
         if total is None or before is not None and total - before <= how.gain * abs(before):
             break
         before = total
-        out = g.select("id", F.explode("near.id").alias("other"))
-        # of those that list a node a random share, about ``listed``, introduce themselves to it
-        often = out.groupBy("other").agg(F.count("*").alias("n"))
-        back = out.join(often, "other").filter(F.pmod(F.xxhash64("id", "other", F.lit(turn)), F.ceil(F.col("n") / how.listed)) == 0).select(F.col("other").alias("id"), F.col("id").alias("other"))
-        pairs = out.union(back).distinct().join(nodes.select(F.col("id").alias("other"), "vec"), "other")
-        known = pairs.groupBy("id").agg(F.collect_list(F.struct(F.col("other").alias("id"), "vec")).alias("known"))
-        told = known.select("known").mapInArrow(_introduce(how.told), f"id long, near {NEAR}")
-        g = kept(merge(g.union(told)), "graph")
+        # a node that many list is told much: it is gathered in parts of about 256 tellers
+        often = g.select(F.explode("near.id").alias("id")).groupBy("id").agg(F.ceil(F.count("*") / 256).alias("parts"))
+        bar = F.when(F.size("near") >= how.near, F.element_at("near", -1)["score"]).otherwise(F.lit(float("-inf")))
+        cards = short.join(g.select("id", bar.alias("bar")), "id").join(often, "id", "left").select(
+            F.col("id").alias("other"), "vec", "bar", F.coalesce("parts", F.lit(1)).alias("parts"))
+        known = _linked(g, how.listed, turn).join(cards, "other").groupBy("id").agg(
+            F.collect_list(F.struct(F.col("other").alias("id"), "vec", "bar", "parts")).alias("known"))
+        told = known.mapInArrow(_introduce(how.near), f"id long, part long, near {NEAR}")
+        told = gathered(told, "id", "part").select("id", "near").mapInArrow(best, schema)
+        g = kept(gathered(g.union(told), "id").mapInArrow(best, schema), "graph")
     return g
 
 
@@ -175,25 +223,51 @@ def _scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(s)], ["query", "id", "score"])
 
 
-def search(queries: DataFrame, nodes: DataFrame, g: DataFrame, how: Graph) -> DataFrame:
-    """(query, id, score): for each query (query, node, own) the nearest nodes met on a greedy walk from its own node."""
-    def measured(found: DataFrame) -> DataFrame:
-        return found.join(queries.select("query", "own"), "query").join(nodes, "id").select("query", "own", "id", "vec").mapInArrow(
-            _scores, "query long, id long, score double")
+def _look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The neighbours of opened nodes with their inner products with the query."""
+    for batch in batches:
+        own, around = _matrix(batch.column("own")), batch.column("around")
+        size = np.diff(around.offsets.to_numpy())
+        flat = around.flatten()
+        m, row = _long(flat.field("vec")), np.repeat(np.arange(len(size)), size)
+        score = np.concatenate([np.einsum("ij,ij->i", own[row[lo:lo + 65536]], m[lo:lo + 65536]) for lo in range(0, len(row), 65536)] or [np.zeros(0)])
+        found = _lists(batch.column("query").to_numpy(), flat.field("id").to_numpy(), score, size)
+        yield pa.RecordBatch.from_arrays(found.columns, ["query", "near"])
 
-    start = queries.join(g, queries["node"] == g["id"], "left").select("query", F.explode(F.concat(F.array("node"), F.coalesce("near.id", F.array().cast("array<bigint>")))).alias("id"))
-    met = kept(measured(start.distinct()).withColumn("open", F.lit(True)), "walk")
+
+def _advance(held: int, opened: int):
+    """The nearest different nodes met so far, and those of them to open next."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            best = next(_merged(held)([batch.select(["query", "beam"]).rename_columns(["id", "near"])]))
+            beam, done = best.column("near"), batch.column("done")
+            b, d = beam.offsets.to_numpy(), done.offsets.to_numpy() - done.offsets[0].as_py()
+            ids, past = beam.flatten().field("id").to_numpy(), done.flatten().to_numpy()
+            go = [ids[b[i]:b[i + 1]][~np.isin(ids[b[i]:b[i + 1]], past[d[i]:d[i + 1]])][:opened] for i in range(len(beam))]
+            done = [np.r_[past[d[i]:d[i + 1]], x] for i, x in enumerate(go)]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("own"), beam, pa.array(done, longs), pa.array(go, longs)],
+                                             ["query", "own", "beam", "done", "go"])
+
+    return run
+
+
+def search(queries: DataFrame, nodes: DataFrame, short: DataFrame, g: DataFrame, how: Graph) -> DataFrame:
+    """(query, id, score): for each query (query, node, own) the nearest nodes met on a greedy walk from its own node."""
+    around = _linked(g, how.listed, -1).join(short.select(F.col("id").alias("other"), "vec"), "other").groupBy("id").agg(
+        F.collect_list(F.struct(F.col("other").alias("id"), "vec")).alias("around"))
+    around = kept(around, "around")
+    own = F.array(F.struct(F.lit(float("inf")).alias("score"), F.col("node").alias("id")))  # the own node stays in the beam
+    walk = queries.select("query", "own", own.cast(NEAR).alias("beam"), F.array("node").alias("done"), F.array("node").alias("go"))
     for _ in range(how.steps):
-        beam = met.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id", "open")), asc=False), 1, how.held).alias("beam"))
-        beam = kept(beam, "beam")
-        go = F.slice(F.filter("beam", lambda x: x["open"]), 1, how.opened)
-        opened = beam.select("query", F.explode(F.transform(go, lambda x: x["id"])).alias("id"))
-        fresh = opened.join(g, "id").select("query", F.explode("near.id").alias("id")).distinct()
-        held = beam.select("query", F.explode("beam").alias("b")).select("query", "b.id", "b.score", "b.open")
-        fresh = fresh.join(held.select("query", "id"), ["query", "id"], "left_anti")
-        still = held.join(opened.withColumn("now", F.lit(True)), ["query", "id"], "left").select("query", "id", "score", (F.col("open") & F.col("now").isNull()).alias("open"))
-        met = kept(still.union(measured(fresh).withColumn("open", F.lit(True))), "walk")
-    return met.select("query", "id", "score")
+        met = walk.select("query", "own", F.explode("go").alias("id")).join(around, "id").select("query", "own", "around").mapInArrow(
+            _look, f"query long, near {NEAR}").groupBy("query").agg(F.flatten(F.collect_list("near")).alias("met"))
+        on = walk.join(met, "query", "left").select("query", "own", F.concat("beam", F.coalesce("met", F.array().cast(NEAR))).alias("beam"), "done")
+        walk = kept(on.mapInArrow(_advance(how.held, how.opened), f"query long, own binary, beam {NEAR}, done array<bigint>, go array<bigint>"), "walk")
+    sure = walk.select("query", "own", F.explode(F.slice("beam", 1, how.sure)).alias("b")).select("query", "own", F.col("b.id").alias("id"))
+    return sure.join(nodes, "id").select("query", "own", "id", "vec").mapInArrow(_scores, "query long, id long, score double")
 
 
 def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, how: Graph | None = None) -> DataFrame:
@@ -209,7 +283,8 @@ def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, how: Graph
     nodes = kept(named.select(F.col("node").alias("id"), "vec"), "nodes")
     owner = kept(rows.join(named, "vec").select("id", "node").distinct(), "owners")
     queries = kept(rows.filter(is_query(F.col("id"))).join(named, "vec").select(F.col("id").alias("query"), "node", F.col("vec").alias("own")).dropDuplicates(["query"]), "queries")
-    found = search(queries, nodes, graph(nodes, how), how)
+    short = kept(nodes.mapInArrow(_short, "id long, vec binary"), "short")
+    found = search(queries, nodes, short, graph(nodes, short, how), replace(how, sure=max(how.sure, 2 * most + 2)))
     best = found.groupBy("query").agg(_nearest(F.collect_list(F.struct("score", "id")), most + 1).alias("near"))
     best = best.select("query", F.explode("near").alias("b")).select("query", F.col("b.score").alias("score"), F.col("b.id").alias("node"))
     members = _first_members(owner, most + 1)
