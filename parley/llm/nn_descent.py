@@ -99,14 +99,15 @@ def _best(ids: np.ndarray, m: np.ndarray, most: int) -> pa.RecordBatch:
     return _lists(ids, ids[top].ravel(), np.take_along_axis(score, top, 1).ravel(), np.full(len(ids), k))
 
 
-def _codes(seed: int, bits: int = 24):
+def _codes(turns: int, bits: int = 24):
+    """Each vector once for each turn, with the sides of that turn's hyperplanes on which it lies."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column("vec"))
-            if len(m):
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
+            for turn in range(turns if len(m) else 0):
+                planes = np.random.default_rng(turn + 1).normal(size=(m.shape[1], bits))
                 code = ((m @ planes) > 0) @ (1 << np.arange(bits)[::-1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64))], ["id", "vec", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(m), turn, np.int32)), pa.array(code.astype(np.int64))], ["id", "vec", "turn", "code"])
 
     return run
 
@@ -114,10 +115,13 @@ def _codes(seed: int, bits: int = 24):
 def _window_lists(size: int, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, m = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
-            for lo in range(0, len(ids), size):
-                lo = max(0, min(lo, len(ids) - size))  # the last window is full, too
-                yield _best(ids[lo:lo + size], m[lo:lo + size], most)
+            ids, m, turn = batch.column("id").to_numpy(), _matrix(batch.column("vec")), batch.column("turn").to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(turn)) + 1), len(ids)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                for lo in range(a, b, size):
+                    lo = max(a, min(lo, b - size))  # the last window is full, too
+                    hi = min(lo + size, b)
+                    yield _best(ids[lo:hi], m[lo:hi], most)
 
     return run
 
@@ -188,11 +192,8 @@ def graph(nodes: DataFrame, short: DataFrame, how: Graph) -> DataFrame:
     """(id, near): for each node of (id, vec) the nearest nodes found, nearest first; ``short`` has the nodes in 8-bit steps."""
     shares = partitions(nodes.sparkSession)
     schema = f"id long, near {NEAR}"
-    first = None
-    for turn in range(how.orders):
-        order = nodes.mapInArrow(_codes(turn + 1), "id long, vec binary, code long")
-        lists = order.repartitionByRange(shares, "code", "id").sortWithinPartitions("code", "id").mapInArrow(_window_lists(how.window, how.near), schema)
-        first = lists if first is None else first.union(lists)
+    turns = nodes.mapInArrow(_codes(how.orders), "id long, vec binary, turn int, code long")
+    first = turns.repartitionByRange(shares, "turn", "code", "id").sortWithinPartitions("turn", "code", "id").mapInArrow(_window_lists(how.window, how.near), schema)
     gathered = lambda rows, *by: rows.groupBy(*by).agg(F.flatten(F.collect_list("near")).alias("near"))
     best = _merged(how.near)
     g = kept(gathered(first, "id").mapInArrow(best, schema), "graph")
