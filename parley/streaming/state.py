@@ -4,39 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _within(numbers: np.ndarray, seen: list[int]) -> np.ndarray:
+    """Which numbers lie in the ranges (first, last, first, last, ...)."""
+    edges = np.array(seen, np.int64).reshape(-1, 2)
+    at = np.searchsorted(edges[:, 0], numbers, side="right") - 1
+    return (at >= 0) & (numbers <= np.r_[edges[:, 1], 0][at])
+
+
+def _joined(seen: list[int], numbers: np.ndarray) -> list[int]:
+    """The ranges with further numbers, none of which they hold; neighbouring ranges become one."""
+    edges = np.r_[np.array(seen, np.int64).reshape(-1, 2), np.c_[numbers, numbers]]
+    edges = edges[np.argsort(edges[:, 0])]
+    cut = np.flatnonzero(edges[1:, 0] != edges[:-1, 1] + 1)
+    return np.c_[edges[np.r_[0, cut + 1], 0], edges[np.r_[cut, len(edges) - 1], 1]].ravel().tolist() if len(edges) else []
+
+
 def run_state(
     stream: DataFrame, key: str, seq: str, out: T.StructType, state: T.StructType, start: tuple,
     step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], idle_ms: int | None = None,
 ) -> DataFrame:
     """Fold ``step(state, row) -> (state, output rows)`` over the rows of each key in ``seq`` order.
 
-    Rows of a key are sorted inside a micro-batch; a row not beyond the last number seen is late
-    and dropped, so a replayed row has no effect.  How many rows one micro-batch holds is the
-    source's admission limit (``maxFilesPerTrigger``).  The last number is kept as the last state
-    field.  With ``idle_ms`` (and a watermark on the stream) a silent key's state expires.
+    Rows of a key are sorted inside a micro-batch; micro-batches count in the order of their arrival.
+    A row that comes late is folded in when it comes; one whose number was there before is a replay and
+    has no effect.  The numbers seen are kept as ranges in the last state field, so gapless numbering
+    keeps the state small and each gap adds two numbers.  How many rows one micro-batch holds is the
+    source's admission limit (``maxFilesPerTrigger``).  With ``idle_ms`` (and a watermark on the stream)
+    a silent key's state expires.
     """
     names = out.fieldNames()
-    schema = T.StructType([*state.fields, T.StructField("last_seq", T.LongType())])
+    schema = T.StructType([*state.fields, T.StructField("seen", T.ArrayType(T.LongType()))])
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        *values, last = held.get if held.exists else (*start, None)
+        *values, seen = held.get if held.exists else (*start, [])
         current, rows = tuple(values), []
-        for row in pd.concat(list(batches)).sort_values(seq, kind="stable").to_dict("records"):
-            number = int(row[seq])
-            if last is not None and number <= last:
-                continue
-            last = number
+        batch = pd.concat(list(batches)).sort_values(seq, kind="stable").drop_duplicates(seq)
+        batch = batch[~_within(batch[seq].to_numpy(np.int64), seen)]
+        for row in batch.to_dict("records"):
             current, made = step(current, row)
             rows += [(keys[0], *m) for m in made]
-        held.update((*current, last))
+        held.update((*current, _joined(seen, batch[seq].to_numpy(np.int64))))
         if idle_ms is not None:
             held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + idle_ms)
         if rows:

@@ -223,6 +223,15 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == _loop(data, Gate())
 
 
+def test_stream_keeps_rows_that_come_late(spark, tmp_path):
+    schema = "session string, seq long, text string"
+    for part in ([7, 8], [1, 2, 3], [4, 5, 6]):  # files out of order, one a micro-batch
+        spark.createDataFrame([("s", i, f"t{i}") for i in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = live.chunk_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    got = live.drain(live.history_stream(s, "text"), str(tmp_path / "work")).collect()
+    assert sorted(r["seq"] for r in got) == list(range(1, 9)) and sorted(r["utterance"] for r in got) == list(range(1, 9))
+
+
 def test_payload_decoding(spark):
     samples = np.array([0.5, -0.25], dtype="<f4")
     df = spark.createDataFrame([(bytearray(samples.tobytes() + b"\x00"),)], "p binary")
