@@ -28,7 +28,7 @@ class Graph:
     who may introduce itself by listing a node, on average; search: nodes held, nodes opened per step, steps, nodes measured."""
 
     near: int = 24
-    orders: int = 8
+    orders: int = 16
     window: int = 1024
     rounds: int = 4
     gain: float = 1e-3
