@@ -81,19 +81,29 @@ def denoise(clips: DataFrame, profiles: DataFrame, session: str = "session", sam
     @F.pandas_udf(DOUBLES)
     def run(xs: pd.Series, ps: pd.Series) -> pd.Series:
         return pd.Series([
-            np.asarray(x, dtype="float64") if p is None
+            x if x is None or p is None
             else subtract(np.asarray(x, dtype="float64"), np.asarray(p, dtype="float64"), frame)
             for x, p in zip(xs, ps)
         ])
 
+    run = run.asNondeterministic()  # else it is put into every expression that uses the samples
     return clips.join(profiles, session, "left").withColumn(samples, run(samples, "profile")).drop("profile")
 
 
 def clean_audio(
     clips: DataFrame, samples: str = "samples", sr: int = 16000, limit_db: float = -3.0, target_db: float = -20.0,
-    gate_db: float = -40.0, top_db: float = 25.0,
+    gate_db: float = -40.0, top_db: float = 25.0, channels: bool = False, profiles: DataFrame | None = None,
+    session: str = "session", frame: int = FRAME,
 ) -> DataFrame:
-    """Limit, normalise, gate and trim mono clips; ``status`` is ok, no_voice or empty, and no clip stops the job."""
+    """Mix down, take out noise, limit, normalise, gate and trim clips; ``status`` is ok, no_voice or empty, and no clip stops the job.
+
+    ``channels`` says that the samples are frames of several channels; ``profiles`` (see :func:`profile_arrays`)
+    hold the noise of each ``session``.
+    """
+    if channels:
+        clips = clips.withColumn(samples, S.to_mono(F.col(samples)))
+    if profiles is not None:
+        clips = denoise(clips, profiles, session, samples, frame)
     limited = clips.withColumn(samples, S.peak_limit(F.col(samples), limit_db))
     level = limited.withColumn(samples, S.normalize_loudness(F.col(samples), target_db))
     empty = F.coalesce(F.size(samples), F.lit(0)) <= 0

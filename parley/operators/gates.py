@@ -31,6 +31,15 @@ def first_metrics(report: DataFrame, order: str = "ord") -> DataFrame:
     return report.orderBy(order).limit(1)
 
 
+def report_metrics(report: DataFrame) -> DataFrame:
+    """The metrics of report documents: their ``metrics``, else the first of their ``configs``, else their own fields."""
+    if "metrics" in report.columns:
+        return report.select("metrics.*")
+    if "configs" in report.columns:
+        return report.select(F.get("configs", F.lit(0)).alias("c")).select("c.*")
+    return report
+
+
 def bias_gate(disparities: DataFrame, allowed: int = MAX_DISPARITIES) -> DataFrame:
     """pass without disparities, warn up to ``allowed``, fail beyond."""
     n = F.col("disparities")

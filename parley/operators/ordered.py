@@ -14,6 +14,7 @@ Without hot keys the plan is a plain window behind one exchange.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,42 +28,64 @@ def _splits(df: DataFrame, splits: int | None) -> int:
     return int(splits or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> DataFrame:
-    """Keys holding more than one ``splits``-th of all rows, with the span of ``order`` and a piece count."""
+def hot_keys(df: DataFrame, keys: Sequence[str], splits: int | None = None) -> DataFrame:
+    """Keys holding more than one ``splits``-th of all rows, with a piece count."""
     n = _splits(df, splits)
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     return (
         beside(counts, total)
         .filter(F.col("_n") * n > F.col("_total"))
-        .select(
-            *keys, "_lo", "_hi",
-            F.ceil(F.col("_n") * n * CUT_PER_SHARE / F.col("_total")).alias("_pieces"),
-        )
+        .select(*keys, F.ceil(F.col("_n") * n * CUT_PER_SHARE / F.col("_total")).alias("_pieces"))
     )
 
 
-def with_slabs(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> tuple[DataFrame, bool]:
-    """Add the slab number: null for ordinary keys, 0..pieces-1 along ``order`` for hot ones; and are there hot ones.
+def _cuts(df: DataFrame, keys: Sequence[str], order: str, splits: int | None) -> DataFrame:
+    """(_hot_<key> ..., _cuts): for each hot key the values of ``order`` that cut its rows into about equal parts.
 
-    ``order`` must be numeric and close to unique inside a key (a position, a sequence number, a
-    timestamp in microseconds); equal values stay in one slab.
+    The cuts are approximate order statistics, an aggregate that combines before the shuffle.  A key whose order is
+    null in every row has none.
     """
-    hot = hot_keys(df, keys, order, splits)
+    hot = hot_keys(df, keys, splits)
     found = hot.collect()  # at most `splits` rows
+    most = max((r["_pieces"] for r in found), default=2)
+    named = df.sparkSession.createDataFrame(found, hot.schema).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    rows = df.select(*keys, F.col(order).alias("_at")).join(F.broadcast(named), _same(keys))
+    marks = rows.groupBy(*[f"_hot_{k}" for k in keys], "_pieces").agg(
+        F.percentile_approx("_at", [i / most for i in range(1, most)]).alias("_marks")
+    )
+    own = F.transform(
+        F.sequence(F.lit(1), F.col("_pieces").cast("int") - 1),
+        lambda i: F.element_at("_marks", F.floor(i * most / F.col("_pieces")).cast("int")),
+    )
+    return marks.filter(F.col("_marks").isNotNull()).select(*[f"_hot_{k}" for k in keys], F.array_distinct(own).alias("_cuts"))
+
+
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+
+
+def with_slabs(
+    df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None, whole: bool = False
+) -> tuple[DataFrame, bool]:
+    """Add the slab number: null for ordinary keys, 0, 1, ... along ``order`` for hot ones; and are there hot ones.
+
+    ``order`` must be numeric and close to unique inside a key (a position, a sequence number, a
+    timestamp in microseconds).  Slabs hold about equal numbers of rows, however unevenly the values lie; equal
+    values stay in one slab, and nulls, which come first, are in slab 0.  ``whole`` says that there is one key only.
+    """
+    cuts = _cuts(df, keys, order, splits)
+    found = cuts.collect()  # at most `splits` rows, with about `3 * splits` values in all
     if not found:
         return df.withColumn(SLAB, F.lit(None).cast("long")), False
-    renamed = df.sparkSession.createDataFrame(found, hot.schema).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        cond = c if cond is None else cond & c
-    span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
-    slab = F.floor((F.col(order) - F.col("_lo")).cast("double") / span * F.col("_pieces")).cast("long")
-    cut = df.join(F.broadcast(renamed), cond, "left").withColumn(SLAB, slab)  # at most `splits` rows
-    return cut.drop(*[f"_hot_{k}" for k in keys], "_lo", "_hi", "_pieces"), True
+    slab = lambda c: F.size(F.filter(c, lambda x: x < F.col(order))).cast("long")
+    if whole:
+        at = F.array(*[F.lit(v) for v in found[0]["_cuts"]]).cast(cuts.schema["_cuts"].dataType)
+        return df.withColumn(SLAB, slab(at)), True
+    known = df.sparkSession.createDataFrame(found, cuts.schema)
+    cut = df.join(F.broadcast(known), _same(keys), "left").withColumn(
+        SLAB, F.when(F.col("_cuts").isNotNull(), slab(F.col("_cuts"))))
+    return cut.drop(*[f"_hot_{k}" for k in keys], "_cuts"), True
 
 
 class OrderedScan:
@@ -82,7 +105,7 @@ class OrderedScan:
         if self._constant:
             df, keys = df.withColumn("_whole", F.lit(1)), ["_whole"]
         self.keys, self.order = list(keys), list(order)
-        self.df, self.has_hot = with_slabs(df, self.keys, self.order[0], splits)
+        self.df, self.has_hot = with_slabs(df, self.keys, self.order[0], splits, self._constant)
         self._start()
 
     def again(self, df: DataFrame) -> OrderedScan:

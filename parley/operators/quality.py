@@ -24,17 +24,27 @@ def quality_summary(reports: DataFrame, label_errors: DataFrame | None = None) -
     return beside(out, errs)
 
 
+def quality_report(reports: DataFrame, label_errors: DataFrame) -> DataFrame:
+    """Long form (section, key, n): the counts of the summary, and every label error with its path."""
+    counts = reports.agg(*[F.count_if(c).alias(n) for n, c in (
+        ("files_checked", F.lit(True)), ("passed", F.col("passed")), ("failed", ~F.col("passed")))])
+    rows = counts.unpivot([], ["files_checked", "passed", "failed"], "key", "n").select(F.lit("files").alias("section"), "key", "n")
+    errors = label_errors.select(F.lit("label error").alias("section"), F.concat_ws(": ", "path", "error").alias("key"), F.lit(1).cast("long").alias("n"))
+    return rows.unionByName(errors)
+
+
 def schema_failures(summary: DataFrame, enabled: bool = True) -> DataFrame:
-    """Findings of the validation step: failed files, or files checked and none passed."""
+    """Findings of the validation step: no summary at all, failed files, or files checked and none passed."""
     if not enabled:
         return summary.filter(F.lit(False)).select(F.lit("").alias("check"), F.lit("").alias("finding"))
+    summary = summary.agg(F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in ("files_checked", "passed", "failed", "sample_error")])
     sample = F.col("sample_error")
     cut = F.when(F.length(sample) > 80, F.concat(F.substring(sample, 1, 80), F.lit("..."))).otherwise(sample)
     failed = F.concat(
         F.lit("Validation reported "), F.col("failed").cast("string"), F.lit(" failed files"),
         F.coalesce(F.concat(F.lit("; sample: "), cut), F.lit("")),
     )
-    finding = F.when(F.col("failed") > 0, failed).when(
+    finding = F.when(F.col("_rows") == 0, "Validation gave no summary").when(F.col("failed") > 0, failed).when(
         (F.col("files_checked") > 0) & (F.col("passed") == 0), F.lit("Validation reported 0 passed files")
     )
     return summary.select(F.lit("schema").alias("check"), finding.alias("finding")).filter(F.col("finding").isNotNull())
@@ -70,13 +80,11 @@ def duration_findings(df: DataFrame, **limits) -> DataFrame:
 
 
 def consistency_findings(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    d = joins.manifest_file_diff(manifest, files)
-    missing = finding(d.filter(F.col("missing_files") > 0), "consistency", F.concat(
-        F.lit("Split "), F.col("split"), F.lit(": "), F.col("missing_files").cast("string"),
-        F.lit(" manifest entries point to missing files")))
-    extra = finding(d.filter(F.col("not_in_manifest") > 0), "consistency", F.concat(
-        F.lit("Split "), F.col("split"), F.lit(": "), F.col("not_in_manifest").cast("string"), F.lit(" files not in manifest")))
-    return missing.unionByName(extra)
+    def said(count: str, what: str) -> Column:
+        return F.when(F.col(count) > 0, F.concat(F.lit("Split "), F.col("split"), F.lit(": "), F.col(count).cast("string"), F.lit(what)))
+
+    both = F.array(said("missing_files", " manifest entries point to missing files"), said("not_in_manifest", " files not in manifest"))
+    return finding(joins.manifest_file_diff(manifest, files), "consistency", F.explode(F.array_compact(both)))
 
 
 def inventory_findings(inventory: DataFrame) -> DataFrame:

@@ -95,7 +95,8 @@ def _(spark, d):
     return spark.read.schema("emotion STRING, n BIGINT").json(reports.write_report(report, work_dir(spark)))
 
 
-@query("write_schema")
+@query("write_schema", sql("meta", """SELECT 'doc_id,path,sample_rate,channels,duration_sec,format,emotion' AS fields, CAST(0.5 AS DOUBLE) AS min_duration,
+    count(*) FILTER (WHERE duration_sec < 0.5) AS under FROM meta"""))
 def _(spark, d):
     path = reports.write_schema(file_meta(spark, d), work_dir(spark), min_duration=0.5, max_duration=30.0)
     doc = spark.read.text(path)
@@ -118,10 +119,16 @@ def _(spark, d):
     return tables.lookup_prediction(preds, config="a", best=best)
 
 
-@query("scan_media", "SELECT t || '.parquet' AS name FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) v(t)")
+@query("scan_media", """SELECT CASE WHEN dataset = '' THEN 'none' ELSE dataset END AS dataset, CAST(sum(n) AS BIGINT) AS bytes
+    FROM (SELECT COALESCE(regexp_extract(url, '//([^/]+)/', 1), '') AS dataset, strlen(COALESCE(html, '')) + 1 AS n FROM pages) GROUP BY 1""")
 def _(spark, d):
-    # the table folder holds no sound files; its Parquet files stand in
-    return media.scan_media(spark, d, ["parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    # the pages as text files, a folder per host; every row ends with one line end
+    host = F.coalesce(F.regexp_extract("url", "//([^/]+)/", 1), F.lit(""))
+    pages = table(spark, d, "pages").select(F.when(host == "", "none").otherwise(host).alias("dataset"), F.coalesce("html", F.lit("")).alias("value"))
+    path = work_dir(spark)
+    pages.write.partitionBy("dataset").text(path)
+    found = media.scan_media(spark, path, media.TEXT)
+    return found.groupBy(F.regexp_extract("path", "dataset=([^/]+)/", 1).alias("dataset")).agg(F.sum("length").alias("bytes"))
 
 
 FILES = """files AS (SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS dataset, CASE page_id % 5 WHEN 0 THEN 'a/b.WAV' WHEN 1 THEN 'pack.tar.gz' WHEN 2 THEN '.gitkeep' WHEN 3 THEN '._x.wav' ELSE 'notes.md' END AS path FROM pages)"""

@@ -126,6 +126,14 @@ def _(spark, d):
     return _summary(spark, d)
 
 
+@query("quality_report", sql("meta", """SELECT 'files' AS section, 'files_checked' AS key, files_checked AS n FROM q UNION ALL SELECT 'files', 'passed', passed FROM q
+    UNION ALL SELECT 'files', 'failed', failed FROM q
+    UNION ALL SELECT 'label error', path || ': invalid label ''' || emotion || ''' (allowed: en, fr)', 1 FROM meta WHERE emotion NOT IN ('en', 'fr')""", CHECKED, SUMMARY))
+def _(spark, d):
+    meta = file_meta(spark, d)
+    return quality.quality_report(rows.file_checks(meta), rows.label_domain_check(meta, ["en", "fr"]))
+
+
 FAILURES = """'Validation reported ' || failed || ' failed files; sample: ' || sample_error"""
 
 

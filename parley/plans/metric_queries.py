@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import metrics as M
 from parley.operators import fairness, gates, glossary, joins, predict, scoring
@@ -13,6 +14,8 @@ from parley.operators.beside import beside
 from parley.plans.base import (
     bleu_ctes, bleu_sql, chrf_ctes, chrf_sql, manifest, pairs, query, rounded, sql, sql_norm, sql_words, table, terms, without_first_word,
 )
+from parley.session import work_dir
+from parley.sources import tables
 
 HIT = f"CASE WHEN {sql_norm('ref')} = {sql_norm('hyp')} THEN 1 ELSE 0 END"
 KEY = "conv_id, turn"
@@ -374,6 +377,15 @@ def _(spark, d):
     return rounded(gates.quality_gate(_metrics(spark, d)))
 
 
+@query("gates_from_report", sql("pairs", "SELECT kind, metric, round(value, 6) AS value, CAST(minimum AS DOUBLE) AS minimum, value >= minimum AS ok FROM mr, (VALUES ('metrics'), ('configs'), ('flat')) k(kind)", *METRIC_ROWS))
+def _(spark, d):
+    # the same metrics in the three shapes of a report, written once and read back
+    row = F.struct("bleu", "chrf", "exact_match_accuracy")
+    m = spark.read.parquet(tables.write_table(_metrics(spark, d), f"{work_dir(spark)}.parquet"))
+    shapes = {"metrics": m.select(row.alias("metrics")), "configs": m.select(F.array(row).alias("configs")), "flat": m}
+    return rounded(reduce(DataFrame.unionByName, [gates.quality_gate(gates.report_metrics(r)).withColumn("kind", F.lit(k)) for k, r in shapes.items()]))
+
+
 @query("baseline_diff", sql("pairs", "SELECT metric, round(value, 6) AS value, CAST(b AS DOUBLE) AS baseline, value < b AS regressed FROM mr JOIN (VALUES ('bleu', 1.0), ('chrf', 99.0), ('exact_match_accuracy', 0.0)) v(metric, b) USING (metric)", *METRIC_ROWS))
 def _(spark, d):
     base = spark.createDataFrame([("bleu", 1.0), ("chrf", 99.0), ("exact_match_accuracy", 0.0)], "metric string, value double")

@@ -121,7 +121,23 @@ def _profiles(spark, d):
     return audio.profile_arrays(audio.noise_profile(quiet, "label", frame=FRAME), "label")
 
 
-@query("denoise")
+def denoise_sql(src: str, name: str) -> str:
+    """Discrete Fourier transform, subtraction of a fifth of the mean magnitudes of ``sp``, inverse and overlap-add."""
+    turn = f"2 * pi() * bin * (j - 1) / {FRAME}"
+    return f"""{name}p AS (SELECT label, bin, 0.2 * avg(m) AS p FROM sp GROUP BY 1, 2),
+    {name}f AS (SELECT vec_id, label, f, list_transform(s[f * 8 + 1:f * 8 + {FRAME}], lambda v, j: v * {WINDOW}) AS w FROM (SELECT *, unnest(range(0, 7)) AS f FROM {src})),
+    {name}c AS (SELECT vec_id, label, f, bin, list_sum(list_transform(w, lambda v, j: v * cos({turn}))) AS re, -list_sum(list_transform(w, lambda v, j: v * sin({turn}))) AS im
+        FROM (SELECT *, unnest(range(0, 9)) AS bin FROM {name}f)),
+    {name}g AS (SELECT vec_id, label, f, bin, re, im, greatest(sqrt(re * re + im * im) - p, greatest(p * 0.02, 1e-10)) / sqrt(re * re + im * im) AS g FROM {name}c JOIN {name}p USING (label, bin)),
+    {name}t AS (SELECT vec_id, label, f * 8 + j AS i, sum(CASE WHEN bin IN (0, {FRAME // 2}) THEN 1 ELSE 2 END * g * (re * cos({turn}) - im * sin({turn}))) / {FRAME} * any_value({WINDOW}) AS v
+        FROM {name}g, range(1, {FRAME + 1}) r(j) GROUP BY vec_id, label, f, j),
+    {name} AS (SELECT vec_id, any_value(label) AS label, list(v ORDER BY i) AS s FROM (SELECT vec_id, label, i, 2 * sum(v) AS v FROM {name}t GROUP BY ALL) GROUP BY vec_id)"""
+
+
+DENOISED = f"WITH {X}, {SPECTRA}, {denoise_sql('x', 'den')} {digest_sql('s', 'den')}"
+
+
+@query("denoise", DENOISED)
 def _(spark, d):
     return _digest(audio.denoise(_clips(spark, d), _profiles(spark, d), "label", frame=FRAME))
 
@@ -144,7 +160,17 @@ def _(spark, d):
     return audio.clean_summary(audio.clean_audio(_clips(spark, d).withColumn("samples", silent), sr=SR))
 
 
-@query("calibrated_stream")
+@query("clean_audio_chain", f"""WITH {X}, {SPECTRA}, mono AS (SELECT vec_id, label, list_transform(s, lambda v: v * 0.75) AS s FROM x), {denoise_sql('mono', 'den')},
+    lim AS (SELECT vec_id, label, list_transform(s, lambda v: greatest(-{CEILING}, least({CEILING}, v))) AS s FROM den), {loud_sql('lim', 'loud')}, {trim_sql('loud', 'cut', 3)}
+    {digest_sql('s', 'cut', "'ok' AS status,")}""")
+def _(spark, d):
+    # two channels, the second at half the level
+    frames = F.transform("samples", lambda v: F.array(v.cast("double"), v * F.lit(0.5)))
+    return _digest(audio.clean_audio(_clips(spark, d).withColumn("samples", frames), sr=SR, limit_db=-15.0, top_db=3.0, channels=True,
+                                     profiles=_profiles(spark, d), session="label", frame=FRAME))
+
+
+@query("calibrated_stream", DENOISED)
 def _(spark, d):
     s = live.chunk_stream(spark, f"{d.rstrip('/')}/embeddings.parquet", table(spark, d, "embeddings").schema)
     s = s.select("vec_id", "label", F.col("embedding").alias("samples"))
