@@ -13,10 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parley.session import work_dir
 
 
-def kept(df: DataFrame, name: str = "part") -> DataFrame:
-    """Written to a new folder under ``spark.checkpoint.dir`` and read again."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, name: str = "part", last: bool = False) -> DataFrame:
+    """Written to a new folder under ``spark.checkpoint.dir`` and read again; with ``last`` its shuffle files go at once."""
     path = f"{work_dir(df.sparkSession)}-{name}-{uuid.uuid4().hex[:6]}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    if last:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if last:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -138,6 +138,15 @@ def test_pitman_yor_counts_and_gain(docs):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
+def test_pitman_yor_tells_whole_words_apart(spark):
+    # 'cat' and 'hat', and the two Greek words, end alike; only the word itself tells what follows
+    rows = [(i, t) for i in range(0, 400, 4) if not crc(i, 1) for t in ("cat red", "hat blue", "\u03b1\u03c1\u03b1 red", "\u03b2\u03c1\u03b1 blue")]
+    asked = [i for i in range(1000, 1100) if crc(i, 1)][:4]
+    rows += list(zip(asked, ("cat red", "cat blue", "\u03b1\u03c1\u03b1 red", "\u03b1\u03c1\u03b1 blue"), strict=True))
+    got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[asked[0]] > got[asked[1]] + 0.5 and got[asked[2]] > got[asked[3]] + 0.5
+
+
 def test_quality_learns_from_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
