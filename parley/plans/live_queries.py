@@ -225,7 +225,7 @@ def _stream(spark, d) -> DataFrame:
 def _stream_chunks(spark, d) -> DataFrame:
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
     return _stream(spark, d).select(
-        F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("seq"), F.col("value").alias("level"), ((k % 5 + 1) * F.lit(0.1)).alias("seconds"))
+        F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("seq"), F.col("value").alias("level"), ((k % 5 + 1) * F.lit(0.1)).alias("seconds"), "event_id")
 
 
 @query("chunk_stream", "SELECT event_id, props AS payload FROM events")
@@ -237,13 +237,13 @@ def _(spark, d):
 
 @query("utterance_stream", gate_sql(LIVE))
 def _(spark, d):
-    return rounded(live.drain(live.utterance_stream(_stream_chunks(spark, d), LIVE), work_dir(spark)))
+    return rounded(live.drain(live.utterance_stream(_stream_chunks(spark, d), LIVE, row="event_id"), work_dir(spark)))
 
 
 @query("stream_sink", gate_sql(SIGN))
 def _(spark, d):
     folder = work_dir(spark)
-    out = live.utterance_stream(_stream_chunks(spark, d), SIGN)
+    out = live.utterance_stream(_stream_chunks(spark, d), SIGN, row="event_id")
     for _ in range(2):  # a second run finds nothing new and adds nothing
         live.stream_sink(out, f"{folder}/out", f"{folder}/checkpoint")
     return rounded(spark.read.schema(out.schema).parquet(f"{folder}/out"))
@@ -251,15 +251,15 @@ def _(spark, d):
 
 @query("history_stream", sql("words", f"SELECT session, pos, event_type, n AS utterance, {ROLE} AS role FROM num", NUMBERED))
 def _(spark, d):
-    s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), "event_type")
-    return live.drain(live.history_stream(s, "event_type", seq="pos"), work_dir(spark))
+    s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), "event_type", "event_id")
+    return live.drain(live.history_stream(s, "event_type", seq="pos", row="event_id"), work_dir(spark))
 
 
 @query("change_stream", sql("words", "SELECT session, pos, value FROM ch WHERE before IS DISTINCT FROM value", CHANGED))
 def _(spark, d):
     s = _stream(spark, d)
-    s = s.select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), _said(s).alias("value"))
-    return live.drain(live.change_stream(s, "value", seq="pos"), work_dir(spark))
+    s = s.select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), _said(s).alias("value"), "event_id")
+    return live.drain(live.change_stream(s, "value", seq="pos", row="event_id"), work_dir(spark))
 
 
 MESSAGES = """stops AS (SELECT session, min(pos) AS stop FROM words WHERE event_type = 'error' AND value > 100 GROUP BY 1),
@@ -275,16 +275,16 @@ def _(spark, d):
         .when((kind == "error") & (F.col("value") > 100), '{"type": "stop"}')
         .when(kind == "purchase", '{"type": "ping"}').otherwise("{broken")
     )
-    s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), text.alias("message"))
-    return live.drain(live.control_stream(s, "message", seq="pos"), work_dir(spark))
+    s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), text.alias("message"), "event_id")
+    return live.drain(live.control_stream(s, "message", seq="pos", row="event_id"), work_dir(spark))
 
 
 @query("session_isolation", sql("words", "SELECT num.session, pos, n FROM num LEFT JOIN stops s ON s.session = num.session WHERE stop IS NULL OR pos <= stop", MESSAGES, NUMBERED))
 def _(spark, d):
     s = _stream(spark, d).select(
         F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"),
-        ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("closes"))
-    return live.drain(live.isolated_stream(s, "closes", seq="pos"), work_dir(spark))
+        ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("closes"), "event_id")
+    return live.drain(live.isolated_stream(s, "closes", seq="pos", row="event_id"), work_dir(spark))
 
 
 GAPS = """o AS (SELECT session, pos, sum(CASE WHEN before IS NULL OR pos - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos) AS w FROM (

@@ -16,6 +16,11 @@ def _fields(ddl: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in ddl])
 
 
+def _also(row: str | None) -> list[str]:
+    """The column that tells rows of one session apart, where ``seq`` does not."""
+    return [row] if row else []
+
+
 LONG, DOUBLE, TEXT, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 
@@ -46,7 +51,7 @@ def float_samples(payload: pd.Series) -> pd.Series:
 
 def utterance_stream(
     chunks: DataFrame, gate: Gate = Gate(), session: str = "session", seq: str = "seq", level: str = "level",
-    seconds: str = "seconds", idle_ms: int | None = None,
+    seconds: str = "seconds", idle_ms: int | None = None, row: str | None = None,
 ) -> DataFrame:
     """Ended utterances, one row each, as soon as the micro-batch that ends them is done.
 
@@ -57,40 +62,40 @@ def utterance_stream(
     state = _fields([("open", BOOL), ("frames", LONG), ("silence", DOUBLE), ("duration", DOUBLE),
                      ("chunks", LONG), ("speech", LONG), ("first_seq", LONG)])
 
-    def step(values: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+    def step(values: tuple, r: dict) -> tuple[tuple, list[tuple]]:
         s = GateState(values)
-        done = s.push(gate, int(row[seq]), float(row[level]), float(row[seconds]))
+        done = s.push(gate, int(r[seq]), float(r[level]), float(r[seconds]))
         return s.values(), [done] if done else []
 
-    keep = [session, seq, level, seconds]
-    return run_state(chunks.select(*keep) if idle_ms is None else chunks, session, seq, out, state, GateState().values(), step, idle_ms)
+    keep = [session, seq, level, seconds, *_also(row)]
+    return run_state(chunks.select(*keep) if idle_ms is None else chunks, session, seq, out, state, GateState().values(), step, idle_ms, row)
 
 
-def history_stream(stream: DataFrame, text: str, session: str = "session", seq: str = "seq") -> DataFrame:
+def history_stream(stream: DataFrame, text: str, session: str = "session", seq: str = "seq", row: str | None = None) -> DataFrame:
     """Every utterance with its running number and role; the last ten are a batch read (``keep_last``) of the sink."""
     out = _fields([(session, stream.schema[session].dataType), (seq, LONG), (text, TEXT), ("utterance", LONG), ("role", TEXT)])
 
-    def step(values: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+    def step(values: tuple, r: dict) -> tuple[tuple, list[tuple]]:
         n = values[0] + 1
-        return (n,), [(int(row[seq]), row[text], n, SPEAKER_ROLES[(n - 1) % len(SPEAKER_ROLES)])]
+        return (n,), [(int(r[seq]), r[text], n, SPEAKER_ROLES[(n - 1) % len(SPEAKER_ROLES)])]
 
-    return run_state(stream.select(session, seq, text), session, seq, out, _fields([("count", LONG)]), (0,), step)
+    return run_state(stream.select(session, seq, text, *_also(row)), session, seq, out, _fields([("count", LONG)]), (0,), step, row=row)
 
 
-def change_stream(stream: DataFrame, value: str, session: str = "session", seq: str = "seq") -> DataFrame:
+def change_stream(stream: DataFrame, value: str, session: str = "session", seq: str = "seq", row: str | None = None) -> DataFrame:
     """A value passes when it is not blank and differs from the last one sent."""
     out = _fields([(session, stream.schema[session].dataType), (seq, LONG), (value, TEXT)])
 
-    def step(values: tuple, row: dict) -> tuple[tuple, list[tuple]]:
-        v = (row[value] or "").strip()
+    def step(values: tuple, r: dict) -> tuple[tuple, list[tuple]]:
+        v = (r[value] or "").strip()
         if not v or v == values[0]:
             return values, []
-        return (v,), [(int(row[seq]), v)]
+        return (v,), [(int(r[seq]), v)]
 
-    return run_state(stream.select(session, seq, value), session, seq, out, _fields([("last", TEXT)]), (None,), step)
+    return run_state(stream.select(session, seq, value, *_also(row)), session, seq, out, _fields([("last", TEXT)]), (None,), step, row=row)
 
 
-def control_stream(stream: DataFrame, message: str, session: str = "session", seq: str = "seq") -> DataFrame:
+def control_stream(stream: DataFrame, message: str, session: str = "session", seq: str = "seq", row: str | None = None) -> DataFrame:
     """Audio messages with the config in force; ``stop`` closes the session, and what follows is dropped.
 
     Messages are JSON with ``type`` config (``value``), audio, stop or ping; other text is skipped.
@@ -98,33 +103,33 @@ def control_stream(stream: DataFrame, message: str, session: str = "session", se
     """
     parsed = stream.withColumn("_m", F.from_json(message, "type STRING, value STRING", {"mode": "PERMISSIVE"}))
     slim = parsed.filter(F.col("_m")["type"].isin("config", "audio", "stop")).select(
-        session, seq, F.col("_m")["type"].alias("type"), F.col("_m")["value"].alias("value"))
+        session, seq, F.col("_m")["type"].alias("type"), F.col("_m")["value"].alias("value"), *_also(row))
     out = _fields([(session, stream.schema[session].dataType), (seq, LONG), ("active", TEXT)])
 
-    def step(values: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+    def step(values: tuple, r: dict) -> tuple[tuple, list[tuple]]:
         config, closed = values
         if closed:
             return values, []
-        if row["type"] == "config":
-            return (row["value"], False), []
-        if row["type"] == "stop":
+        if r["type"] == "config":
+            return (r["value"], False), []
+        if r["type"] == "stop":
             return (config, True), []
-        return values, [(int(row[seq]), config)]
+        return values, [(int(r[seq]), config)]
 
-    return run_state(slim, session, seq, out, _fields([("config", TEXT), ("closed", BOOL)]), (None, False), step)
+    return run_state(slim, session, seq, out, _fields([("config", TEXT), ("closed", BOOL)]), (None, False), step, row=row)
 
 
-def isolated_stream(stream: DataFrame, closes: str, session: str = "session", seq: str = "seq") -> DataFrame:
+def isolated_stream(stream: DataFrame, closes: str, session: str = "session", seq: str = "seq", row: str | None = None) -> DataFrame:
     """Chunks of open sessions with their number in the session; ``closes`` marks the chunk after which it is shut."""
     out = _fields([(session, stream.schema[session].dataType), (seq, LONG), ("n", LONG)])
 
-    def step(values: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+    def step(values: tuple, r: dict) -> tuple[tuple, list[tuple]]:
         n, closed = values
         if closed:
             return values, []
-        return (n + 1, bool(row[closes])), [(int(row[seq]), n + 1)]
+        return (n + 1, bool(r[closes])), [(int(r[seq]), n + 1)]
 
-    return run_state(stream.select(session, seq, closes), session, seq, out, _fields([("n", LONG), ("closed", BOOL)]), (0, False), step)
+    return run_state(stream.select(session, seq, closes, *_also(row)), session, seq, out, _fields([("n", LONG), ("closed", BOOL)]), (0, False), step, row=row)
 
 
 def calibrated_stream(chunks: DataFrame, profiles: DataFrame, session: str = "session", samples: str = "samples", frame: int = 512) -> DataFrame:

@@ -27,10 +27,13 @@ def _joined(seen: list[int], numbers: np.ndarray) -> list[int]:
 
 def run_state(
     stream: DataFrame, key: str, seq: str, out: T.StructType, state: T.StructType, start: tuple,
-    step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], idle_ms: int | None = None,
+    step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], idle_ms: int | None = None, row: str | None = None,
 ) -> DataFrame:
     """Fold ``step(state, row) -> (state, output rows)`` over the rows of each key in ``seq`` order.
 
+    ``row`` is a whole number that tells the rows of a key apart, where several may have one ``seq`` (a time); it
+    orders these.  Without it ``seq`` itself is that number.
+
     Rows of a key are sorted inside a micro-batch; micro-batches count in the order of their arrival.
     A row that comes late is folded in when it comes; one whose number was there before is a replay and
     has no effect.  The numbers seen are kept as ranges in the last state field, so gapless numbering
@@ -38,7 +41,7 @@ def run_state(
     source's admission limit (``maxFilesPerTrigger``).  With ``idle_ms`` (and a watermark on the stream)
     a silent key's state expires.
     """
-    names = out.fieldNames()
+    names, unique = out.fieldNames(), row or seq
     schema = T.StructType([*state.fields, T.StructField("seen", T.ArrayType(T.LongType()))])
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,12 +50,12 @@ def run_state(
             return
         *values, seen = held.get if held.exists else (*start, [])
         current, rows = tuple(values), []
-        batch = pd.concat(list(batches)).sort_values(seq, kind="stable").drop_duplicates(seq)
-        batch = batch[~_within(batch[seq].to_numpy(np.int64), seen)]
-        for row in batch.to_dict("records"):
-            current, made = step(current, row)
+        batch = pd.concat(list(batches)).sort_values([seq, unique] if row else seq, kind="stable").drop_duplicates(unique)
+        batch = batch[~_within(batch[unique].to_numpy(np.int64), seen)]
+        for record in batch.to_dict("records"):
+            current, made = step(current, record)
             rows += [(keys[0], *m) for m in made]
-        held.update((*current, _joined(seen, batch[seq].to_numpy(np.int64))))
+        held.update((*current, _joined(seen, batch[unique].to_numpy(np.int64))))
         if idle_ms is not None:
             held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + idle_ms)
         if rows:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import quality
 from parley.operators.ordered import OrderedScan
+from parley.streaming import live
 
 
 def _ranks(spark, rows, keys):
@@ -50,3 +51,23 @@ def test_every_label_error_is_in_the_report(spark):
     assert out == {("files", "files_checked"): 3, ("files", "passed"): 1, ("files", "failed"): 2,
                    ("label error", "b: bad"): 1, ("label error", "c: bad"): 1}
     assert quality.quality_report(reports, errors.filter(F.lit(False))).count() == 3
+
+
+def test_stream_keeps_rows_of_one_time(spark, tmp_path):
+    schema = "session string, seq long, text string, row long"
+    first = [("a", 5, "x", 8), ("a", 5, "y", 7), ("a", 5, "y", 7), ("a", 9, "z", 3)]
+    for part in (first, [("a", 9, "u", 4), ("a", 5, "x", 8)]):  # one more of the same time, and a replay
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = live.drain(live.history_stream(live.chunk_stream(spark, str(tmp_path / "in"), schema), "text", row="row"), str(tmp_path / "work")).collect()
+    assert sorted((r.utterance, r.seq, r.text) for r in got) == [(1, 5, "y"), (2, 5, "x"), (3, 9, "z"), (4, 9, "u")]
+
+
+def test_stream_queries_keep_events_of_one_microsecond(spark, tmp_path):
+    from parley.plans.base import QUERIES
+    from parley.plans import live_queries  # noqa: F401
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").limit(20)
+    ts = e.first()["ts"]
+    e.withColumns({"user_id": F.lit(1).cast(e.schema["user_id"].dataType), "ts": F.lit(ts).cast(e.schema["ts"].dataType)}).coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    out = QUERIES["history_stream"](spark, str(tmp_path)).collect()
+    assert sorted(r["utterance"] for r in out) == list(range(1, 21))
