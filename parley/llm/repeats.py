@@ -5,7 +5,10 @@ strings have them at the same offsets.  Only these anchors are compared: those w
 half the string's length makes groups of real repetitions, so that common lines and phrases form none.
 Around an anchor, the suffix to the right and the reversed prefix to the left are sorted by mergesort; two of
 them are compared by the length of their common extension, found by binary search on prefix hashes.  Neighbours
-in the two orders have the longest extensions, and what is claimed is verified byte by byte.
+in the two orders have the longest extensions, and what is claimed there is verified byte by byte.
+
+Three ways rest on equal 64-bit hashes alone: grams whose surroundings all have one hash, surroundings that occur more
+than once, and the windows of grams with too many different surroundings for a task.
 """
 
 from __future__ import annotations
