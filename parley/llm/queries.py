@@ -1,4 +1,4 @@
-"""The ten operators bound to the test tables, with SQL where SQL can say the same."""
+"""The operators bound to the test tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -153,3 +153,28 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.dom_content import extracted
     return extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# --- 11: sharding -------------------------------------------------------------
+
+# The checksum byte by byte with its table of 256 values made by rule; the jumps in 128-bit numbers.
+_SHARDS = """t AS (SELECT list_transform(range(256), lambda v: list_reduce(range(8), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), v)) AS crc),
+  b AS (SELECT doc_id, COALESCE(text, '') AS x FROM documents),
+  c AS (SELECT doc_id, CAST(strlen(x) + 1 AS BIGINT) AS size, xor(list_reduce(range(strlen(x)), lambda a, i:
+      xor(a >> 8, crc[(xor(a, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+      FROM (SELECT doc_id, x, hex(x) AS h FROM b), t)"""
+
+
+def _jump_sql(shards: int) -> str:
+    return f"""CAST(list_reduce(range({shards}), lambda a, k: CASE WHEN a[3] >= {shards} THEN a ELSE
+      list_transform([(a[1] * 2862933555777941757 + 1) % 18446744073709551616],
+        lambda s: [s, a[3], CAST(floor((a[3] + 1) * (2147483648.0::DOUBLE / CAST((s >> 33) + 1 AS DOUBLE))) AS HUGEINT)])[1] END,
+      [CAST(doc_id AS HUGEINT), 0::HUGEINT, 0::HUGEINT])[2] AS INTEGER)"""
+
+
+@query("op11_jump_shards", f"""WITH {_SHARDS}
+  SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
+  FROM (SELECT *, {_jump_sql(16)} AS shard, {_jump_sql(17)} AS grown_shard FROM c)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.sharding import sharded
+    return sharded(table(spark, folder, "documents"))
