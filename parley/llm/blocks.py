@@ -85,6 +85,23 @@ def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (h[end] - h[start]) * down[start]
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte range of each word, and the first word of each row with the number of words at the end."""
+    n = len(data)
+    solid = ~is_space(data)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    stops = np.zeros(n + 1, bool)
+    stops[1:] = solid
+    stops[1:n] &= ~solid[1:]
+    edge = offsets[:-1][offsets[:-1] < n]
+    begins[edge] = solid[edge]
+    edge = offsets[1:][offsets[1:] > 0]
+    stops[edge] = solid[edge - 1]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(stops), np.searchsorted(start, offsets)
+
+
 class Words:
     """Words (runs of bytes that are no white space) of all texts of a column.
 
@@ -95,19 +112,7 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n = len(data)
-        solid = ~is_space(data)
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1]
-        stops = np.zeros(n + 1, bool)
-        stops[1:] = solid
-        stops[1:n] &= ~solid[1:]
-        edge = offsets[:-1][offsets[:-1] < n]
-        begins[edge] = solid[edge]
-        edge = offsets[1:][offsets[1:] > 0]
-        stops[edge] = solid[edge - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(stops)
-        self.first = np.searchsorted(self.start, offsets)
+        self.start, self.end, self.first = word_bounds(data, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         h = range_hash(prefix_hash(data), self.start, self.end)
         self.hash = mix(h + (self.end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))

@@ -178,3 +178,16 @@ def _jump_sql(shards: int) -> str:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.sharding import sharded
     return sharded(table(spark, folder, "documents"))
+
+
+# --- 12: repeating words ------------------------------------------------------
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.periodic import periodic_runs, with_periods
+    docs = table(spark, folder, "documents")
+    rows = periodic_runs(docs.select("doc_id", with_periods(F.col("text"), F.col("doc_id")).alias("text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return rows.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.encode(listed, "utf-8"), 256).alias("runs_sha256"),
+                       F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"))
