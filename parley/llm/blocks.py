@@ -85,10 +85,13 @@ def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (h[end] - h[start]) * down[start]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte range of each word, and the first word of each row with the number of words at the end."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte range of each word, and the first word of each row with the number of words at the end.
+
+    ``solid`` marks the bytes of words; by default all that are no white space.
+    """
     n = len(data)
-    solid = ~is_space(data)
+    solid = ~is_space(data) if solid is None else solid
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     stops = np.zeros(n + 1, bool)

@@ -191,3 +191,24 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     listed = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
     return rows.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.encode(listed, "utf-8"), 256).alias("runs_sha256"),
                        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"))
+
+
+# --- 13: ranked search --------------------------------------------------------
+
+_TERMS = (r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@query("op13_ranked_search", f"""
+  WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+  total AS (SELECT count(*) FILTER (len(w) > 0) AS documents, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+  tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+  w AS (SELECT t, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY t, documents),
+  q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+  s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // terms)))) AS BIGINT) AS score
+        FROM q JOIN tf USING (t) JOIN w USING (t), total GROUP BY ALL)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0 QUALIFY rank <= 50""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from parley.llm.ranked import ranked
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

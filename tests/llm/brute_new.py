@@ -1,8 +1,10 @@
 """Plain versions of the operators that shard, find runs and rank, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 
 def jump(key, shards):
@@ -58,3 +60,29 @@ def run_row(w):
     kept = " ".join(x for i, x in enumerate(w) if i not in gone)
     return (len(found), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None,
             hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def terms(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+
+def ranked(docs, items, top):
+    """(item_id, rank, doc_id, score) for rows (doc_id, text) and (item_id, text)."""
+    bags = [(d, Counter(terms(t))) for d, t in docs]
+    documents = sum(1 for _, b in bags if b)
+    total = sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        scored = []
+        for d, b in bags:
+            score = 0
+            for t in set(terms(text)) & set(b):
+                m = 100 - 50 + (50 * sum(b.values()) * documents) // total
+                score += math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) * ((1000000000 * b[t]) // (1000 * b[t] + 20 * m))
+            if score > 0:
+                scored.append((-score, d if d is not None else -(1 << 63), d))
+        scored.sort(key=lambda r: r[:2])
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(scored[:top])]
+    return out
