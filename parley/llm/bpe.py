@@ -26,9 +26,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # The same for texts of printable ASCII and Latin letters up to U+024F, where it needs no Unicode tables.
 LATIN, LATIN_DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 LATIN_SPLIT = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[{LATIN_DIGITS}]+| ?[^\s{LATIN}{LATIN_DIGITS}]+|\s+(?!\S)|\s+"
-BATCH = 16 << 20  # bytes of text whose new words are merged together
+BATCH = 2 << 20  # bytes of text whose new words are merged together
 FEW = 12  # positions of a rank that are joined one by one
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 24 << 20  # bytes of words, of their ids and of the table's entries that a task remembers
+ENTRY = 200  # bytes of an entry besides its word and ids
 
 
 def splitter():
@@ -147,40 +148,77 @@ class Vocabulary:
         return [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of the whole texts; null counts as empty, an empty text has no ids.
+class _Encoder:
+    """Texts to ids with a bounded memory of words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.find = vocabulary, splitter()
+        special = vocabulary.special
+        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in special) + ")") if special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache = {t: np.array([i], "<u4").tobytes() for t, i in self.v.special.items()}
+        self.used = 0
+
+    def words(self, text: str) -> list[str]:
+        if self.cut and self.cut.search(text):
+            return [w for i, x in enumerate(self.cut.split(text)) for w in ([x] if i % 2 else self.find(x))]
+        return self.find(text)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids (little-endian, 32 bits each) of each text."""
+        split = [self.words(t or "") for t in texts]
+        fresh = list(set().union(*split).difference(self.cache))
+        data = [w.encode() for w in fresh]
+        if self.used + sum(map(len, data)) + ENTRY * len(data) > CACHE:
+            self.clear()
+            fresh = list(set().union(*split).difference(self.cache))
+            data = [w.encode() for w in fresh]
+        if fresh:
+            merged = self.v.merge(data)
+            self.cache.update(zip(fresh, merged, strict=True))
+            self.used += sum(map(len, data)) + sum(map(len, merged)) + ENTRY * len(data)
+        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+
+
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _texts(ids: list[bytes], piece: dict[int, bytes]) -> pa.Array:
+    return pa.array([b"".join(map(piece.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) of the whole texts, and with ``decoded`` the text that the ids stand for; null counts as empty, an empty
+    text has no ids.
 
     Strings of special tokens inside a text become those tokens, as the tokenizer file asks.  Other columns
     are not carried along.  Repeated rows are encoded each; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["key", "ids", "text"][:3 if decoded else 2]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, find = held.value, splitter()
-        cut = regex.compile("(" + "|".join(regex.escape(t) for t in v.special) + ")") if v.special else None
-        cache: dict[str, bytes] = {}
+        encoder = _Encoder(held.value)
         for batch in batches:
-            for part in pieces(batch, text, BATCH):
-                split = []
-                for t in part.column(text).to_pylist():
-                    t = t or ""
-                    if cut and cut.search(t):
-                        split.append([w for i, x in enumerate(cut.split(t)) for w in ([x] if i % 2 else find(x))])
-                    else:
-                        split.append(find(t))
-                fresh = list(set().union(*split).difference(cache))
-                if len(cache) + len(fresh) > CACHE:
-                    cache.clear()
-                    fresh = list(set().union(*split))
-                cache.update(zip(fresh, v.merge([w.encode() for w in fresh]) if fresh else [], strict=True))
-                cache.update((t, np.array([i], "<u4").tobytes()) for t, i in v.special.items() if t in cache)
-                ids = [b"".join(map(cache.__getitem__, words)) for words in split]
-                offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["key", "ids"])
+            for part in pieces(batch, "text", BATCH):
+                ids = encoder.ids(part.column("text").to_pylist())
+                columns = [part.column("key"), _id_lists(ids)]
+                if decoded:
+                    columns.append(_texts(ids, held.value.bytes))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    schema = f"key {kind}, ids array<int>" + (", text string" if decoded else "")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, text): the ids of each text and what they decode to, in one pass; see ``encode`` and ``decode``."""
+    return encode(docs, vocabulary, key, text, decoded=True)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -88,9 +88,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_bpe_round_trip")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
-    from parley.llm.bpe import Vocabulary, decode, encode
-    vocabulary = Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = decode(encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    from parley.llm.bpe import Vocabulary, round_trip
+    rows = round_trip(table(spark, folder, "documents"), Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json")))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
@@ -118,9 +117,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    from parley.llm.repeats import without_repeats
+    from parley.llm.repeats import letters, without_repeats
     return without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"), letters(F.col("rest")).alias("text"))
 
 
 # --- 2: language-model scores -------------------------------------------------

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parley.llm.blocks import mix, pieces, prefix_hash, range_hash, raw, runs
 from parley.llm.store import kept, likely, partitions
@@ -315,6 +315,12 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["own", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
+def letters(rest: Column) -> Column:
+    """Text of the bytes that are left; letters that a cut went through go."""
+    made = F.make_valid_utf8(rest.cast("string"))
+    return F.when(F.is_valid_utf8(rest.cast("string")), rest.cast("string")).otherwise(F.replace(made, F.lit("\ufffd"), F.lit("")))
+
+
 def without_repeats(docs: DataFrame, size: int = 400, gram: int = 200) -> DataFrame:
     """The columns of ``docs`` without text, and (n_bytes, n_removed, n_spans, rest): each text without the bytes that a repeated
     string of ``size`` bytes covers.

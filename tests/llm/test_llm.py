@@ -47,6 +47,7 @@ def test_bpe_equals_library(docs):
     tok = Tokenizer.from_file(FILE)
     v = bpe.Vocabulary.read(FILE)
     rows = {(r.doc_id, r.text): tuple(r.ids) for r in bpe.decode(bpe.encode(docs, v), v).collect()}
+    assert rows == {(r.doc_id, r.text): tuple(r.ids) for r in bpe.round_trip(docs, v).collect()}
     for r in docs.collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids
         assert rows[r.doc_id, tok.decode(ids, skip_special_tokens=False)] == tuple(ids)
