@@ -24,10 +24,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur elsewhere; letters cut in half go, and n_chars follows."""
-    cut = repeats.without_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("rest").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("rest").cast("string")), F.lit("�"), F.lit("")))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without strings of 200 bytes (some 35 words) that occur elsewhere; letters cut in half go, and n_chars follows.
+
+    Other columns, whatever their names, stay as they are.  Null texts stay null; repeated rows repeat each other.
+    """
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
+    cut = repeats.without_repeats(whole, size=200, gram=100)
+    text = F.when(F.col("_all")["text"].isNotNull(), repeats.letters(F.col("rest")))
+    new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return cut.select(*((new[c] if c in new else F.col("_all")[c]).alias(c) for c in docs.columns))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
