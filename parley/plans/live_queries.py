@@ -11,6 +11,7 @@ from parley.operators.utterances import Gate
 from parley.plans.base import chunks, micros_of, query, rounded, sql, table, terms, words
 from parley.session import work_dir
 from parley.streaming import live
+from parley.streaming.state import Order
 
 # --- turns -------------------------------------------------------------------
 
@@ -211,12 +212,11 @@ def _(spark, d):
     return rounded(utterances.utterances(chunks(spark, d), FRAMES))
 
 
-@query("voice_state", sql("chunks", "SELECT session, seq, level > CASE WHEN seq % 2 = 0 THEN 20 ELSE 60 END AS speech FROM chunks"))
-def _(spark, d):
-    return chunks(spark, d).select("session", "seq", utterances.voice_state(F.col("level"), F.col("seq") % 2 == 0, LIVE).alias("speech"))
+# --- streams -----------------------------------------------------------------
 
+# Every session waits for its rows in slots of ten days; one that has none for 60 days is forgotten.
+ORDER = Order(slot="10 days", idle="60 days")
 
-# --- streams -----------------------------------------------------------------
 
 def _stream(spark, d) -> DataFrame:
     return live.chunk_stream(spark, f"{d.rstrip('/')}/events.parquet", table(spark, d, "events").schema)
@@ -237,29 +237,70 @@ def _(spark, d):
 
 @query("utterance_stream", gate_sql(LIVE))
 def _(spark, d):
-    return rounded(live.drain(live.utterance_stream(_stream_chunks(spark, d), LIVE, row="event_id"), work_dir(spark)))
+    return rounded(live.drain(live.utterance_stream(_stream_chunks(spark, d), LIVE, row="event_id", order=ORDER), work_dir(spark)))
 
 
 @query("stream_sink", gate_sql(SIGN))
 def _(spark, d):
     folder = work_dir(spark)
-    out = live.utterance_stream(_stream_chunks(spark, d), SIGN, row="event_id")
+    out = live.utterance_stream(_stream_chunks(spark, d), SIGN, row="event_id", order=ORDER)
     for _ in range(2):  # a second run finds nothing new and adds nothing
         live.stream_sink(out, f"{folder}/out", f"{folder}/checkpoint")
     return rounded(spark.read.schema(out.schema).parquet(f"{folder}/out"))
 
 
-@query("history_stream", sql("words", f"SELECT session, pos, event_type, n AS utterance, {ROLE} AS role FROM num", NUMBERED))
+@query("history_stream", sql("words", f"""SELECT session, pos, event_type, n AS utterance, {ROLE} AS role, array_to_string(list(event_type) OVER (
+    PARTITION BY session ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS recent FROM num""", NUMBERED))
 def _(spark, d):
     s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), "event_type", "event_id")
-    return live.drain(live.history_stream(s, "event_type", seq="pos", row="event_id"), work_dir(spark))
+    out = live.drain(live.history_stream(s, "event_type", seq="pos", row="event_id", order=ORDER), work_dir(spark))
+    return out.withColumn("recent", F.array_join("recent", ","))
+
+
+# The live session: PCM samples whose size is the event's value; the first chunk is the calibration, an error over 100 the stop.
+AUDIO = Gate(0.002, 0.001, 6, 0.5, 0.0, False)
+
+
+def audio_sql(g: Gate, columns: str) -> str:
+    """The session as a recursive query: the noise level is that of the first chunk, the open flag is carried along."""
+    return sql("words", f"""SELECT {columns} FROM st WHERE i > 1""",
+        f"""heard AS (SELECT w.session, w.pos AS seq, round(value * 50) / 32768 AS level, row_number() OVER (PARTITION BY w.session ORDER BY pos) AS i
+          FROM words w LEFT JOIN (SELECT session, min(pos) AS stop FROM words WHERE event_type = 'error' AND value > 100 GROUP BY 1) s ON s.session = w.session
+          WHERE stop IS NULL OR pos < stop)""",
+        f"""st(session, i, seq, level, noise, was, talking, open, frames, silence) AS (
+          SELECT session, i, seq, level, level, FALSE, FALSE, FALSE, 0, CAST(0 AS DOUBLE) FROM heard WHERE i = 1
+          UNION ALL
+          SELECT session, i, seq, level, noise, was, talking, live AND NOT over, CASE WHEN live AND NOT over THEN frames2 ELSE 0 END, CASE WHEN live AND NOT over THEN silence2 ELSE 0 END
+          FROM (SELECT *, live AND NOT talking AND (frames2 >= {g.end_frames} OR silence2 >= {g.end_seconds}) AS over FROM (
+            SELECT *, was OR talking AS live, CASE WHEN talking THEN 0 ELSE frames + 1 END AS frames2, CASE WHEN talking THEN silence ELSE silence + 0.01 END AS silence2
+            FROM (SELECT h.session, h.i, h.seq, h.level, st.noise, st.open AS was, st.frames, st.silence,
+                    h.level - st.noise > CASE WHEN st.open THEN {g.keep_level} ELSE {g.start_level} END AS talking
+                  FROM st JOIN heard h ON h.session = st.session AND h.i = st.i + 1))))""")
+
+
+def _session_audio(spark, d) -> DataFrame:
+    loud = F.round(F.col("value") * 50)
+    s = _stream(spark, d).select(
+        F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("seq"), "event_id",
+        F.array_repeat(loud, 160).alias("samples"), ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("stops"))
+    return rounded(live.drain(live.session_audio_stream(s, gate=AUDIO, row="event_id", order=ORDER), work_dir(spark)))
+
+
+@query("session_audio_stream", audio_sql(AUDIO, "session, seq, round(level, 6) AS level, round(noise, 6) AS noise, was AS was_open, talking AS speech"))
+def _(spark, d):
+    return _session_audio(spark, d)
+
+
+@query("voice_state", audio_sql(AUDIO, "session, seq, was AS was_open, talking AS speech"))
+def _(spark, d):
+    return _session_audio(spark, d).select("session", "seq", "was_open", "speech")
 
 
 @query("change_stream", sql("words", "SELECT session, pos, value FROM ch WHERE before IS DISTINCT FROM value", CHANGED))
 def _(spark, d):
     s = _stream(spark, d)
     s = s.select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), _said(s).alias("value"), "event_id")
-    return live.drain(live.change_stream(s, "value", seq="pos", row="event_id"), work_dir(spark))
+    return live.drain(live.change_stream(s, "value", seq="pos", row="event_id", order=ORDER), work_dir(spark))
 
 
 MESSAGES = """stops AS (SELECT session, min(pos) AS stop FROM words WHERE event_type = 'error' AND value > 100 GROUP BY 1),
@@ -276,7 +317,7 @@ def _(spark, d):
         .when(kind == "purchase", '{"type": "ping"}').otherwise("{broken")
     )
     s = _stream(spark, d).select(F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"), text.alias("message"), "event_id")
-    return live.drain(live.control_stream(s, "message", seq="pos", row="event_id"), work_dir(spark))
+    return live.drain(live.control_stream(s, "message", seq="pos", row="event_id", order=ORDER), work_dir(spark))
 
 
 @query("session_isolation", sql("words", "SELECT num.session, pos, n FROM num LEFT JOIN stops s ON s.session = num.session WHERE stop IS NULL OR pos <= stop", MESSAGES, NUMBERED))
@@ -284,7 +325,7 @@ def _(spark, d):
     s = _stream(spark, d).select(
         F.col("user_id").alias("session"), micros_of(F.col("ts")).alias("pos"),
         ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("closes"), "event_id")
-    return live.drain(live.isolated_stream(s, "closes", seq="pos", row="event_id"), work_dir(spark))
+    return live.drain(live.isolated_stream(s, "closes", seq="pos", row="event_id", order=ORDER), work_dir(spark))
 
 
 GAPS = """o AS (SELECT session, pos, sum(CASE WHEN before IS NULL OR pos - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos) AS w FROM (
@@ -297,8 +338,7 @@ def _(spark, d):
     return turns.session_gaps(words(spark, d).select("session", "pos"), 43_200_000_000)
 
 
-# A stream gives a window once the watermark (last time less one hour) has passed its end.
-@query("session_window_stream", sql("words", "SELECT session, first, last, n FROM gapped WHERE last + 43200000000 <= (SELECT max(pos) FROM words) - 3600000000", GAPS))
+@query("session_window_stream", sql("words", "SELECT session, first, last, n FROM gapped", GAPS))
 def _(spark, d):
     s = _stream(spark, d).select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
     w = live.drain(live.session_windows(s, "ts", "12 hours"), work_dir(spark))

@@ -1,65 +1,193 @@
-"""Per-session state on a stream: rows in order, one small state, rows out."""
+"""Per-session state on a stream: rows in event-time order, one small state, rows out.
+
+Rows wait in the state store in slots of event time.  A timer opens a slot once the watermark has passed it; its rows are sorted
+and folded into the session's state.  What a task holds is one slot of one session, never a session or a micro-batch.
+"""
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from parley.session import work_dir
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_TICK = T.StructType([T.StructField("_tick", T.TimestampType())])
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def micros(span: str) -> int:
+    """Microseconds of a length such as ``10 minutes``."""
+    n, unit = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day)s?\s*", span).groups()
+    return int(n) * _UNITS[unit] * 1_000_000
+
+
+@dataclass(frozen=True)
+class Order:
+    """How rows of a session are put in order; ``seq`` counts microseconds of event time.
+
+    delay   how far a row may be behind the newest one and still take its place; later ones are folded in when they come.
+            The default waits for everything, so that a bounded run gives the same rows however the files lie.
+    slot    rows of one session within a slot are sorted together: what one task holds
+    idle    a session without rows for this long after its last slot is forgotten, with the row numbers that tell replays;
+            None keeps them
+    """
+
+    delay: str = "36500 days"
+    slot: str = "1 hour"
+    idle: str | None = None
+
+
+class _Fold(StatefulProcessor):
+    """Rows into slots, slots in order through ``step``."""
+
+    def __init__(self, names: list[str], key: str, seq: str, unique: str, out: list[str], state: T.StructType, start: tuple, step, order: Order):
+        self.names, self.key, self.seq, self.unique, self.out = names, key, seq, unique, out
+        self.state, self.start, self.step = state, start, step
+        self.slot, self.idle = micros(order.slot), micros(order.idle) if order.idle else None
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", T.StructType([*self.state.fields, T.StructField("opened", T.LongType())]))
+        self.parts = handle.getMapState("parts", "slot long", "n int")
+        self.held = handle.getMapState("held", "slot long, part int", "rows binary")
+        self.known = handle.getMapState("known", "slot long", "rows binary")
 
-def _within(numbers: np.ndarray, seen: list[int]) -> np.ndarray:
-    """Which numbers lie in the ranges (first, last, first, last, ...)."""
-    edges = np.array(seen, np.int64).reshape(-1, 2)
-    at = np.searchsorted(edges[:, 0], numbers, side="right") - 1
-    return (at >= 0) & (numbers <= np.r_[edges[:, 1], 0][at])
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=self.out)
 
+    def _fold(self, slot: int, rows: list[tuple], opened: int, values: tuple) -> tuple[tuple, list[tuple]]:
+        """One slot's rows, sorted, without those whose number was there before."""
+        at, number = self.names.index(self.seq), self.names.index(self.unique)
+        before = self.known.getValue((slot,))
+        seen = pickle.loads(before[0]) if before else set()
+        made: list[tuple] = []
+        for r in sorted(rows, key=lambda r: (r[at], r[number])):
+            if r[number] in seen:
+                continue
+            seen.add(r[number])
+            values, new = self.step(values, dict(zip(self.names, r, strict=True)))
+            made += new
+        self.known.updateValue((slot,), (pickle.dumps(seen),))
+        self.machine.update((*values, opened))
+        return values, made
 
-def _joined(seen: list[int], numbers: np.ndarray) -> list[int]:
-    """The ranges with further numbers, none of which they hold; neighbouring ranges become one."""
-    edges = np.r_[np.array(seen, np.int64).reshape(-1, 2), np.c_[numbers, numbers]]
-    edges = edges[np.argsort(edges[:, 0])]
-    cut = np.flatnonzero(edges[1:, 0] != edges[:-1, 1] + 1)
-    return np.c_[edges[np.r_[0, cut + 1], 0], edges[np.r_[cut, len(edges) - 1], 1]].ravel().tolist() if len(edges) else []
+    def _now(self) -> tuple[tuple, int | None]:
+        values = self.machine.get() if self.machine.exists() else None
+        return (tuple(values[:-1]), values[-1]) if values else (self.start, None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        values, opened = self._now()
+        made: list[tuple] = []
+        for chunk in rows:
+            records = list(zip(*(chunk[c].tolist() for c in self.names), strict=True))
+            by_slot: dict[int, list[tuple]] = {}
+            at = self.names.index(self.seq)
+            for r in records:
+                by_slot.setdefault(int(r[at]) // self.slot, []).append(r)
+            for slot, some in sorted(by_slot.items()):
+                if opened is not None and slot <= opened:  # its turn is over: folded in now
+                    values, new = self._fold(slot, some, opened, values)
+                    made += new
+                    continue
+                n = self.parts.getValue((slot,))
+                n = n[0] if n else 0
+                self.held.updateValue((slot, n), (pickle.dumps(some),))
+                self.parts.updateValue((slot,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer((slot + 1) * self.slot // 1000)
+        if made:
+            yield self._frame(key, made)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        values, opened = self._now()
+        slot = at // self.slot - 1
+        n = self.parts.getValue((slot,)) if at % self.slot == 0 else None
+        if n:
+            rows: list[tuple] = []
+            for part in range(n[0]):
+                rows += pickle.loads(self.held.getValue((slot, part))[0])
+                self.held.removeKey((slot, part))
+            self.parts.removeKey((slot,))
+            opened = slot if opened is None else max(slot, opened)
+            values, made = self._fold(slot, rows, opened, values)
+            if self.idle:
+                self.handle.registerTimer(at // 1000 + self.idle // 1000)
+            if made:
+                yield self._frame(key, made)
+        if self.idle and (at - self.idle) % self.slot == 0:
+            past = (at - self.idle) // self.slot - 1
+            self.known.removeKey((past,))
+            if opened == past and not self.parts.exists():
+                self.machine.clear()
+
+    def close(self) -> None:
+        pass
+
+
+@dataclass
+class Clock:
+    """A second source of a stream whose rows only move its watermark, so that a bounded run can open what still waits."""
+
+    path: str
+    past: int  # microseconds beyond the newest row after which every slot is open
+
+    @classmethod
+    def under(cls, spark: SparkSession, past: int) -> Clock:
+        clock = cls(f"{work_dir(spark)}-clock", past)
+        spark.createDataFrame([], _TICK).write.parquet(clock.path)
+        return clock
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        return spark.readStream.schema(_TICK).parquet(self.path)
+
+    def tick(self, spark: SparkSession, newest: str) -> None:
+        """Move the watermark past everything up to the newest time seen."""
+        at = int(datetime.fromisoformat(newest.replace("Z", "+00:00")).timestamp() * 1e6) + self.past
+        spark.range(1).select(F.timestamp_micros(F.lit(at)).alias("_tick")).write.mode("append").parquet(self.path)
+
+
+def clocked(stream: DataFrame, time: Column, delay: str, past: int) -> tuple[DataFrame, Clock]:
+    """The stream with ``time`` as watermarked column ``_tick``, and the clock that can move its watermark ``past`` microseconds on.
+
+    Rows without a time are dropped.
+    """
+    spark = stream.sparkSession
+    clock = Clock.under(spark, past)
+    timed = stream.withColumns({"_tick": time, "_live": F.lit(True)})
+    marked = timed.unionByName(clock.stream(spark).withColumn("_live", F.lit(False)), allowMissingColumns=True).withWatermark("_tick", delay)
+    # the condition uses the time, so that it stays above the watermark
+    return marked.filter(F.col("_live") == (F.unix_micros("_tick") > F.lit(-(1 << 62)))).drop("_live"), clock
 
 
 def run_state(
     stream: DataFrame, key: str, seq: str, out: T.StructType, state: T.StructType, start: tuple,
-    step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], idle_ms: int | None = None, row: str | None = None,
+    step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], row: str | None = None, order: Order = Order(),
 ) -> DataFrame:
     """Fold ``step(state, row) -> (state, output rows)`` over the rows of each key in ``seq`` order.
 
-    ``row`` is a whole number that tells the rows of a key apart, where several may have one ``seq`` (a time); it
-    orders these.  Without it ``seq`` itself is that number.
+    ``seq`` is a whole number, microseconds of event time (rows without it are dropped); ``row`` is a whole number that tells the rows of a key apart, where several
+    may have one ``seq``, and orders these.  Without it ``seq`` itself is that number.
 
-    Rows of a key are sorted inside a micro-batch; micro-batches count in the order of their arrival.
-    A row that comes late is folded in when it comes; one whose number was there before is a replay and
-    has no effect.  The numbers seen are kept as ranges in the last state field, so gapless numbering
-    keeps the state small and each gap adds two numbers.  How many rows one micro-batch holds is the
-    source's admission limit (``maxFilesPerTrigger``).  With ``idle_ms`` (and a watermark on the stream)
-    a silent key's state expires.
+    Rows wait in slots of event time until the watermark (newest ``seq`` less ``order.delay``) has passed, whatever file
+    or micro-batch brings them; a row that comes after its slot was opened is folded in when it comes.  A row whose number was
+    there before in its slot is a replay and has no effect.  A null key is a session of its own.  ``drain`` and ``stream_sink`` move the watermark past the
+    newest row at the end of a bounded run.
     """
-    names, unique = out.fieldNames(), row or seq
-    schema = T.StructType([*state.fields, T.StructField("seen", T.ArrayType(T.LongType()))])
-
-    def fold(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        *values, seen = held.get if held.exists else (*start, [])
-        current, rows = tuple(values), []
-        batch = pd.concat(list(batches)).sort_values([seq, unique] if row else seq, kind="stable").drop_duplicates(unique)
-        batch = batch[~_within(batch[unique].to_numpy(np.int64), seen)]
-        for record in batch.to_dict("records"):
-            current, made = step(current, record)
-            rows += [(keys[0], *m) for m in made]
-        held.update((*current, _joined(seen, batch[unique].to_numpy(np.int64))))
-        if idle_ms is not None:
-            held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + idle_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(key).applyInPandasWithState(fold, out, schema, "append", timeout)
+    unique = row or seq
+    timed, clock = clocked(stream, F.timestamp_micros(F.col(seq)), order.delay, micros(order.delay) + micros(order.slot) + 1_000_000)
+    rows = timed.select(*stream.columns)  # without the time column late rows are not dropped
+    names = [c for c in stream.columns if c != key]
+    fold = _Fold(names, key, seq, unique, out.fieldNames(), state, start, step, order)
+    done = rows.groupBy(key).transformWithStateInPandas(fold, out, "append", "eventTime")
+    done.clock = clock
+    return done
