@@ -61,7 +61,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tupl
 def _sample(size: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 19):
                 data, offsets = raw(part.column("text"))
                 at, g, h = anchors(data, offsets, size, gram)
                 row = np.searchsorted(offsets, at, side="right") - 1
@@ -194,7 +194,7 @@ def extents(group: np.ndarray, bodies: list[bytes], left: np.ndarray, often: np.
 
 def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 20):
             data, offsets = raw(part.column("text"))
             whole = data.tobytes()
             lists = part.column("wanted").to_pylist()
@@ -300,7 +300,7 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 20):
             rows = []
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 data, gone, left, at = text.encode(), _merged(spans), [], 0
