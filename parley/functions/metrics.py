@@ -172,22 +172,105 @@ def is_exact_match(ref: Column, hyp: Column) -> Column:
     return norm_text(F.coalesce(ref, F.lit(""))) == norm_text(F.coalesce(hyp, F.lit("")))
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Insertions, deletions and substitutions that turn the words of ``ref`` into those of ``hyp``.
+def _mask(at: list[int], size: int) -> int:
+    """A whole number with the bits ``at`` set."""
+    bits = np.zeros(size, np.uint8)
+    bits[at] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _columns(ref: list[str], hyp: list[str], keep: bool) -> tuple[int, list[tuple[int, int]]]:
+    """Edit distance of two word lists, and with ``keep`` the steps down each column of the table as bits: (one more, one less).
 
-    Each distinct word of the pair becomes one character (code points from U+10000 on, so a
-    million distinct words per pair fit), then the built-in edit distance does the work.
+    Bit-parallel: one whole number holds a column's steps, so a hypothesis word costs a few operations on len(ref) bits.
     """
+    m = len(ref)
+    if not m:
+        return len(hyp), []
+    where: dict[str, list[int]] = {w: [] for w in hyp}
+    for i, w in enumerate(ref):
+        if w in where:
+            where[w].append(i)
+    few = {w: sum(1 << i for i in at) for w, at in where.items()} if m <= 4096 else None  # masks of long texts are made when needed
+    all_, top, distance = (1 << m) - 1, 1 << m - 1, m
+    more, less = all_, 0
+    out = []
+    for w in hyp:
+        x = (few[w] if few is not None else _mask(where[w], m)) | less
+        diagonal = ((((x & more) + more) ^ more) | x) & all_
+        right_more = less | (all_ & ~(diagonal | more))
+        right_less = more & diagonal
+        if right_more & top:
+            distance += 1
+        elif right_less & top:
+            distance -= 1
+        right_more = (right_more << 1 | 1) & all_
+        right_less = right_less << 1 & all_
+        more = right_less | (all_ & ~(diagonal | right_more))
+        less = right_more & diagonal
+        if keep:
+            out.append((more, less))
+    return distance, out
+
+
+def _inner(ref: list[str], hyp: list[str]) -> tuple[list[str], list[str]]:
+    """Without what both begin and end with."""
+    n = min(len(ref), len(hyp))
+    a = next((i for i in range(n) if ref[i] != hyp[i]), n)
+    b = next((i for i in range(n - a) if ref[-1 - i] != hyp[-1 - i]), n - a)
+    return ref[a:len(ref) - b], hyp[a:len(hyp) - b]
+
+
+def split_edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of an alignment with the fewest edits, found backwards from the ends."""
+    ref, hyp = _inner(ref, hyp)
+    _, steps = _columns(ref, hyp, True)
+    i, j, changed, gone, new = len(ref), len(hyp), 0, 0, 0
+    while i and j:
+        bit = 1 << i - 1
+        if steps[j - 1][0] & bit:
+            gone, i = gone + 1, i - 1
+        elif j > 1 and steps[j - 2][1] & bit:
+            new, j = new + 1, j - 1
+        else:
+            changed += ref[i - 1] != hyp[j - 1]
+            i, j = i - 1, j - 1
+    return changed, gone + i, new + j
+
+
+def _lists(texts: pd.Series) -> list[list[str]]:
+    return [t.split(" ") if t else [] for t in texts]
+
 
-    def encode(ws: Column, vocab: Column) -> Column:
-        code = lambda w: F.lpad(F.hex(F.array_position(vocab, w) + F.lit(0xFFFF)), 8, "0")
-        return F.decode(F.unhex(F.array_join(F.transform(ws, code), "")), "UTF-32")
+def _spaced(c: Column) -> Column:
+    return F.array_join(words(c), " ")
+
+
+@F.pandas_udf(T.LongType())
+def _edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([_columns(*_inner(r, h), False)[0] for r, h in zip(_lists(ref), _lists(hyp), strict=True)], dtype="int64")
+
+
+EDITS = T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "deletions", "insertions")])
+
+
+@F.pandas_udf(EDITS)
+def _edit_splits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    rows = [split_edits(r, h) for r, h in zip(_lists(ref), _lists(hyp), strict=True)]
+    return pd.DataFrame(rows, columns=EDITS.fieldNames(), dtype="int64")
+
+
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """Insertions, deletions and substitutions that turn the words of ``ref`` into those of ``hyp``; null has no words.
+
+    There may be any number of different words: they are bits of whole numbers, in Arrow batches.
+    """
+    return _edit_counts(_spaced(ref), _spaced(hyp))
 
-    def distance(both: Column) -> Column:
-        vocab = F.array_distinct(F.concat(both["r"], both["h"]))
-        return let(vocab, lambda v: F.levenshtein(encode(both["r"], v), encode(both["h"], v)))
 
-    return let(F.struct(words(ref).alias("r"), words(hyp).alias("h")), distance).cast("long")
+def word_edit_parts(ref: Column, hyp: Column) -> Column:
+    """The same edits by kind: struct<substitutions, deletions, insertions>; a row needs a quarter byte for each pair of its words."""
+    return _edit_splits(_spaced(ref), _spaced(hyp))
 
 
 def set_difference_errors(ref: Column, hyp: Column) -> Column:

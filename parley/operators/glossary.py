@@ -1,129 +1,125 @@
 """Glossary terms inside texts: which occur in the reference, and which the hypothesis keeps.
 
-Terms are matched as substrings of lower-cased text.  There are two exact ways, chosen by a size
-check:
-
-* up to ``SMALL`` terms travel with the tasks, keyed by their first characters, and every text looks up its own runs of
-  characters in Arrow batches: no join, no shuffle (as array functions on the JVM the whole query took four times as long with 1,700 terms);
-* beyond that, the first characters of a term are its anchor, every text position gives its own,
-  and an equi join on the anchor finds the candidates.  No (text, term) pair is formed unless they
-  share an anchor, texts themselves are never shuffled, and hits combine before the shuffle.
+Terms are matched as substrings of lower-cased text, by one way for every number of terms.  The terms are written once as small
+files that Spark hands to the executors; a task builds an Aho-Corasick automaton of one shard of terms after the other, each of
+bounded size, and lets its texts run past it.  What comes out are counts or hits of each row, so texts are neither
+shuffled nor joined, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import ahocorasick
 import pandas as pd
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from parley.functions.text import let
-from parley.operators.beside import beside
+from parley.session import work_dir
 
-ANCHOR = 4
-SMALL = 100_000
+SHARD = 1 << 20  # bytes of terms in one automaton
 HITS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("kept", T.BooleanType())]))
+COUNTS = T.StructType([T.StructField("terms", T.LongType()), T.StructField("kept", T.LongType())])
+_built: dict[tuple, list[ahocorasick.Automaton]] = {}
+
+
+def _automata(files: tuple[str, ...], shard: int) -> Iterator[ahocorasick.Automaton]:
+    """The shards in turn; a glossary of one shard stays with the worker."""
+    if files in _built:
+        yield from _built[files]
+        return
+    made, found, size = 0, ahocorasick.Automaton(), 0
+    for name in files:
+        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+            for term in batch.column("term").to_pylist():
+                found.add_word(term, term)
+                size += len(term.encode())
+                if size >= shard:
+                    found.make_automaton()
+                    yield found
+                    made, found, size = made + 1, ahocorasick.Automaton(), 0
+    if size:
+        found.make_automaton()
+        if not made:
+            _built.clear()
+            _built[files] = [found]
+        yield found
+
+
+class Glossary:
+    """Terms handed to the executors; ``hits`` and ``counts`` are columns over two text columns.
+
+    ``terms`` has one lower-case column ``term``; null and empty ones are left out, repeated ones count once.  Any number of
+    terms of any length will do: a task holds ``shard`` bytes of them at a time.
+    """
 
+    def __init__(self, terms: DataFrame, shard: int = SHARD):
+        spark = terms.sparkSession
+        path = work_dir(spark) + "-terms"
+        terms.filter(F.col("term") != "").select("term").distinct().write.parquet(path)
+        files = spark.read.schema("term string").parquet(path).inputFiles()
+        for f in files:
+            spark.sparkContext.addFile(f)
+        self.files, self.shard = tuple(unquote(f.rsplit("/", 1)[1]) for f in files), shard
 
-def glossary_hits(
-    df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp", small: int = SMALL
-) -> DataFrame:
-    """One row per text and distinct term its reference holds, and whether the hypothesis keeps it.
+    def _each(self, ref: pd.Series, hyp: pd.Series) -> list[list[tuple[str, bool]]]:
+        rows: list[list[tuple[str, bool]]] = [[] for _ in ref]
+        for found in _automata(self.files, self.shard):
+            for row, r, h in zip(rows, ref, hyp, strict=True):
+                row += [(t, t in h) for t in {t for _, t in found.iter(r)}]
+        return rows
+
+    def hits(self, ref: str = "ref", hyp: str = "hyp") -> Column:
+        """array<struct<term, kept>>: each distinct term of the reference, and whether the hypothesis has it."""
+        each = self._each
+
+        @F.pandas_udf(HITS)
+        def found(r: pd.Series, h: pd.Series) -> pd.Series:
+            return pd.Series([[{"term": t, "kept": k} for t, k in row] for row in each(r, h)])
+
+        return found(_low(ref), _low(hyp))
+
+    def counts(self, ref: str = "ref", hyp: str = "hyp") -> Column:
+        """struct<terms, kept>: how many terms the reference has, and how many of them the hypothesis has."""
+        each = self._each
+
+        @F.pandas_udf(COUNTS)
+        def counted(r: pd.Series, h: pd.Series) -> pd.DataFrame:
+            rows = each(r, h)
+            return pd.DataFrame({"terms": [len(x) for x in rows], "kept": [sum(k for _, k in x) for x in rows]}, dtype="int64")
+
+        return counted(_low(ref), _low(hyp))
+
+
+def _low(name: str) -> Column:
+    return F.lower(F.coalesce(F.col(name), F.lit("")))
 
-    ``terms`` has one lower-case column ``term``; ``keys`` identify a row of ``df``.
-    """
-    t = terms.filter(F.col("term") != "").select("term").distinct()
-    texts = df.select(*keys, F.lower(F.coalesce(F.col(ref), F.lit(""))).alias("_ref"),
-                      F.lower(F.coalesce(F.col(hyp), F.lit(""))).alias("_hyp"))
-    few = [r["term"] for r in t.limit(small + 1).collect()]  # at most `small` + 1 terms reach the driver
-    if len(few) <= small:
-        return _hits_by_finder(texts, few, keys)
-    return _hits_in_stream(texts, t, keys) if df.isStreaming else _hits_by_anchor(texts, t, keys)
-
-
-def _hits_by_finder(texts: DataFrame, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    heads: dict[int, dict[str, list[str]]] = {}
-    for t in sorted(terms):
-        n = min(ANCHOR, len(t))
-        heads.setdefault(n, {}).setdefault(t[:n], []).append(t)
-
-    def find(ref: str, hyp: str) -> list[dict]:
-        out = []
-        for n, by_head in heads.items():
-            for head in {ref[i : i + n] for i in range(len(ref) - n + 1)} & by_head.keys():
-                out += [{"term": t, "kept": t in hyp} for t in by_head[head] if t in ref]
-        return out
-
-    @F.pandas_udf(HITS)
-    def found(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        return pd.Series([find(r, h) for r, h in zip(ref, hyp)])
-
-    return texts.select(*keys, F.explode(found("_ref", "_hyp")).alias("_h")).select(*keys, "_h.*")
-
-
-def _hits_by_anchor(texts: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    anchored = terms.withColumn("_anchor", F.substring("term", 1, ANCHOR))
-    sizes = anchored.agg(
-        F.max(F.length("term")).alias("_longest"), F.collect_set(F.length("_anchor")).alias("_lengths")  # at most ANCHOR lengths
-    )
-
-    def places(text: Column, is_ref: bool) -> Column:
-        at = lambda letters: F.transform(
-            F.sequence(F.lit(1), F.size(letters)),
-            lambda i: F.struct(F.array_join(F.slice(letters, i, F.col("_longest")), "").alias("tail"), F.lit(is_ref).alias("in_ref")),
-        )
-        return F.when(text != "", let(F.split(text, ""), at)).otherwise(F.array().cast("array<struct<tail:string,in_ref:boolean>>"))
-
-    spots = beside(texts, sizes).select(
-        *keys, "_lengths", F.explode(F.concat(places(F.col("_ref"), True), places(F.col("_hyp"), False))).alias("_s")
-    ).select(*keys, "_s.*", F.explode("_lengths").alias("_n"))
-    found = (
-        spots.withColumn("_anchor", F.expr("substring(tail, 1, _n)"))
-        .join(anchored, "_anchor")
-        .filter(F.startswith("tail", "term"))
-        .groupBy(*keys, "term")
-        .agg(F.bool_or("in_ref").alias("_in_ref"), F.bool_or(~F.col("in_ref")).alias("kept"))
-    )
-    return found.filter("_in_ref").select(*keys, "term", "kept")
-
-
-def _hits_in_stream(texts: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The anchor join without an aggregate: distinct anchors per text, each term has one anchor, so no hit comes twice.
-
-    Every anchor row carries its text, which suits utterances and not documents.
-    """
-    def runs(letters: Column) -> Column:
-        of = lambda n: F.transform(
-            F.sequence(F.lit(1), F.size(letters)), lambda i: F.array_join(F.slice(letters, i, n), ""))
-        return F.array_distinct(F.concat(*[of(n) for n in range(1, ANCHOR + 1)]))
 
-    anchored = terms.withColumn("_anchor", F.substring("term", 1, ANCHOR))
-    spots = texts.withColumn("_anchor", F.explode(let(F.split("_ref", ""), runs)))
-    return spots.join(anchored, "_anchor").filter(F.contains("_ref", "term")).select(
-        *keys, "term", F.contains("_hyp", "term").alias("kept"))
+def glossary_hits(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp", shard: int = SHARD) -> DataFrame:
+    """One row per text and distinct term its reference holds, and whether the hypothesis keeps it; ``keys`` go along."""
+    hits = Glossary(terms, shard).hits(ref, hyp)
+    return df.select(*keys, ref, *{hyp} - {ref}).select(*keys, F.explode(hits).alias("_h")).select(*keys, "_h.*")
 
 
-def glossary_counts(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Terms in the reference and terms kept, per row that has any."""
-    return glossary_hits(df, terms, keys, ref, hyp).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("terms"), F.count_if("kept").alias("kept")
-    )
+def glossary_counts(df: DataFrame, terms: DataFrame, ref: str = "ref", hyp: str = "hyp", shard: int = SHARD) -> DataFrame:
+    """``df`` with ``terms`` in the reference and those ``kept`` by the hypothesis, per row."""
+    return df.withColumn("_g", Glossary(terms, shard).counts(ref, hyp)).withColumns({"terms": F.col("_g.terms"), "kept": F.col("_g.kept")}).drop("_g")
 
 
-def glossary_enforcement(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+def glossary_enforcement(df: DataFrame, terms: DataFrame, ref: str = "ref", hyp: str = "hyp", shard: int = SHARD) -> DataFrame:
     """Terms kept over terms occurring, summed over all rows; null when none occurs."""
-    total = glossary_hits(df, terms, keys, ref, hyp).agg(
-        F.count(F.lit(1)).alias("terms"), F.count_if("kept").alias("kept")
-    )
+    counts = df.select(Glossary(terms, shard).counts(ref, hyp).alias("g"))
+    total = counts.agg(F.coalesce(F.sum("g.terms"), F.lit(0)).alias("terms"), F.coalesce(F.sum("g.kept"), F.lit(0)).alias("kept"))
     return total.withColumn("enforcement", F.when(F.col("terms") > 0, F.round(F.col("kept") / F.col("terms"), 4)))
 
 
-def with_glossary_flag(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref") -> DataFrame:
+def with_glossary_flag(df: DataFrame, terms: DataFrame, ref: str = "ref", shard: int = SHARD) -> DataFrame:
     """Add ``has_term``: the reference holds any term."""
-    having = glossary_hits(df, terms, keys, ref, ref).select(*keys).distinct().withColumn("_hit", F.lit(True))
-    return df.join(having, list(keys), "left").withColumn("has_term", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return df.withColumn("has_term", Glossary(terms, shard).counts(ref, ref)["terms"] > 0)
 
 
-def glossary_guard(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+def glossary_guard(df: DataFrame, terms: DataFrame, keys: Sequence[str], ref: str = "ref", hyp: str = "hyp", shard: int = SHARD) -> DataFrame:
     """The terms an utterance lost in translation (a report; nothing is rewritten)."""
-    return glossary_hits(df, terms, keys, ref, hyp).filter(~F.col("kept")).drop("kept")
+    return glossary_hits(df, terms, keys, ref, hyp, shard).filter(~F.col("kept")).drop("kept")

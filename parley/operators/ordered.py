@@ -209,11 +209,25 @@ class OrderedScan:
         return out.drop(*drop)
 
 
+def key_digest(*texts: Column) -> Column:
+    """32 bytes that stand for some texts: equal for equal ones (null is a value of its own), and no two different lists of texts are known to share
+    them."""
+    parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first along ``order``: an aggregate, so it combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
+    """One row per key, the first along ``order``: an aggregate, so it combines before the shuffle.
+
+    Text keys are grouped, sorted and shuffled by a digest of 32 bytes; the texts themselves only go along with the rows
+    that are first so far.
+    """
+    texts = [k for k in keys if df.schema[k].dataType.typeName() == "string"]
+    by = [k for k in keys if k not in texts]
+    rest = [c for c in df.columns if c not in by]
+    groups = [*by, *([key_digest(*(F.col(t) for t in texts)).alias("_digest")] if texts else [])]
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
+    return df.groupBy(*groups).agg(best).select(*by, "_row.*").select(*df.columns)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Column, k: int) -> DataFrame:

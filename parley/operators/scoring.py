@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parley.functions import metrics as M
 from parley.functions.text import strip, words
 from parley.operators.beside import beside
-from parley.operators.glossary import glossary_counts
+from parley.operators.glossary import Glossary
+from parley.operators.selection import bucket_of, quantiles
 from parley.operators.rows import ERROR_MARK, has_text
 
 
@@ -73,6 +74,13 @@ def wer(df: DataFrame, by: Sequence[str] = (), ref: str = "ref", hyp: str = "hyp
     ).withColumn("meets_target", F.col("wer") < target)
 
 
+def wer_parts(df: DataFrame, by: Sequence[str] = (), ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Word edits by kind, over the reference words."""
+    kinds = ("substitutions", "deletions", "insertions")
+    rows = df.select(*by, M.word_edit_parts(F.col(ref), F.col(hyp)).alias("_e"), F.size(words(F.col(ref))).alias("_n"))
+    return rows.groupBy(*by).agg(*[F.sum(f"_e.{k}").alias(k) for k in kinds], F.sum("_n").cast("long").alias("ref_words"))
+
+
 def wer_setdiff(df: DataFrame, by: Sequence[str] = (), ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """The order-blind error rate: words on one side only over reference words."""
     return df.groupBy(*by).agg(
@@ -116,15 +124,17 @@ def score_histogram(df: DataFrame, col: str) -> DataFrame:
 
 
 def validation_table(
-    df: DataFrame, by: str = "config_id", ref: str = "ref", hyp: str = "hyp", key: Sequence[str] = (),
+    df: DataFrame, by: str = "config_id", ref: str = "ref", hyp: str = "hyp",
     terms: DataFrame | None = None, bleu_target: float = 40.0, glossary_target: float = 0.95,
 ) -> DataFrame:
     """All metrics per config from one pass over the predictions.
 
-    BLEU, chrF and exact match are sums over the same row statistics, so they share one scan and
-    one aggregate.  The glossary part needs its own join and is attached per config.
+    BLEU, chrF, exact match and the glossary are sums over statistics of the rows, so they share one scan (and one call of the
+    model a row) and one aggregate.
     """
-    base = df.select(by, *key, ref, hyp).withColumn(hyp, F.coalesce(hyp, F.lit("")))
+    base = df.select(by, ref, hyp).withColumn(hyp, F.coalesce(hyp, F.lit("")))
+    if terms is not None:
+        base = base.withColumn("_terms", Glossary(terms).counts(ref, hyp))
     scored = F.col("_has").cast("long")
     stats = M.with_chrf_stats(M.with_bleu_stats(base, ref, hyp), ref, hyp).withColumns({
         "_has": has_text(F.col(ref)), "_hit": M.is_exact_match(F.col(ref), F.col(hyp)),
@@ -133,16 +143,16 @@ def validation_table(
         F.count(F.lit(1)).alias("n"), F.sum(scored).alias("n_scored"),
         F.sum((F.col("_has") & F.col("_hit")).cast("long")).alias("_hits"),
         *[F.sum(F.when(F.col("_has"), F.col(c)).otherwise(F.lit(0))).alias(c) for c in (*M.BLEU_STATS, *M.CHRF_STATS)],
+        *([] if terms is None else [F.sum("_terms.terms").alias("_in_ref"), F.sum("_terms.kept").alias("_kept")]),
     )
-    out = sums.select(
+    columns = [
         by, "n", "n_scored", M.bleu_score().alias("bleu"), M.chrf_score().alias("chrf"),
         F.when(F.col("n_scored") > 0, F.col("_hits") / F.col("n_scored")).otherwise(F.lit(0.0)).alias("exact_match"),
-    ).withColumn("meets_bleu_target", F.col("bleu") >= bleu_target)
-    if terms is None:
-        return out
-    kept = glossary_counts(df, terms, [by, *key], ref, hyp).groupBy(by).agg(*_sums(["terms", "kept"]))
-    share = F.round(F.col("kept") / F.col("terms"), 4).alias("glossary")
-    return out.join(kept.select(by, share), by, "left").withColumn("meets_glossary_target", F.col("glossary") >= glossary_target)
+    ]
+    if terms is not None:
+        columns.append(F.when(F.col("_in_ref") > 0, F.round(F.col("_kept") / F.col("_in_ref"), 4)).alias("glossary"))
+    out = sums.select(*columns).withColumn("meets_bleu_target", F.col("bleu") >= bleu_target)
+    return out if terms is None else out.withColumn("meets_glossary_target", F.col("glossary") >= glossary_target)
 
 
 def same_reference_ab(df: DataFrame, ref: str, hyp_a: str, hyp_b: str) -> DataFrame:
@@ -168,16 +178,12 @@ def same_reference_ab(df: DataFrame, ref: str, hyp_a: str, hyp_b: str) -> DataFr
 def quartile_bucket(df: DataFrame, col: str, name: str = "bucket") -> DataFrame:
     """Quartile of an integer column: right-closed bins, the lowest closed on both sides, equal edges merged.
 
-    The exact quartiles come from the counts of the distinct values, which are few.
+    The exact quartiles are found by counting (see ``selection``), so no task sees all values; rows without a value are in the lowest bin.
     """
-    freq = df.groupBy(F.col(col).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("f"))
-    cuts = F.percentile("v", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("f"))
-    edges = freq.agg(F.array_distinct(cuts).alias("_edges"))
-    bucket = F.when(F.size("_edges") < 2, F.lit("all")).otherwise(
-        F.concat(F.lit("q"), F.greatest(
-            F.size(F.filter("_edges", lambda e: e < F.col(col))), F.lit(1)).cast("string"))
-    )
-    return beside(df, edges).withColumn(name, bucket).drop("_edges")
+    edges = sorted(set(quantiles(df.select(F.col(col).cast("long").alias("v")), "v", (0.0, 0.25, 0.5, 0.75, 1.0))))
+    if len(edges) < 2:
+        return df.withColumn(name, F.lit("all"))
+    return df.withColumn(name, F.concat(F.lit("q"), bucket_of(F.coalesce(F.col(col), F.lit(edges[0])), edges).cast("string")))
 
 
 def stratified_means(df: DataFrame, score: str, strata: dict[str, Column]) -> DataFrame:

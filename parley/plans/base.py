@@ -112,9 +112,10 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Glossary: the long words of the benchmark passages."""
-    w = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return table(spark, folder, "benchmark").select(w.alias("term")).filter(F.length("term") >= 6).distinct()
+    """Glossary: the words of the benchmark passages, and each passage's first 40 letters and spaces; terms of 1 to 40 letters."""
+    low = F.lower("text")
+    w = F.explode(F.concat(F.split(low, r"[^\p{L}]+"), F.array(F.regexp_extract(low, r"^[\p{L} ]{1,40}", 0))))
+    return table(spark, folder, "benchmark").select(w.alias("term")).filter("term <> ''").distinct()
 
 
 # --- views: SQL side ---------------------------------------------------------
@@ -143,7 +144,7 @@ VIEWS = {
     "chunks": r"""chunks AS (SELECT user_id AS session, epoch_us(ts) AS seq, value AS level,
         (CAST(regexp_extract(props, '\d+') AS INT) % 5 + 1) * CAST(0.1 AS DOUBLE) AS seconds FROM events)""",
     "terms": r"""terms AS (SELECT DISTINCT term FROM (
-        SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS term FROM benchmark) WHERE length(term) >= 6)""",
+        SELECT unnest(list_append(string_split_regex(lower(text), '[^\p{L}]+'), regexp_extract(lower(text), '^[\p{L} ]{1,40}'))) AS term FROM benchmark) WHERE term <> '')""",
 }
 
 

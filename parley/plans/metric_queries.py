@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from parley.functions import metrics as M
 from parley.operators import fairness, gates, glossary, joins, predict, scoring
 from parley.operators.beside import beside
+from parley.operators.ledger import Ledger
 from parley.plans.base import (
     bleu_ctes, bleu_sql, chrf_ctes, chrf_sql, manifest, pairs, query, rounded, sql, sql_norm, sql_words, table, terms, without_first_word,
 )
@@ -62,6 +63,14 @@ def _(spark, d):
     return rounded(scoring.wer(pairs(spark, d), ["dataset"]))
 
 
+@query("wer_parts", sql("pairs", """SELECT dataset, CAST(sum(len(r)) AS BIGINT) AS ref_words, CAST(sum(len(r) - len(h)) AS BIGINT) AS shorter, CAST(sum(line[-1]) AS BIGINT) AS edits
+    FROM dp JOIN w ON w.conv_id = dp.conv_id AND w.turn = dp.turn AND i = len(r) GROUP BY 1""", EDITS))
+def _(spark, d):
+    parts = scoring.wer_parts(pairs(spark, d), ["dataset"])
+    edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return parts.select("dataset", "ref_words", (F.col("deletions") - F.col("insertions")).alias("shorter"), edits.alias("edits"))
+
+
 @query("match_by_length", sql("pairs", f"""SELECT short_ref, exact, CAST(count(ref) AS BIGINT) AS n FROM (VALUES (TRUE, FALSE), (TRUE, TRUE), (FALSE, FALSE), (FALSE, TRUE)) c(short_ref, exact)
     LEFT JOIN (SELECT ref, length(trim(ref)) < 50 AS s, {HIT} = 1 AS e FROM pairs WHERE trim(ref) <> '') ON s = short_ref AND e = exact GROUP BY 1, 2"""))
 def _(spark, d):
@@ -119,19 +128,20 @@ def _(spark, d):
     return glossary.glossary_hits(pairs(spark, d), terms(spark, d), ["conv_id", "turn"])
 
 
+# The same terms in shards of 4 KB, as a glossary too large for one automaton would be.
 @query("glossary_hits_by_anchor", sql("pairs terms", "SELECT conv_id, turn, term, kept FROM hits", HITS))
 def _(spark, d):
-    return glossary.glossary_hits(pairs(spark, d), terms(spark, d), ["conv_id", "turn"], small=0)
+    return glossary.glossary_hits(pairs(spark, d), terms(spark, d), ["conv_id", "turn"], shard=4096)
 
 
 @query("glossary_enforcement", sql("pairs terms", "SELECT count(*) AS terms, count(*) FILTER (WHERE kept) AS kept, round(count(*) FILTER (WHERE kept) / CAST(count(*) AS DOUBLE), 4) AS enforcement FROM hits", HITS))
 def _(spark, d):
-    return glossary.glossary_enforcement(pairs(spark, d), terms(spark, d), ["conv_id", "turn"])
+    return glossary.glossary_enforcement(pairs(spark, d), terms(spark, d))
 
 
 @query("glossary_presence", sql("pairs terms", "SELECT conv_id, turn, EXISTS (SELECT 1 FROM terms WHERE contains(lower(ref), term)) AS has_term FROM pairs"))
 def _(spark, d):
-    return glossary.with_glossary_flag(pairs(spark, d), terms(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "has_term")
+    return glossary.with_glossary_flag(pairs(spark, d), terms(spark, d)).select("conv_id", "turn", "has_term")
 
 
 @query("glossary_guard", sql("pairs terms", "SELECT conv_id, turn, term FROM hits WHERE NOT kept", HITS))
@@ -264,7 +274,7 @@ def _(spark, d):
     JOIN (SELECT config_id, round(count(*) FILTER (WHERE contains(lower(hyp), term)) / CAST(count(*) AS DOUBLE), 4) AS g FROM runs JOIN terms ON contains(lower(ref), term) GROUP BY 1) USING (config_id)""",
     *RUN_BLEU, *chrf_ctes("runs", RUN_KEY, "config_id")))
 def _(spark, d):
-    return rounded(scoring.validation_table(_runs(spark, d), key=["conv_id", "turn"], terms=terms(spark, d)))
+    return rounded(scoring.validation_table(_runs(spark, d), terms=terms(spark, d)))
 
 
 # The sweep drops words by position modulo the setting.
@@ -317,7 +327,7 @@ STRATA = f"""q AS (SELECT *, greatest(len({sql_words('ref')}), 1) AS wc, EXISTS
 
 @query("quartile_means", sql("pairs terms", """SELECT stratum, value, count(*) AS n, round(avg(f1), 6) AS mean FROM (SELECT 'length' AS stratum, bucket AS value, f1 FROM b UNION ALL SELECT 'glossary', CAST(has_term AS VARCHAR), f1 FROM b UNION ALL SELECT 'emotion', emotion, f1 FROM b) GROUP BY 1, 2""", F1, STRATA))
 def _(spark, d):
-    p = glossary.with_glossary_flag(pairs(spark, d), terms(spark, d), ["conv_id", "turn"])
+    p = glossary.with_glossary_flag(pairs(spark, d), terms(spark, d))
     p = p.withColumns({"f1": M.token_f1(F.col("ref"), F.col("hyp")), "wc": F.greatest(F.size(M.words(F.col("ref"))), F.lit(1))})
     strata = {"length": F.col("bucket"), "glossary": F.col("has_term"), "emotion": F.col("emotion")}
     return rounded(scoring.stratified_means(scoring.quartile_bucket(p, "wc"), "f1", strata))
@@ -337,7 +347,8 @@ def _(spark, d):
 @query("skip_or_call", sql("pairs", r"""SELECT conv_id, turn, CASE WHEN turn = 1 THEN '(nothing was said)' ELSE lower(trim(ref)) END AS translated_text_model, turn <> 1 AS called FROM pairs"""))
 def _(spark, d):
     p = pairs(spark, d).select("conv_id", "turn", F.when(F.col("turn") == 1, F.lit(" NaN ")).otherwise(F.col("ref")).alias("source_text"))
-    call = lambda df: predict.predict_column(df, lambda b: [t.lower() for t in b["source_text"]], ["source_text"])
+    ledger = Ledger(spark, work_dir(spark) + "-ledger")
+    call = lambda df: ledger.predict(df, lambda b: [t.lower() for t in b["source_text"]], ["source_text"])
     return predict.skip_or_call(p, call).drop("source_text")
 
 
@@ -350,12 +361,23 @@ def _(spark, d):
     return predict.predict_column(pairs(spark, d).select("conv_id", "turn", "ref"), model, ["ref", "turn"], "hyp").drop("ref")
 
 
+@query("model_ledger", sql("pairs", f"""SELECT conv_id, turn, config_id, hyp, (SELECT count(*) FROM (SELECT DISTINCT ref, config_id FROM runs)) AS calls FROM runs""", RUNS))
+def _(spark, d):
+    """Two steps ask for the same predictions; the second finds every answer in the ledger."""
+    ledger = Ledger(spark, work_dir(spark) + "-ledger")
+    grid = joins.config_grid(pairs(spark, d).select("conv_id", "turn", "ref"), CONFIGS)
+    for _ in range(2):
+        runs = ledger.predict(grid, _stub, ["ref", "config_id"], "hyp")
+    return beside(runs.select("conv_id", "turn", "config_id", "hyp"), ledger.answers().agg(F.count(F.lit(1)).alias("calls")))
+
+
 @query("manifest_predict", r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first ' || lang WHEN doc_id % 3 = 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE '(no speech)' END AS source_phrase,
     CASE WHEN doc_id % 3 = 0 THEN 'hola ' || lang WHEN doc_id % 3 = 1 THEN lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) ELSE '' END AS translated_text_model FROM documents""")
 def _(spark, d):
     i = F.col("doc_id") % 3
     m = table(spark, d, "documents").select("doc_id", "lang", F.when(i == 1, F.col("text")).when(i == 2, "  ").alias("transcript"), (i != 0).alias("has_audio"))
-    translate = lambda df: df.withColumn("translated_text_model", F.lower("source_phrase"))
+    ledger = Ledger(spark, work_dir(spark) + "-ledger")
+    translate = lambda df: ledger.predict(df, lambda b: [t.lower() for t in b["source_phrase"]], ["source_phrase"])
     generate = lambda df: df.withColumn("answer", F.concat(F.lit("EN: first "), "lang", F.lit("\nes: hola "), "lang"))
     return predict.manifest_predict(m, "transcript", translate, generate).select("doc_id", "source_phrase", "translated_text_model")
 
@@ -365,7 +387,7 @@ def _(spark, d):
 def _metrics(spark, d):
     """One row of corpus metrics over all pairs."""
     p = pairs(spark, d).withColumn("config_id", F.lit("stub"))
-    return scoring.validation_table(p, key=["conv_id", "turn"]).select("bleu", "chrf", F.col("exact_match").alias("exact_match_accuracy"))
+    return scoring.validation_table(p).select("bleu", "chrf", F.col("exact_match").alias("exact_match_accuracy"))
 
 
 METRIC_ROWS = [*BLEU_PAIRS, *chrf_ctes("pairs", KEY), f"""mr AS (SELECT 'bleu' AS metric, bleu AS value, 1.0 AS minimum FROM ({bleu_sql('')}) UNION ALL SELECT 'chrf', chrf, 5.0 FROM ({chrf_sql('')})
@@ -407,7 +429,7 @@ def _(spark, d):
     FROM (SELECT * FROM found ORDER BY round(score, 9) DESC, ord LIMIT 1), (SELECT round(count(*) FILTER (WHERE kept) / CAST(count(*) AS DOUBLE), 4) AS g FROM hits)""", *RUN_BLEU, SEARCH, HITS))
 def _(spark, d):
     best = predict.best_config(_search(spark, d))
-    share = glossary.glossary_enforcement(pairs(spark, d), terms(spark, d), ["conv_id", "turn"]).select(F.col("enforcement").alias("glossary"))
+    share = glossary.glossary_enforcement(pairs(spark, d), terms(spark, d)).select(F.col("enforcement").alias("glossary"))
     return rounded(gates.search_gate(beside(best, share)))
 
 

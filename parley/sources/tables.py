@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -61,12 +62,38 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     return path
 
 
-def write_if_absent(df: DataFrame, path: str, refresh: bool = False) -> str:
-    """Write unless the output is already there; ``refresh`` replaces it."""
-    df.write.mode("overwrite" if refresh else "ignore").parquet(path)
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end: only then it has the marker that a committed job leaves."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Write ``df`` to ``path`` so that readers find the old table or the new one, never half of one.
+
+    The rows go to a staging folder beside it, which takes the place of the table when the job is committed.  ``df`` may be read from ``path``
+    itself.  If the writing fails the old table stays.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    staging = f"{path}-staging-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(staging)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(hadoop(path), True)
+    if not files.rename(hadoop(staging), hadoop(path)):
+        raise OSError(f"cannot put {staging} in the place of {path}")
     return path
 
 
+def write_if_absent(df: DataFrame, path: str, refresh: bool = False) -> str:
+    """Write unless the whole output is already there; ``refresh`` replaces it.  What an interrupted job left counts as absent."""
+    return path if not refresh and is_whole(df.sparkSession, path) else publish(df, path)
+
+
+def replace_in_place(spark: SparkSession, path: str, new: DataFrame, prefix: str, column: str = "file") -> str:
+    """The table at ``path`` with the rows of a prefix replaced by new ones."""
+    return publish(replace_by_prefix(spark.read.parquet(path), new, prefix, column), path)
+
+
 def replace_by_prefix(base: DataFrame, new: DataFrame, prefix: str, column: str = "file") -> DataFrame:
     """The base without the rows whose file starts with the prefix, and the new rows behind."""
     kept = base.filter(~F.coalesce(F.startswith(F.col(column), F.lit(prefix)), F.lit(False)))

@@ -1,6 +1,7 @@
 """Text metrics on cases worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,15 +86,29 @@ def test_exact_match_and_token_f1(spark):
     assert f1 == pytest.approx([0.5, 1.0, 0.0])
 
 
-def test_glossary_ways_agree(spark):
-    df = frame(spark, [("The Court is in session", "the court is"), ("start", "art"), ("none here", ""), (None, "court")])
-    terms = spark.createDataFrame([("court",), ("art",), ("in",), ("is in",), ("",), ("missing term that is long",)], "term string")
-    want = {(0, "court", True), (0, "in", False), (0, "is in", False), (1, "art", True)}
-    for small in (100, 0):
-        got = glossary.glossary_hits(df, terms, ["id"], small=small)
-        assert {tuple(r) for r in got.collect()} == want
-    assert glossary.glossary_enforcement(df, terms, ["id"]).first()["enforcement"] == 0.5
-    assert glossary.glossary_enforcement(df, terms.filter("term = ''"), ["id"]).first()["enforcement"] is None
+def test_glossary_shards_agree(spark):
+    df = frame(spark, [("The Court is in session", "the court is"), ("start", "art"), ("none here", ""), (None, "court"), ("東京 a", "a 東京")])
+    terms = spark.createDataFrame([(t,) for t in ("court", "art", "in", "is in", "", None, "missing term that is long", "in", "東京", "京")], "term string")
+    want = {(0, "court", True), (0, "in", False), (0, "is in", False), (1, "art", True), (4, "東京", True), (4, "京", True)}
+    for shard in (1 << 20, 6, 1):
+        got = glossary.glossary_hits(df, terms, ["id"], shard=shard)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        counts = glossary.glossary_counts(df, terms, shard=shard)
+        assert {r.id: (r.terms, r.kept) for r in counts.collect()} == {0: (3, 1), 1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (2, 2)}
+        assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert [r.has_term for r in glossary.with_glossary_flag(df, terms).orderBy("id").collect()] == [True, True, False, False, True]
+    assert glossary.glossary_enforcement(df, terms).first()["enforcement"] == 0.6667
+    assert glossary.glossary_enforcement(df, terms.filter("term = ''")).first()["enforcement"] is None
+    assert glossary.glossary_enforcement(df.limit(0), terms).first()["enforcement"] is None
+
+
+def test_glossary_equals_plain_search(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abé ", k=rng.randint(0, 60))) for _ in range(200)]
+    terms = {"".join(rng.choices("abé ", k=rng.randint(1, 8))) for _ in range(300)}
+    df = spark.createDataFrame([(i, t, texts[-i]) for i, t in enumerate(texts)], "id long, ref string, hyp string")
+    got = glossary.glossary_hits(df, spark.createDataFrame([(t,) for t in terms], "term string"), ["id"], shard=100)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, t, t in texts[-i]) for i, x in enumerate(texts) for t in terms if t in x)
 
 
 def test_macro_f1(spark):
