@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from parley.functions import metrics as M
-from parley.operators.beside import beside
 from parley.operators.joins import value_grid
 from parley.operators.rows import ERROR_MARK
 
@@ -54,28 +53,29 @@ def group_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return value_grid(base, cols).join(counts, list(cols), "left").fillna(0, ["n"])
 
 
+def _beside_overall(groups: DataFrame, metric: str) -> DataFrame:
+    """Every row of a group table next to the overall value (``_o``) and its distance from it (``_gap``): the table is computed once.
+
+    Group tables have one row for each slice combination, so the window over all of them is one over a report.
+    """
+    overall = F.max(F.when(F.col("overall"), F.col(metric))).over(Window.partitionBy())
+    return groups.withColumn("_o", overall).withColumn("_gap", F.when(~F.col("overall"), F.abs(F.col("_o") - F.col(metric))))
+
+
 def disparities(groups: DataFrame, metric: str = "exact_match", threshold: float = 0.15) -> DataFrame:
     """Groups whose metric is more than ``threshold`` away from the overall value."""
-    overall = groups.filter("overall").select(F.col(metric).alias("overall_metric"))
-    gap = F.abs(F.col("overall_metric") - F.col(metric))
-    return (
-        beside(groups.filter(~F.col("overall")), overall)
-        .filter(gap > threshold)
-        .withColumn("absolute_gap", F.round(gap, 4))
-        .withColumnRenamed(metric, "group_metric")
-        .drop("overall")
-    )
+    far = _beside_overall(groups, metric).filter(F.col("_gap") > threshold)
+    return far.withColumn("absolute_gap", F.round("_gap", 4)).withColumnsRenamed({metric: "group_metric", "_o": "overall_metric"}).drop("overall", "_gap")
 
 
 def disparity_summary(groups: DataFrame, metric: str = "exact_match", threshold: float = 0.15) -> DataFrame:
     """One row: disparities, the widest gap, and the lowest and highest group."""
-    overall = groups.filter("overall").select(F.col(metric).alias("_o"))
-    g = beside(groups.filter(~F.col("overall")), overall).withColumn("_gap", F.abs(F.col("_o") - F.col(metric)))
-    return g.agg(
+    group = F.when(~F.col("overall"), F.col(metric))
+    return _beside_overall(groups, metric).agg(
         F.count_if(F.col("_gap") > threshold).alias("disparities"),
         F.max(F.when(F.col("_gap") > threshold, F.round("_gap", 4))).alias("max_gap"),
-        F.min(metric).alias("min_group"), F.max(metric).alias("max_group"),
-        F.max("_o").alias("overall"),
+        F.min(group).alias("min_group"), F.max(group).alias("max_group"),
+        F.max(F.when(~F.col("overall"), F.col("_o"))).alias("overall"),
     )
 
 
@@ -84,42 +84,28 @@ def mean_of_groups(groups: DataFrame, by: str, metric: str = "exact_match") -> D
     return groups.filter(~F.col("overall")).groupBy(by).agg(F.avg(metric).alias(metric))
 
 
-# Advice attached to a report of group gaps.
-ADVICE = (
-    "Report quality per slice, not one global score.",
-    "Evaluate legal wording with the glossary and phrase tables.",
-    "Add human review or more examples where a slice falls behind.",
-)
-DATASET_ADVICE = "Gaps between data sets point to domain shift."
-
-
 def model_bias_report(df: DataFrame, cols: Sequence[str], threshold: float = 0.15, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Long form (section, key, value): overall metrics, groups, disparities and notes."""
-    groups = group_metrics(df, cols, ref=ref, hyp=hyp)
-    gaps = disparities(groups, threshold=threshold)
-    summary = disparity_summary(groups, threshold=threshold)
-    key = F.concat_ws("|", *[F.col(c) for c in cols])
-
-    def rows(d: DataFrame, section: str, k: Column, v: Column) -> DataFrame:
-        return d.select(F.lit(section).alias("section"), k.alias("key"), v.cast("double").alias("value"))
-
-    parts = [
-        rows(groups.filter("overall"), "overall", F.lit("n"), F.col("n")),
-        rows(groups.filter("overall"), "overall", F.lit("exact_match"), F.col("exact_match")),
-        rows(groups.filter(~F.col("overall")), "group", key, F.col("exact_match")),
-        rows(gaps, "disparity", key, F.col("absolute_gap")),
-        rows(summary, "summary", F.lit("disparities"), F.col("disparities")),
-        rows(summary, "summary", F.lit("max_gap"), F.col("max_gap")),
-    ]
-    notes = [F.lit(a) for a in ADVICE]
-    if "dataset" in cols:
-        notes.append(F.when(F.col("disparities") > 0, F.lit(DATASET_ADVICE)))
-    noted = summary.select(F.explode(F.array_compact(F.array(*notes))).alias("note"))
-    parts.append(rows(noted, "note", F.col("note"), F.lit(None)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Long form (section, key, value): overall metrics, groups, disparities, and what they add up to, from one pass over ``df``.
+
+    ``widest`` names the group with the largest gap (ties: the first by name) where there is a disparity.
+    """
+    metric, everything = "exact_match", Window.partitionBy()
+    name = F.concat_ws("|", *[F.col(c) for c in cols])
+    groups = _beside_overall(group_metrics(df, cols, ref=ref, hyp=hyp), metric).withColumn("_key", name)
+    far = F.coalesce(F.col("_gap") > threshold, F.lit(False))
+    groups = groups.withColumns({
+        "_far": far, "_count": F.count_if(far).over(everything), "_max": F.max(F.when(far, F.round("_gap", 4))).over(everything),
+        "_widest": F.min(F.when(far, F.struct((-F.col("_gap")).alias("gap"), F.col("_key").alias("key")))).over(everything),
+    })
+
+    def row(section: str, key: Column | str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), (F.lit(key) if isinstance(key, str) else key).alias("key"), value.cast("double").alias("value"))
+
+    totals = F.array(
+        row("overall", "n", F.col("n")), row("overall", metric, F.col(metric)), row("summary", "disparities", F.col("_count")), row("summary", "max_gap", F.col("_max")),
+        F.when(F.col("_count") > 0, row("widest", F.col("_widest")["key"], F.round(-F.col("_widest")["gap"], 4))))
+    of_group = F.array(row("group", F.col("_key"), F.col(metric)), F.when(F.col("_far"), row("disparity", F.col("_key"), F.round("_gap", 4))))
+    return groups.select(F.explode(F.array_compact(F.when(F.col("overall"), totals).otherwise(of_group))).alias("r")).select("r.*")
 
 
 def custom_metric(

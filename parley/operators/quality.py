@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parley.functions import labels as L
+from parley.functions.labels import SPLITS
+from parley.functions.text import blank_to_null
 from parley.operators import joins, slices
 from parley.operators.beside import beside
+from parley.operators.rows import label_error
 
 
 def quality_summary(reports: DataFrame, label_errors: DataFrame | None = None) -> DataFrame:
@@ -24,6 +28,15 @@ def quality_summary(reports: DataFrame, label_errors: DataFrame | None = None) -
     return beside(out, errs)
 
 
+def quality_summary_of(reports: DataFrame, label: str, allowed: Sequence[str]) -> DataFrame:
+    """The same summary from file reports that still have their label: counts and label errors in one pass."""
+    error = label_error(F.col(label), allowed)
+    return reports.agg(
+        F.count(F.lit(1)).alias("files_checked"), F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.count(error).alias("label_errors"), F.min(error).alias("sample_error"),
+    )
+
+
 def quality_report(reports: DataFrame, label_errors: DataFrame) -> DataFrame:
     """Long form (section, key, n): the counts of the summary, and every label error with its path."""
     counts = reports.agg(*[F.count_if(c).alias(n) for n, c in (
@@ -102,47 +115,86 @@ def verdict(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("anomalies")).withColumn("passed", F.col("anomalies") == 0)
 
 
+def manifest_facts(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """All counts of the checks from one pass over both tables: (kind, value, n, bad, missing, extra, total, values).
+
+    Kinds are ``total``, ``split``, ``emotion``, ``dataset`` (n rows of a value, bad ones by duration) and ``files`` (per split, distinct entries without a
+    file and files without an entry).  ``total`` and ``values`` are the rows and values of a kind.  Every row is counted under its kinds
+    before the shuffle; only pairs of split and file move as they are.  Expected splits, and the total, are there with 0.
+    """
+    none, text = F.lit(None).cast("string"), F.col("file")
+    bad = (F.col("duration_sec").isNull() | (F.col("duration_sec") < 0.5) | (F.col("duration_sec") > 30.0)).cast("long")
+
+    def fact(kind: str, value: Column, file: Column, n: Column | int, bad: Column | int, side: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), file.alias("file"), F.lit(n).cast("long").alias("n"),
+                        F.lit(bad).cast("long").alias("bad"), F.lit(side).alias("side"))
+
+    entry = F.when(blank_to_null(text).isNotNull(), fact("files", F.col("split"), text, 0, 0, 1))
+    seen = F.array_compact(F.array(
+        fact("total", none, none, 1, bad, 0), *(fact(k, F.col(k), none, 1, 0, 0) for k in ("split", "emotion", "dataset")), entry))
+    of_files = files.select(fact("files", F.col("split"), text, 0, 0, 2).alias("f"))
+    given = manifest.sparkSession.createDataFrame([("total", None), *(("split", s) for s in SPLITS)], "kind string, value string")
+    rows = manifest.select(F.explode(seen).alias("f")).unionByName(of_files).select("f.*").unionByName(
+        given.select("kind", "value", none.alias("file"), *(F.lit(0).cast("long").alias(c) for c in ("n", "bad")), F.lit(0).alias("side")))
+    pairs = rows.groupBy("kind", "value", "file").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_or("side").alias("side"))
+    facts = pairs.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_if(F.col("side") == 1).alias("missing"),
+                                               F.count_if(F.col("side") == 2).alias("extra"))
+    same = Window.partitionBy("kind")
+    return facts.withColumns({"total": F.sum("n").over(same), "values": F.count(F.lit(1)).over(same)})
+
+
 def anomaly_report(manifest: DataFrame, files: DataFrame, summary: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """Every anomaly check over a manifest, the known files and the quality summary."""
-    parts = [
-        split_findings(manifest), schema_failures(summary), duration_findings(manifest),
-        label_findings(manifest), consistency_findings(manifest, files), source_findings(manifest),
-    ]
+    """Every anomaly check over a manifest, the known files and the quality summary, with the limits the single checks have.
+
+    One pass over the manifest and one over the files give one row for each thing counted; its findings are exploded from it.
+    """
+    kind, value, n, total = (F.col(c) for c in ("kind", "value", "n", "total"))
+    ratio = n / total
+
+    def said(check: str, when: Column, *parts: Column | str) -> Column:
+        return F.when(when, F.struct(F.lit(check).alias("check"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("finding")))
+
+    def share(check: str, what: str, low: Column, high: Column, on: Column) -> Column:
+        return said(check, on & (low | high), f"{what} '", value, "' is ", _pct(ratio), " of total (", F.when(high, "max").otherwise("min"), ")")
+
+    count = lambda c: F.col(c).cast("string")
+    only_unknown = (F.col("values") == 1) & (value == "unknown")
+    checks = F.array_compact(F.array(
+        said("split", (kind == "split") & value.isin(*SPLITS) & (n < 1), "Split ", value, " has ", count("n"), " files"),
+        said("duration", (kind == "total") & (F.col("bad") / n > 0.2), "Files outside the duration range: ", count("bad"), "/", count("n")),
+        share("label", "Label", (total >= 20) & (ratio < 0.05), ratio > 0.80, (kind == "emotion") & ~F.coalesce(only_unknown, F.lit(False))),
+        said("consistency", (kind == "files") & (F.col("missing") > 0), "Split ", value, ": ", count("missing"), " manifest entries point to missing files"),
+        said("consistency", (kind == "files") & (F.col("extra") > 0), "Split ", value, ": ", count("extra"), " files not in manifest"),
+        share("dataset", "Dataset", ratio < 0.01, ratio > 0.95, (kind == "dataset") & (F.col("values") > 1)),
+    ))
+    parts = [manifest_facts(manifest, files).select(F.explode(checks).alias("c")).select("c.*"), schema_failures(summary)]
     if inventory is not None:
         parts.insert(0, inventory_findings(inventory))
     return all_anomalies(parts)
 
 
-# Advice printed with a representation report.
-BIAS_ADVICE = (
-    "Score each emotion on its own.",
-    "Trust rare classes less.",
-    "Compare durations with those met in use.",
-)
-
-
 def bias_report(manifest: DataFrame, emotion: str = "emotion", threshold: float = 0.5) -> DataFrame:
-    """Long form (section, key, count, expected, flagged): totals, slices, speakers, groups and advice."""
-    def rows(df: DataFrame, section: str, key: Column, n: Column, expected: Column | None = None, flagged: Column | None = None):
-        return df.select(
-            F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"),
-            (F.lit(None) if expected is None else F.round(expected, 1)).cast("double").alias("expected"),
-            (F.lit(False) if flagged is None else flagged).alias("flagged"),
-        )
-
-    total = manifest.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("speaker_id", F.lit("unknown"))).alias("s"))
-    emo = slices.slice_disparity(manifest, emotion, threshold)
-    dur = slices.duration_slices(manifest, threshold=threshold)
-    groups = slices.overall_counts(manifest, [emotion, "speaker_id"]).filter(~F.col("overall"))
-    speakers = slices.distinct_speakers(manifest)
-    advice = total.select(F.posexplode(F.array(*[F.lit(a) for a in BIAS_ADVICE])).alias("pos", "text"))
-    parts = [
-        rows(total, "total", F.lit("entries"), F.col("n")),
-        rows(total, "total", F.lit("speakers"), F.col("s")),
-        rows(emo, "emotion", F.col("value"), F.col("n"), F.col("expected"), F.col("flagged")),
-        rows(dur, "duration", F.col("value"), F.col("n"), F.col("expected"), F.col("flagged")),
-        rows(speakers, "speaker", F.col("speaker"), F.col("n")),
-        rows(groups, "group", F.concat_ws("|", F.col(emotion), F.col("speaker_id")), F.col("n")),
-        rows(advice, "advice", F.col("text"), F.col("pos")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Long form (section, key, n, expected, flagged): totals, slices, speakers and groups, all counts from one aggregate.
+    """
+    null = F.lit(None).cast("string")
+    base = manifest.select(F.col(emotion).cast("string").alias("emotion"), F.col("speaker_id").cast("string").alias("who"), L.duration_bucket(F.col("duration_sec")).alias("bucket"))
+    e, w, b = F.col("emotion"), F.coalesce("who", F.lit("unknown")), F.col("bucket")
+    facts = F.array(*(F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in (
+        ("entries", null), ("emotion", e), ("duration", b), ("speaker", w), ("group", F.concat_ws("|", e, F.col("who"))))))
+    given = manifest.sparkSession.createDataFrame([("entries", None), *(("duration", v) for v in L.DURATION_BUCKETS)], "section string, key string")
+    counted = base.select(F.explode(facts).alias("f")).select("f.*", F.lit(1).cast("long").alias("n")).unionByName(given.withColumn("n", F.lit(0).cast("long")))
+    rows = counted.groupBy("section", "key").agg(F.sum("n").alias("n"))
+    # totals of the two sliced columns and the number of speakers, next to every row
+    one = rows.agg(F.struct(*[f(s).alias(f"{name}_{s}") for s in ("emotion", "duration") for name, f in (
+        ("total", lambda s: F.sum(F.when(F.col("section") == s, F.col("n")))), ("values", lambda s: F.count_if(F.col("section") == s)))],
+        F.count_if(F.col("section") == "speaker").alias("speakers")).alias("_t"))
+    pick = lambda name: F.when(F.col("section") == "emotion", F.col(f"_t.{name}_emotion")).when(F.col("section") == "duration", F.col(f"_t.{name}_duration"))
+    expected, flag = slices.disparity_from_uniform(F.col("n"), pick("total"), pick("values"), threshold)
+    rows = beside(rows, one).withColumns({"expected": F.round(expected, 1), "flagged": F.coalesce(flag, F.lit(False))})
+
+    def row(section: Column, key: Column, n: Column, expected: Column, flagged: Column) -> Column:
+        return F.struct(section.alias("section"), key.alias("key"), n.cast("long").alias("n"), expected.cast("double").alias("expected"), flagged.alias("flagged"))
+
+    of_total = F.array(row(F.lit("total"), F.lit("entries"), F.col("n"), F.lit(None), F.lit(False)), row(F.lit("total"), F.lit("speakers"), F.col("_t.speakers"), F.lit(None), F.lit(False)))
+    itself = F.array(row(F.col("section"), F.col("key"), F.col("n"), F.col("expected"), F.col("flagged")))
+    return rows.select(F.explode(F.when(F.col("section") == "entries", of_total).otherwise(itself)).alias("r")).select("r.*")

@@ -138,6 +138,12 @@ def file_checks(df: DataFrame, expected_sr: int = 16000, min_duration: float = 0
     return df.withColumn("errors", errors).withColumn("passed", F.size("errors") == 0)
 
 
+def label_error(label: Column, allowed: Sequence[str]) -> Column:
+    """What is wrong with a label outside the allowed set; null for a good one and for none."""
+    msg = F.concat(F.lit("invalid label '"), label, F.lit("' (allowed: " + ", ".join(allowed) + ")"))
+    return F.when((label != "") & ~label.isin(*allowed), msg)
+
+
 def label_domain_check(df: DataFrame, allowed: Sequence[str] | None, label: Column | None = None) -> DataFrame:
     """Rows whose label is outside the allowed set; blanks pass, and without a set everything does."""
     if label is None:
@@ -145,5 +151,4 @@ def label_domain_check(df: DataFrame, allowed: Sequence[str] | None, label: Colu
         label = F.coalesce(*cands, F.lit(None).cast("string"))
     if allowed is None:
         return df.filter(F.lit(False)).withColumn("error", F.lit(""))
-    msg = F.concat(F.lit("invalid label '"), label, F.lit("' (allowed: " + ", ".join(allowed) + ")"))
-    return df.filter(label.isNotNull() & ~label.isin(*allowed)).withColumn("error", msg)
+    return df.withColumn("error", label_error(label, allowed)).filter(F.col("error").isNotNull())

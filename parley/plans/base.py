@@ -49,14 +49,16 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def known_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that exist: the labelled documents, and one more per label that no manifest lists."""
-    labels = table(spark, folder, "labels")
-    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    """Files that exist: the labelled documents, and one more per label of a toxic one that no manifest lists."""
+    docs = table(spark, folder, "documents").select("doc_id", F.lit(True).alias("_there"), "lang")
     lang = F.col("lang")
     split = F.when(lang == "en", "test").when(lang == "fr", "dev").otherwise("holdout")
-    here = labels.join(docs, "doc_id").select(split.alias("split"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"))
-    extra = labels.filter("toxic = 1").select(F.lit("dev").alias("split"), F.concat(F.lit("extra_"), F.col("doc_id").cast("string")).alias("file"))
-    return here.unionByName(extra)
+
+    def file(prefix: str, split: Column) -> Column:
+        return F.struct(split.alias("split"), F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("file"))
+
+    found = F.array(F.when(F.col("_there"), file("doc_", split)), F.when(F.col("toxic") == 1, file("extra_", F.lit("dev"))))
+    return table(spark, folder, "labels").join(docs, "doc_id", "left").select(F.explode(F.array_compact(found)).alias("f")).select("f.*")
 
 
 def file_meta(spark: SparkSession, folder: str) -> DataFrame:

@@ -144,3 +144,39 @@ def test_interrupted_first_answers_are_asked_again(spark, tmp_path):
     (tmp_path / "ledger" / "_SUCCESS").unlink()
     assert ledger.answers() is None
     assert [tuple(r) for r in ledger.predict(df, lambda b: b["t"] + "!", ["t"], "o").collect()] == [("a", "a!")]
+
+
+def _scans(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("FileScan parquet")
+
+
+@pytest.mark.parametrize("name, most", [("anomaly_report", 4), ("all_anomalies", 4), ("bias_report", 2), ("model_bias_report", 2), ("disparities", 2), ("validation_table", 3)])
+def test_reports_read_their_tables_once(spark, name, most):
+    """``pairs`` joins a table with itself: two scans are one pass over it; the glossary is written before."""
+    from parley.plans import catalog
+    assert _scans(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= most
+
+
+def test_anomaly_report_equals_the_single_checks(spark):
+    from functools import reduce
+
+    from parley.operators import quality
+    schema = "file string, split string, emotion string, dataset string, duration_sec double"
+    rows = [(f"f{i}", "dev" if i < 30 else "test", "happy" if i else "odd", "a" if i % 40 else "b", 0.1 if i % 3 == 0 else 3.0) for i in range(40)]
+    rows += [(None, "dev", "happy", "a", 1.0), (" ", "dev", "happy", "a", None), ("f1", "dev", "happy", "a", 1.0)]
+    files = spark.createDataFrame([(f"f{i}", "dev") for i in range(1, 35)] + [("x", "holdout"), ("x", "holdout")], "file string, split string")
+    summary = spark.createDataFrame([(5, 0, 0, None)], "files_checked long, passed long, failed long, sample_error string")
+    for some in (rows, rows[:1], [("a", "dev", "unknown", "d", 1.0)] * 25, []):
+        m = spark.createDataFrame(some, schema)
+        parts = [quality.split_findings(m), quality.schema_failures(summary), quality.duration_findings(m), quality.label_findings(m),
+                 quality.consistency_findings(m, files), quality.source_findings(m)]
+        want = sorted(map(tuple, reduce(lambda a, b: a.unionByName(b), parts).collect()))
+        assert sorted(map(tuple, quality.anomaly_report(m, files, summary).collect())) == want
+
+
+def test_bias_report_of_an_empty_table(spark):
+    from parley.operators import quality
+    m = spark.createDataFrame([], "emotion string, speaker_id string, duration_sec double")
+    rows = {(r.section, r.key): (r.n, r.flagged) for r in quality.bias_report(m).collect()}
+    assert rows == {("total", "entries"): (0, False), ("total", "speakers"): (0, False), ("duration", "short"): (0, False), ("duration", "medium"): (0, False), ("duration", "long"): (0, False)}
