@@ -69,9 +69,17 @@ def with_defaults(configs: Sequence[dict], overrides: dict | None = None) -> lis
     return [{**CONFIG_DEFAULTS, **{k: v for k, v in c.items() if v is not None}, **given} for c in configs]
 
 
-def load_configs(spark: SparkSession, path: str, overrides: dict | None = None) -> DataFrame:
-    """One row per ``*.yaml`` file of flat ``key: value`` lines, with defaults and overrides."""
-    return parse_configs(spark.read.text(path, wholetext=True, pathGlobFilter="*.yaml"), overrides)
+def load_configs(spark: SparkSession, path: str, overrides: dict | None = None, pattern: str = "*.yaml") -> DataFrame:
+    """One row per file of flat ``key: value`` lines under a folder, with defaults and overrides.
+
+    The folder is searched at every depth for file names that match ``pattern``.
+    """
+    return parse_configs(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern), overrides)
+
+
+def config_by_id(configs: DataFrame, config_id: str) -> DataFrame:
+    """The config with an id, which its file name need not have; no row when there is none."""
+    return configs.filter(F.col("config_id") == config_id)
 
 
 def parse_configs(files: DataFrame, overrides: dict | None = None) -> DataFrame:

@@ -149,7 +149,7 @@ def anomaly_report(manifest: DataFrame, files: DataFrame, summary: DataFrame, in
     One pass over the manifest and one over the files give one row for each thing counted; its findings are exploded from it.
     """
     kind, value, n, total = (F.col(c) for c in ("kind", "value", "n", "total"))
-    ratio = n / total
+    ratio = F.try_divide(n, total)
 
     def said(check: str, when: Column, *parts: Column | str) -> Column:
         return F.when(when, F.struct(F.lit(check).alias("check"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("finding")))
@@ -161,7 +161,7 @@ def anomaly_report(manifest: DataFrame, files: DataFrame, summary: DataFrame, in
     only_unknown = (F.col("values") == 1) & (value == "unknown")
     checks = F.array_compact(F.array(
         said("split", (kind == "split") & value.isin(*SPLITS) & (n < 1), "Split ", value, " has ", count("n"), " files"),
-        said("duration", (kind == "total") & (F.col("bad") / n > 0.2), "Files outside the duration range: ", count("bad"), "/", count("n")),
+        said("duration", (kind == "total") & (F.try_divide("bad", n) > 0.2), "Files outside the duration range: ", count("bad"), "/", count("n")),
         share("label", "Label", (total >= 20) & (ratio < 0.05), ratio > 0.80, (kind == "emotion") & ~F.coalesce(only_unknown, F.lit(False))),
         said("consistency", (kind == "files") & (F.col("missing") > 0), "Split ", value, ": ", count("missing"), " manifest entries point to missing files"),
         said("consistency", (kind == "files") & (F.col("extra") > 0), "Split ", value, ": ", count("extra"), " files not in manifest"),

@@ -189,6 +189,16 @@ def _(spark, d):
     return rounded(spark.read.parquet(path))
 
 
+@query("log_run", """WITH m AS (SELECT source, min(lang) AS lang, avg(n_chars) AS mean_chars, avg(CASE WHEN lang = 'de' THEN n_chars END) AS german_chars FROM documents GROUP BY 1)
+    SELECT source, 'param' AS kind, 'lang' AS key, lang AS text, CAST(NULL AS DOUBLE) AS value FROM m UNION ALL SELECT source, 'metric', 'mean_chars', NULL, round(mean_chars, 6) FROM m
+    UNION ALL SELECT source, 'metric', 'german_chars', NULL, round(german_chars, 6) FROM m""")
+def _(spark, d):
+    german = F.avg(F.when(F.col("lang") == "de", F.col("n_chars"))).alias("german_chars")
+    m = table(spark, d, "documents").groupBy("source").agg(F.min("lang").alias("lang"), F.avg("n_chars").alias("mean_chars"), german)
+    path = reports.append_metrics(reports.log_run(m, ["source"], ["lang"], ["mean_chars", "german_chars"]), work_dir(spark))
+    return rounded(spark.read.parquet(path))
+
+
 @query("load_configs", """SELECT source AS config_id, 'vertex-ai' AS provider, 'model-' || source AS model_name, 'base' AS prompt_template_id, CAST(NULL AS VARCHAR) AS system_prompt_id,
     round(count(*) / CAST(1000 AS DOUBLE), 6) AS temperature, CAST(0.5 AS DOUBLE) AS top_p, CAST(256 AS BIGINT) AS max_output_tokens FROM documents GROUP BY source""")
 def _(spark, d):
@@ -197,5 +207,4 @@ def _(spark, d):
     text = F.format_string("id: %s\nmodel_name: \"model-%s\"  # stub\nprompt_template_id: base\ntemperature: %s\n", "source", "source", (F.col("n") / 1000).cast("string"))
     # one file per config: the text sink writes a file per partition value
     n.select("source", text.alias("value")).write.partitionBy("source").option("lineSep", "\n").text(path)
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return rounded(predict.parse_configs(raw, {"top_p": 0.5}))
+    return rounded(predict.load_configs(spark, path, {"top_p": 0.5}, pattern="*.txt"))

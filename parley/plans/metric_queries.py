@@ -212,7 +212,7 @@ def _(spark, d):
 
 # --- prediction, search, sensitivity ----------------------------------------
 
-CONFIGS = [{"config_id": c} for c in ("copy", "lower", "drop", "echo", "copy_again")]
+CONFIGS = predict.with_defaults([{"config_id": c} for c in ("copy", "lower", "drop", "echo", "copy_again")], {"temperature": 0.2})
 
 
 def _stub(batch: pd.DataFrame) -> list[str]:

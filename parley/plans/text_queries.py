@@ -253,12 +253,11 @@ def _inputs(spark, d):
         F.when(i % 7 == 0, "(error: quota)").when(i % 7 == 1, null).otherwise(F.lower(t)).alias("translated_text_model"))
 
 
-@query("features_labels", sql("", "SELECT source_text, source_language, target_language, doc_id, dataset, emotion, translated_text_model, reference_translation FROM inputs", INPUTS))
+@query("features_labels", sql("", """SELECT 'features' AS part, source_text AS text, doc_id, dataset FROM inputs UNION ALL SELECT 'labels', reference_translation, NULL, NULL FROM inputs""", INPUTS))
 def _(spark, d):
-    # features and labels are two views of one table; next to each other again they are that table
-    t = _inputs(spark, d)
-    features, labels = rows.split_features_labels(t)
-    return t.select(*features.columns, *labels.columns)
+    features, labels = rows.split_features_labels(_inputs(spark, d))
+    given = features.select(F.lit("features").alias("part"), F.col("source_text").alias("text"), "doc_id", "dataset")
+    return given.unionByName(labels.select(F.lit("labels").alias("part"), F.col("reference_translation").alias("text")), allowMissingColumns=True)
 
 
 @query("task_view", sql("manifest", "SELECT 'emotion' AS task, file AS feature, emotion AS label FROM manifest UNION ALL SELECT 'asr', file, dataset FROM manifest UNION ALL SELECT 'translation', source_text, reference_translation FROM inputs", INPUTS))

@@ -28,9 +28,18 @@ def latest_report(reports: DataFrame, precedence: Sequence[str], root: str = "ro
 
 
 def log_metrics(df: DataFrame, run: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Metrics of runs as (run columns, key, value) rows."""
-    return df.select(*run, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(run), list(columns), "key", "value").filter(
-        F.col("value").isNotNull())
+    """Metrics of runs as (run columns, key, value) rows; a metric that has no value is logged without one."""
+    return df.select(*run, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(run), list(columns), "key", "value")
+
+
+def log_run(df: DataFrame, run: Sequence[str], params: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """What a run was given and what came of it, as one log: (run columns, kind, key, text, value).
+
+    Parameters keep their text, metrics their number; nulls of both stay as rows, so that a log tells "not set" from "not logged".
+    """
+    entries = [F.struct(F.lit("param").alias("kind"), F.lit(c).alias("key"), F.col(c).cast("string").alias("text"), F.lit(None).cast("double").alias("value")) for c in params]
+    entries += [F.struct(F.lit("metric").alias("kind"), F.lit(c).alias("key"), F.lit(None).cast("string").alias("text"), F.col(c).cast("double").alias("value")) for c in metrics]
+    return df.select(*run, F.explode(F.array(*entries)).alias("_e")).select(*run, "_e.*")
 
 
 def append_metrics(rows: DataFrame, path: str) -> str:
