@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")  # after a quote that never ends quotes are letters
+BOGUS = re.compile(r"<[!?/][^>]*>")
 HINT = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -51,33 +53,50 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.depth, self.x, self.kind, self.text, self.block, self.tags = [-1], [0], [], [0], [None], [-1], ["#root"]
         facts = [(0, 0, 0, 0, 0, 0)]
-        stack = [(0, "#root", False)]
+        # open elements: node, name, place of the nearest one that is no inline element, whether inside a link
+        stack = [(0, "#root", 0, False)]
+        opened: dict[str, int] = {}
         block, pos, chars, linked = 0, 0, [0], [0]
         last = None  # the element that the open block belongs to
 
+        def shut(k: int) -> None:
+            for entry in stack[k:]:
+                opened[entry[1]] -= 1
+            del stack[k:]
+
         def add_run(t: str) -> None:
             nonlocal last, block
-            inside = next((s for s in reversed(stack) if s[1] not in INLINE), stack[0])[0]
+            inside, link = stack[stack[-1][2]][0], stack[-1][3]
             if last != inside:
                 block, last = block + 1, inside
             if not t.strip():
                 if self.block[-1] == block and self.text[-1] is not None:
                     self.text[-1] += " "
                 return
-            link = any(s[1] == "a" for s in stack)
             n = len(t)
-            for s in stack:
-                chars[s[0]] += n
-                linked[s[0]] += n * link
             self._add(stack[-1][0], 1, t, block, "#text")
             chars.append(n)
             linked.append(n * link)
             facts.append((0, 0, 0, 0, 0, link))
 
-        end = len(source)
+        end, final = len(source), source.rfind(">")
+        broken, unclosed = False, set()
         while pos < end:
-            m = TAG.search(source, pos)
-            stop = m.start() if m else end
+            stop, m = source.find("<", pos), None
+            while stop >= 0:
+                follows = source[stop + 1:stop + 2]
+                if follows and follows in "!?/" or follows.isascii() and follows.isalpha():
+                    if source.startswith("<!--", stop):
+                        m = TAG.match(source, stop)
+                    elif stop < final:
+                        m = None if broken and follows.isalpha() else TAG.match(source, stop)
+                        if m is None:
+                            broken, m = True, BROKEN.match(source, stop) or BOGUS.match(source, stop)
+                    if m:
+                        break
+                stop = source.find("<", stop + 1)
+            if stop < 0:
+                stop = end
             if stop > pos:
                 add_run(source[pos:stop])
             if not m:
@@ -87,18 +106,19 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == name:
-                        del stack[k:]
-                        if name not in INLINE:
-                            last = None
-                        break
+                if opened.get(name):
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == name)
+                    shut(k)
+                    if name not in INLINE:
+                        last = None
                 continue
             if name == "br":
                 add_run(" ")
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, pos)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, pos)
+                if not close:
+                    unclosed.add(name)
                 if name != "head":
                     pos = close.end() if close else (end if name in ("script", "style") else pos)
                 elif close:
@@ -110,14 +130,10 @@ class Page:
                 continue
             if name not in INLINE:
                 last = None
-                over = CLOSES.get(name, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    tag = stack[k][1]
-                    if tag == "p" and name not in ("td", "th", "tr") or tag in over:
-                        del stack[k:]
-                        break
-                    if tag not in INLINE:
-                        break
+                k = stack[-1][2]
+                tag = stack[k][1]
+                if k and (tag == "p" and name not in ("td", "th", "tr") or tag in CLOSES.get(name, ())):
+                    shut(k)
             hints = {w for h in HINT.findall(m[3]) for w in WORD.findall("".join(h).lower())} if m[3] else ()
             good, bad = bool(GOOD_HINT.intersection(hints)), bool(BAD_HINT.intersection(hints))
             self._add(stack[-1][0], 0, None, -1, name)
@@ -125,7 +141,11 @@ class Page:
             linked.append(0)
             facts.append((name in GOOD_TAG, name in BAD_TAG, good and not bad, bad, name in HEADING, name in TEXTUAL))
             if not m[0].endswith("/>"):
-                stack.append((len(self.parent) - 1, name, False))
+                stack.append((len(self.parent) - 1, name, stack[-1][2] if name in INLINE else len(stack), stack[-1][3] or name == "a"))
+                opened[name] = opened.get(name, 0) + 1
+        for i in range(len(self.parent) - 1, 0, -1):  # a parent stands before its children
+            chars[self.parent[i]] += chars[i]
+            linked[self.parent[i]] += linked[i]
         for i, (kind, fact) in enumerate(zip(self.kind, facts, strict=True)):
             share = linked[i] / chars[i] if chars[i] else 0.0
             t = self.text[i]
@@ -252,8 +272,11 @@ def main_text(page: Page, content: np.ndarray) -> str:
 
 
 def trained(pages: DataFrame, how: Training) -> Weights:
-    picked = pages.select("page_id", "html").filter("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(how.most)
-    return fitted([Page(r["html"]) for r in picked.select("html").collect()], how)  # at most ``how.most`` pages
+    """Weights learnt from ``how.most`` pages: their ids are picked first, and only those pages come to the driver, one for each id."""
+    there = pages.filter("html IS NOT NULL AND page_id IS NOT NULL")
+    ids = [r[0] for r in there.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(how.most).collect()]
+    picked = there.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    return fitted([Page(r["html"]) for r in picked.orderBy(F.xxhash64("page_id"), "page_id").collect()], how)
 
 
 def extracted(pages: DataFrame, how: Training | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sharding, run detection and ranked search against plain versions, with nulls, ties, repeats and empty tables."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute_new as plain
-from parley.llm import periodic, queries, ranked, sharding
+from parley.llm import dom_content, periodic, queries, ranked, sharding
 
 SCHEMA = "doc_id long, text string, shard string, slot string, runs string, score string, rank string, _row long"
 WORDS = ["a", "B", "über", "x1", "don't", "東京", "end.", "-", "Ab_cd"]
@@ -131,3 +132,19 @@ def test_few_slices_are_scored_when_the_floor_is_high(spark):
     items = [(0, "rare"), (1, "common rare"), (2, "often some")]
     got = ranked.ranked(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), top=10, most=64)
     assert Counter(tuple(r) for r in got.collect()) == Counter(plain.ranked(rows, items, 10))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 100_000, "<div>x" * 3_000, "<b>" * 50_000 + "<li>" * 3_000, "<div>" * 3_000 + "</b>" * 100_000, "</" * 200_000, "<textarea>" * 50_000,
+                                  "<a '\">" * 30_000, "<!--" * 100_000, "<" * 500_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    start = time.process_time()
+    dom_content.Page(page)
+    assert time.process_time() - start < 2
+
+
+def test_pages_with_nulls_repeats_and_broken_quotes(spark):
+    rows = [(1, "u", "<article><p>One two three.</p></article>", "x"), (1, "u", "<article><p>One two three.</p></article>", "x"), (None, None, None, None), (2, None, "", "y"),
+            (3, "v", '<article><p>kept</p><a href="never ends><p>after</p></article>', "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id or 0, r.text) for r in dom_content.extracted(df).collect()))
+    assert got == [(0, ""), (1, "One two three."), (1, "One two three."), (2, ""), (3, "kept after")]
