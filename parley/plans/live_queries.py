@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parley.functions import prompts as P
 from parley.operators import intervals, turns, utterances
@@ -37,17 +37,22 @@ def _(spark, d):
     return turns.speaker_order(words(spark, d))
 
 
-def _segments(spark, d) -> DataFrame:
+def _told(spark, d) -> DataFrame:
+    """All turns with the label of their speaker and what was found about the voice; events have no label."""
     w = words(spark, d)
     order = turns.speaker_order(w).select("session", F.col("speaker").alias("_who"), "speaker_label")
-    t = turns.turns(w).filter(~F.col("is_audio_event")).withColumn("_who", F.coalesce("speaker_id", F.lit(turns.NO_SPEAKER)))
+    t = turns.turns(w).withColumn("_who", F.when(~F.col("is_audio_event"), F.coalesce("speaker_id", F.lit(turns.NO_SPEAKER))))
     at = F.col("first_pos")
-    return t.join(order, ["session", "_who"]).select(
-        "session", "speaker_label", "first_pos", "start", "end", "text",
+    return t.join(order, ["session", "_who"], "left").select(
+        "session", "speaker_label", "first_pos", "start", "end", "text", "is_audio_event",
         F.when(at % 3 == 0, "male").when(at % 3 == 1, "female").alias("estimated_gender"),
         F.when(at % 5 < 2, "happy").when(at % 5 < 4, "sad").otherwise("calm").alias("emotion"))
 
 
+def _segments(spark, d) -> DataFrame:
+    return _told(spark, d).filter(~F.col("is_audio_event")).drop("is_audio_event")
+
+
 SUMMARY = """seg AS (SELECT t.session, 'Speaker ' || rank AS speaker_label, t.first_pos, start, "end", text,
         CASE t.first_pos % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS estimated_gender,
         CASE WHEN t.first_pos % 5 < 2 THEN 'happy' WHEN t.first_pos % 5 < 4 THEN 'sad' ELSE 'calm' END AS emotion
@@ -75,8 +80,8 @@ def _(spark, d):
     'The conversation was in English (en). ' || count(*) OVER (PARTITION BY session) || ' speaker' || CASE WHEN count(*) OVER (PARTITION BY session) = 1 THEN ' was' ELSE 's were' END || ' detected.' AS opening FROM summary""", TURNS, LABELS, SUMMARY))
 def _(spark, d):
     s = turns.speaker_summary(_segments(spark, d))
-    n = s.groupBy("session").agg(F.count(F.lit(1)).alias("_n"))
-    return s.join(n, "session").select(
+    speakers = F.count(F.lit(1)).over(Window.partitionBy("session"))  # a row for each speaker of the session
+    return s.withColumn("_n", speakers).select(
         "session", "speaker_label",
         P.speaker_sentence(F.col("speaker_label"), F.col("estimated_gender"), F.col("dominant_emotion"), F.col("total_seconds")).alias("sentence"),
         P.summary_opening(F.lit("English (en)"), F.col("_n")).alias("opening"))
@@ -85,11 +90,8 @@ def _(spark, d):
 @query("rich_line", sql("words", """SELECT session, first_pos, '[' || speaker_label || ' — estimated ' || COALESCE(estimated_gender, 'unknown') || ', ' || emotion || ']: ' || text AS line FROM seg
     UNION ALL SELECT session, first_pos, '[' || COALESCE(NULLIF(text, ''), 'event') || ']' FROM turns WHERE is_audio_event""", TURNS, LABELS, SUMMARY))
 def _(spark, d):
-    null = F.lit(None).cast("string")
-    events = turns.turns(words(spark, d)).filter("is_audio_event").select("session", "first_pos", P.rich_line(null, null, null, F.col("text"), F.lit(True)).alias("line"))
-    talk = _segments(spark, d).select("session", "first_pos", P.rich_line(
-        F.col("speaker_label"), F.coalesce("estimated_gender", F.lit("unknown")), F.col("emotion"), F.col("text"), F.lit(False)).alias("line"))
-    return talk.unionByName(events)
+    return _told(spark, d).select("session", "first_pos", P.rich_line(
+        F.col("speaker_label"), F.coalesce("estimated_gender", F.lit("unknown")), F.col("emotion"), F.col("text"), F.col("is_audio_event")).alias("line"))
 
 
 ROLE = "['Judge', 'Witness', 'Attorney', 'Defendant'][1 + CAST((n - 1) % 4 AS INT)]"
