@@ -97,11 +97,56 @@ def _left(n: Column, order: int) -> Column:
 
 def with_bleu_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """Add the row statistics of BLEU: matches and totals per order, both lengths."""
-    m = F.col("_m")
-    out = {f"bleu_m{n}": m[n - 1] for n in range(1, BLEU_ORDER + 1)}
-    out |= {f"bleu_t{n}": _left(m[BLEU_ORDER], n) for n in range(1, BLEU_ORDER + 1)}
-    out |= {"bleu_hyp": m[BLEU_ORDER], "bleu_ref": m[BLEU_ORDER + 1]}
-    return df.withColumn("_m", _token_overlaps(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref)))).withColumns(out).drop("_m")
+    return df.withColumn("_m", _token_overlaps(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref)))).withColumns(bleu_columns(F.col("_m"))).drop("_m")
+
+
+LEFT_OUT = T.ArrayType(T.StructType([T.StructField("removed_index", T.IntegerType()), T.StructField("stats", LONGS)]))
+
+
+def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> list[tuple[int, list[int]]]:
+    """For each word left out of a text (a word may be several tokens): matches with the reference per order, and both lengths.
+
+    Only the n-grams that hold a token of the word go, and only those across the gap come, so a word costs the order and not the text.
+    """
+    flat, edge = [t for w in words_ for t in w], [0]
+    for w in words_:
+        edge.append(edge[-1] + len(w))
+    total, orders = len(flat), range(1, BLEU_ORDER + 1)
+    have = {n: Counter(tuple(flat[j:j + n]) for j in range(total - n + 1)) for n in orders}
+    want = {n: Counter(tuple(ref[j:j + n]) for j in range(len(ref) - n + 1)) for n in orders}
+    whole = {n: sum(min(c, want[n][g]) for g, c in have[n].items() if g in want[n]) for n in orders}
+    out = []
+    for i, (a, b) in enumerate(zip(edge, edge[1:])):
+        row = []
+        for n in orders:
+            change: dict[tuple, int] = {}
+            for j in range(max(0, a - n + 1), min(b, total - n + 1)):
+                g = tuple(flat[j:j + n])
+                change[g] = change.get(g, 0) - 1
+            near = flat[max(0, a - n + 1):a] + flat[b:b + n - 1]
+            for j in range(len(near) - n + 1):
+                g = tuple(near[j:j + n])
+                change[g] = change.get(g, 0) + 1
+            row.append(whole[n] + sum(min(have[n][g] + d, want[n][g]) - min(have[n][g], want[n][g]) for g, d in change.items() if g in want[n]))
+        out.append((i, [*row, total - (b - a), len(ref)]))
+    return out
+
+
+@F.pandas_udf(LEFT_OUT)
+def _left_out(tokens: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([[{"removed_index": i, "stats": s} for i, s in left_out_overlaps([w.split() for w in ws], r.split())] for ws, r in zip(tokens, ref, strict=True)])
+
+
+def left_out_stats(words_: Column, ref: Column) -> Column:
+    """array<struct<removed_index, stats>>: the row statistics of BLEU of a text's words (an array) without each of them."""
+    return _left_out(F.transform(words_, tokens_13a), tokens_13a(ref))
+
+
+def bleu_columns(stats: Column) -> dict[str, Column]:
+    """The statistics columns of BLEU out of an array of matches and lengths."""
+    out = {f"bleu_m{n}": stats[n - 1] for n in range(1, BLEU_ORDER + 1)}
+    out |= {f"bleu_t{n}": _left(stats[BLEU_ORDER], n) for n in range(1, BLEU_ORDER + 1)}
+    return out | {"bleu_hyp": stats[BLEU_ORDER], "bleu_ref": stats[BLEU_ORDER + 1]}
 
 
 BLEU_STATS = [f"bleu_{k}{n}" for k in "mt" for n in range(1, BLEU_ORDER + 1)] + ["bleu_hyp", "bleu_ref"]

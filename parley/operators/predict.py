@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from parley.functions import metrics as M
 from parley.functions.prompts import parse_tagged_lines
 from parley.functions.text import NO_SPEECH, SPACE, blank_to_null, has_source, strip
 from parley.operators.joins import config_grid, with_grid
@@ -166,6 +167,21 @@ def ablation_delta(
     )
 
 
+def word_ablation_delta(df: DataFrame, keys: Sequence[str], answer: Callable[[Column], Column], source: str, ref: str) -> DataFrame:
+    """:func:`ablation_delta` for a model that answers word by word (``answer`` is a column expression of one word).
+
+    The answer without a word is then the answer's other words, so the scores come from the changes of the n-gram counts around the gap: a
+    text costs its length, not the square of it, and no text but the full one is made.
+    """
+    ws = F.split(strip(F.col(source)), f"{SPACE}+")
+    rows = df.select(*keys, source, ref, ws.alias("_w")).withColumn("_full", answer(F.col(source)))
+    full = sentence_bleu(rows, ref, "_full").withColumnRenamed("sentence_bleu", "full_score").filter(F.size("_w") >= 2)
+    each = full.withColumn("_o", F.explode(M.left_out_stats(F.transform("_w", answer), F.col(ref))))
+    scored = each.withColumns(M.bleu_columns(F.col("_o.stats"))).withColumn("_part", M.bleu_score(effective_order=True))
+    return scored.select(*keys, F.col("_o.removed_index").alias("removed_index"), F.get("_w", F.col("_o.removed_index")).alias("removed_word"),
+                         "full_score", (F.col("full_score") - F.col("_part")).alias("delta"))
+
+
 def manifest_predict(
     manifest: DataFrame, transcript: str, translate: Callable[[DataFrame], DataFrame],
     generate: Callable[[DataFrame], DataFrame], tag: str = "ES", has_audio: str = "has_audio",

@@ -312,13 +312,23 @@ ABLATED = [LEFT_OUT, "part AS (SELECT conv_id, turn, removed_index, removed_word
 FULL = [c.replace("bleu_", "full_") for c in ["low AS (SELECT conv_id, turn, ref, lower(ref) AS hyp FROM pairs)", *bleu_ctes("low", KEY), f"fb AS ({bleu_sql(KEY, True)})"]]
 
 
-@query("ablation_delta", sql("pairs", "SELECT conv_id, turn, removed_index, removed_word, round(fb.bleu, 6) AS full_score, round(fb.bleu - pb.bleu, 6) AS delta FROM pb JOIN fb USING (conv_id, turn) JOIN lo USING (conv_id, turn, removed_index)", *ABLATED, *FULL))
+DELTA = sql("pairs", "SELECT conv_id, turn, removed_index, removed_word, round(fb.bleu, 6) AS full_score, round(fb.bleu - pb.bleu, 6) AS delta FROM pb JOIN fb USING (conv_id, turn) JOIN lo USING (conv_id, turn, removed_index)", *ABLATED, *FULL)
+
+
+@query("ablation_delta", DELTA)
 def _(spark, d):
     lower = lambda df, src, out: df.withColumn(out, F.lower(src))
     p = pairs(spark, d).select("conv_id", "turn", "ref").withColumn("src", F.col("ref"))
     return rounded(predict.ablation_delta(p, ["conv_id", "turn"], lower, "src", "ref"))
 
 
+# The same for a model that answers word by word, from count changes around the gap.
+@query("ablation_delta_by_word", DELTA)
+def _(spark, d):
+    p = pairs(spark, d).select("conv_id", "turn", "ref").withColumn("src", F.col("ref"))
+    return rounded(predict.word_ablation_delta(p, ["conv_id", "turn"], F.lower, "src", "ref"))
+
+
 STRATA = f"""q AS (SELECT *, greatest(len({sql_words('ref')}), 1) AS wc, EXISTS (SELECT 1 FROM terms WHERE contains(lower(ref), term)) AS has_term FROM f1),
     e AS (SELECT list_distinct(quantile_cont(wc, [0, 0.25, 0.5, 0.75, 1])) AS edges FROM q),
     b AS (SELECT q.*, CASE WHEN len(edges) < 2 THEN 'all' ELSE 'q' || greatest(len(list_filter(edges, lambda x: x < wc)), 1) END AS bucket FROM q, e)"""
