@@ -31,6 +31,15 @@ def kept(df: DataFrame, name: str = "part", last: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``kept`` has written, once nothing reads them any more."""
+    for t in tables:
+        jvm, files = t.sparkSession._jvm, t.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rsplit("/", 1)[0]))
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
