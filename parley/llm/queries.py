@@ -69,15 +69,24 @@ _RULES = r"""w AS (SELECT doc_id, source, COALESCE(text, '') AS t, list_filter(s
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, COALESCE(n, 0) AS n_repeat_words
       FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
   b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-  hosts AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS BIGINT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-  prior AS (SELECT avg(f / CAST(n AS DOUBLE)) AS mean, var_pop(f / CAST(n AS DOUBLE)) AS v FROM hosts),
-  rates AS (SELECT source, CASE WHEN v > 0 THEN (f + greatest(mean * (1 - mean) / v - 1, 0) * mean) / (n + greatest(mean * (1 - mean) / v - 1, 0))
-      ELSE mean END AS rate FROM hosts, prior)"""
+  fails AS (SELECT source, unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'word_length']) AS rule,
+      unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 2 * n_words,
+              word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS failed FROM b WHERE source IS NOT NULL),
+  hosts AS (SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS f FROM fails GROUP BY source, rule),
+  sums AS (SELECT rule, count(*) AS k, sum(n) AS t, sum(n * n) AS q, sum(f) AS s, sum(f * f / n) AS e FROM hosts GROUP BY rule),
+  spread AS (SELECT *, s / t AS mean, CASE WHEN k > 1 THEN (e - s * s / t) / (k - 1) END AS between_hosts,
+      CASE WHEN t > k THEN (s - e) / (t - k) END AS within_hosts FROM sums),
+  prior AS (SELECT rule, mean, CASE WHEN between_hosts > within_hosts
+      THEN (t - q / t) / (k - 1) * within_hosts / (between_hosts - within_hosts) END AS weight FROM spread),
+  rates AS (SELECT source, mean, n + COALESCE(weight, 0) AS size, COALESCE((f + weight * mean) / (n + weight), mean) AS rate
+      FROM hosts JOIN prior USING (rule)),
+  bad AS (SELECT DISTINCT source FROM rates WHERE rate > 0.5 
+      OR (rate - 3 * sqrt(rate * (1 - rate) / (size + 1)) > 0.1 AND rate * (1 - mean) > 4 * mean * (1 - rate)))"""
 
 
 @query("op3_host_rules", f"""WITH {_RULES}
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-         NOT base_failed AND COALESCE(rate, 0) <= 0.5 AS kept FROM b LEFT JOIN rates USING (source)""")
+         NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM b""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     from parley.llm.rules import judged
     return judged(table(spark, folder, "documents")).drop("host")

@@ -1,7 +1,7 @@
 """Quality rules of documents, and verdicts on their hosts.
 
-Rules are measured per document; failures are summed per host; each host's rate is shrunk towards the mean of
-all hosts by a beta prior fitted to the hosts themselves; the verdict is joined back to the host's documents.
+Rules are measured per document; failures of each rule are summed per host; each host's rate is shrunk towards the
+mean of all hosts by a beta prior fitted to the hosts themselves; the verdict is joined back to the host's documents.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.llm.blocks import Words, is_space, mix, pieces, prefix_hash, range_hash, raw, windows
 from parley.llm.store import kept
@@ -73,41 +73,83 @@ def measures(docs: DataFrame, host: str = "source", window: int = 5) -> DataFram
         run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """(host, n, failed, rate): failures of a host's documents and its rate shrunk by the hosts' own beta prior.
-
-    The prior has the mean and variance of the hosts' raw rates (method of moments).  Where the rates do not vary
-    there is no spread to fit and every host gets the overall mean of the rates.
-    """
-    hosts = rows.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    raw_rate = F.col("failed") / F.col("n")
-    mean, spread = hosts.agg(F.avg(raw_rate), F.var_pop(raw_rate)).first()  # two numbers, whatever the number of hosts
-    if not spread:
-        return hosts.withColumn("rate", F.lit(mean))
-    weight = max(mean * (1 - mean) / spread - 1, 0.0)
-    return hosts.withColumn("rate", (F.col("failed") + weight * mean) / (F.col("n") + weight))
-
-
 @dataclass(frozen=True)
 class Limits:
-    """A document fails with fewer words, or more of its words (in percent) in repeated windows; a host above this shrunken rate fails whole."""
+    """A document fails with fewer words, or more of its words (in percent) in repeated windows; the other rules count for its host alone.
+
+    ``symbol_percent`` and ``line_percent`` are symbols and repeated lines for 100 words; the mean word has ``least_chars`` to
+    ``most_chars`` characters.  A host fails whole if its shrunken rate under some rule is above ``host_rate``, or has more than
+    ``host_odds`` times the odds of the prior mean and is still above ``host_least`` after three standard deviations are taken off.
+    """
 
     least_words: int = 10
     repeat_percent: int = 20
+    symbol_percent: int = 10
+    line_percent: int = 2
+    least_chars: int = 3
+    most_chars: int = 10
     host_rate: float = 0.5
+    host_least: float = 0.1
+    host_odds: float = 4.0
     window: int = 5
 
 
+def failures(limits: Limits) -> dict[str, Column]:
+    """Rule name and whether a row of :func:`measures` fails it; without words only ``few_words`` fails."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    return {"few_words": n < limits.least_words,
+            "repeated_words": 100 * F.col("n_repeat_words") > limits.repeat_percent * n,
+            "symbols": 100 * F.col("n_symbols") > limits.symbol_percent * n,
+            "repeated_lines": 100 * F.col("n_dup_lines") > limits.line_percent * n,
+            "word_length": (chars < limits.least_chars * n) | (chars > limits.most_chars * n)}
+
+
+def host_rates(rows: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(host, rule, n, failed, mean, rate, low): a host's failures of each rule and its rate shrunk by that rule's beta prior.
+
+    Each rule has its own prior, with the pooled rate as mean.  Its strength comes from the spread between hosts that
+    is left once the binomial noise within them is taken out (analysis of variance), so few documents of a host do not
+    count as spread.  With no spread left, one host, or one document a host, every host gets the mean.
+    ``low`` is the rate less three standard deviations of the host's posterior.
+    """
+    rules = failures(limits or Limits())
+    sums = rows.filter("host IS NOT NULL").groupBy("host").agg(
+        F.count("*").alias("n"), *(F.sum(fails.cast("long")).alias(rule) for rule, fails in rules.items()))
+    hosts = sums.unpivot(["host", "n"], list(rules), "rule", "failed")
+    n, failed = F.col("n"), F.col("failed")
+    totals = hosts.groupBy("rule").agg(F.count("*").alias("k"), F.sum("n").alias("t"), F.sum(n.cast("double") * n).alias("q"),
+                                       F.sum("failed").alias("s"), F.sum(failed.cast("double") * failed / n).alias("e"))
+    mean, weight = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for r in totals.collect():  # one row a rule, whatever the number of hosts
+        mean = F.when(F.col("rule") == r.rule, F.lit(r.s / r.t)).otherwise(mean)
+        if r.k > 1 and r.t > r.k:
+            between, within = (r.e - r.s * r.s / r.t) / (r.k - 1), (r.s - r.e) / (r.t - r.k)
+            if between > within:
+                strength = (r.t - r.q / r.t) / (r.k - 1) * within / (between - within)
+                weight = F.when(F.col("rule") == r.rule, F.lit(strength)).otherwise(weight)
+    hosts = hosts.withColumn("mean", mean).withColumn("weight", weight)
+    rate = F.col("rate")
+    return hosts.withColumn("rate", F.coalesce((failed + F.col("weight") * F.col("mean")) / (n + F.col("weight")), "mean")).withColumn(
+        "low", rate - 3 * F.sqrt(rate * (1 - rate) / (n + F.coalesce("weight", F.lit(0.0)) + 1))).drop("weight")
+
+
+def bad_hosts(rates: DataFrame, limits: Limits) -> DataFrame:
+    """(host, bad): the hosts of :func:`host_rates` that fail under at least one rule."""
+    rate, mean = F.col("rate"), F.col("mean")
+    odd = (F.col("low") > limits.host_least) & (rate * (1 - mean) > limits.host_odds * mean * (1 - rate))
+    return rates.filter((rate > limits.host_rate) | odd).select("host", F.lit(True).alias("bad")).distinct()
+
+
 def _judged(docs: DataFrame, host: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
-    rows = kept(measures(docs, host, limits.window).withColumn("base_failed", failed), "measures")
-    return rows, kept(host_rates(rows).filter(F.col("rate") > limits.host_rate).select("host", F.lit(True).alias("bad")), "hosts")
+    rules = failures(limits)
+    rows = kept(measures(docs, host, limits.window).withColumn("base_failed", rules["few_words"] | rules["repeated_words"]), "measures")
+    return rows, kept(bad_hosts(host_rates(rows, limits), limits), "hosts")
 
 
 def judged(docs: DataFrame, host: str = "source", limits: Limits | None = None) -> DataFrame:
     """The measures with ``base_failed`` and ``kept``.
 
-    A document that does not fail itself is kept unless its host's shrunken rate of failures is too high.  A document
+    A document that does not fail itself is kept unless its host's shrunken rate of failures under some rule is too high.  A document
     without a host is judged alone.  Repeated rows count each; an empty table gives no rows.
     """
     rows, bad = _judged(docs, host, limits or Limits())

@@ -119,6 +119,21 @@ def test_host_of_failures_is_rejected(spark):
     assert {r.doc_id for r in rules.judged(d).filter("kept").collect()} == {100 + i for i in range(40)}
 
 
+def test_half_bad_host_stands_out_and_noise_does_not(spark):
+    """A host with three of ten texts full of symbols falls; small hosts with one such text by chance stay."""
+    good, odd = (lambda i: " ".join(f"v{i}x{k}" for k in range(50))), (lambda i: good(i).replace(" ", "# "))
+    rows = [(i, odd(i) if i % 25 == 0 else good(i), f"h{i % 50}") for i in range(500)]
+    rows += [(1000 + i, odd(i) if i % 10 < 3 else good(i), "spam") for i in range(100)] + [(2000, good(0), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rules.judged(d).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.host for r in got if not r.kept} == {"spam", "h0", "h25"}
+    even = d.filter("source <> 'spam'").withColumn("source", F.concat(F.lit("h"), F.floor(F.col("doc_id") / 10).cast("string")))
+    assert rules.judged(even).filter("kept").count() == 500  # one of ten at most, spread no wider than noise
+    rates = {r.host: r for r in rules.host_rates(rules.measures(d).withColumn("base_failed", F.lit(False))).filter("rule = 'symbols'").collect()}
+    assert rates["spam"].failed == 30 and 0.2 < rates["spam"].rate < 0.31 and rates["h0"].failed == 10
+
+
 def test_pitman_yor_counts_and_gain(docs):
     rows = docs.select("doc_id", "text").collect()
     words = lambda t: [*split(t or ""), "\n"]
