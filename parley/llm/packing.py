@@ -4,7 +4,7 @@ Pieces of one length are alike, so the program works on the histogram of lengths
 sequence length and not by the data.  A configuration is a multiset of lengths that fits a sequence.  Multiplicative
 weights solve the covering program; a knapsack dynamic program prices the best configuration for the current
 weights.  The solution is rounded down to whole sequences, phase by phase on what is left, and the few pieces that
-remain go by best fit.  The plan is then dealt to the pieces by their rank within their length.
+remain go by best fit, one group of like sequences at a time.  The plan is then dealt to the pieces by their rank within their length.
 """
 
 from __future__ import annotations
@@ -78,30 +78,45 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int, step: float = 0.1
     return [(dict(key), often * stretch) for key, often in used.items()]
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Best fit decreasing for the pieces left over."""
-    by_room: dict[int, list[Counter]] = {}
-    rooms: list[int] = []
-    for length in sorted(lengths.tolist(), reverse=True):
-        at = int(np.searchsorted(rooms, length))
-        if at < len(rooms):
-            room = rooms[at]
-            held = by_room[room].pop()
-            if not by_room[room]:
-                del by_room[room], rooms[at]
-        else:
-            room, held = capacity, Counter()
-        held[length] += 1
-        room -= length
-        if room not in by_room:
-            by_room[room] = []
-            rooms.insert(int(np.searchsorted(rooms, room)), room)
-        by_room[room].append(held)
-    return [dict(h) for held in by_room.values() for h in held]
-
-
-def plan(counts: np.ndarray, capacity: int, rounds: int = 80, phases: int = 30) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) that take exactly ``counts[length]`` pieces of each length."""
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing of ``counts[length]`` pieces of each length: (configuration, number of sequences).
+
+    Sequences with equal contents are one group, and a length fills whole groups at a time, so work and result are
+    bounded by the number of lengths and not by the pieces.
+    """
+    groups: dict[int, list[tuple[dict[int, int], int]]] = {}  # by the room that is left
+
+    def add(room: int, held: dict[int, int], n: int) -> None:
+        if n:
+            groups.setdefault(room, []).append((held, n))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        for room in sorted(r for r in groups if r >= length):
+            k = room // length
+            for held, n in groups.pop(room):
+                full = min(n, left // k)
+                left -= full * k
+                add(room - k * length, {**held, length: k}, full)
+                if n > full and left:  # fewer than k are left: one sequence takes them
+                    add(room - left * length, {**held, length: left}, 1)
+                    left, full = 0, full + 1
+                add(room, held, n - full)
+            if not left:
+                break
+        k = capacity // length
+        add(capacity - k * length, {length: k}, left // k)
+        if left % k:
+            add(capacity - left % k * length, {length: left % k}, 1)
+    return [row for rows in groups.values() for row in rows]
+
+
+def plan(counts: np.ndarray, capacity: int, rounds: int = 320, phases: int = 10, least: int = 80) -> list[tuple[dict[int, int], int]]:
+    """(configuration, number of sequences) that take exactly ``counts[length]`` pieces of each length.
+
+    A phase has two rounds for each length that is left, within ``least`` and ``rounds``, so that the program covers
+    broad histograms too; its solution is rounded down and the next phase works on the rest.
+    """
     left, out = counts.astype(np.int64).copy(), []
     left[0] = 0
     if left[capacity]:
@@ -109,7 +124,7 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 80, phases: int = 30)
         left[capacity] = 0
     for _ in range(phases):
         placed = 0
-        configs = fractional(left, capacity, rounds) if left.any() else []
+        configs = fractional(left, capacity, min(rounds, max(least, 2 * np.count_nonzero(left)))) if left.any() else []
         for config, x in sorted(configs, key=lambda c: -sum(k * n for k, n in c[0].items())):
             n = min(int(x), *(int(left[length] // often) for length, often in config.items()))
             if n > 0:
@@ -119,8 +134,7 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 80, phases: int = 30)
                     left[length] -= n * often
         if not placed:
             break
-    out += [(c, 1) for c in best_fit(np.repeat(np.arange(len(left)), left), capacity)]
-    return out
+    return out + best_fit(left, capacity)
 
 
 def slots(configs: list[tuple[dict[int, int], int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:

@@ -76,6 +76,48 @@ def test_packing_is_gapless_and_near_the_bound(docs):
     assert [r.ids_crc32 for r in one] == [zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in one]
 
 
+def one_by_one(lengths, capacity):
+    """Number of sequences of best fit decreasing, piece by piece."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= length]
+        room = min(fits) if fits else capacity
+        if fits:
+            rooms.remove(room)
+        rooms.append(room - length)
+    return len(rooms)
+
+
+def taken(configs, size):
+    out = np.zeros(size, np.int64)
+    for config, n in configs:
+        assert n > 0 and sum(k * often for k, often in config.items()) < size
+        for length, often in config.items():
+            out[length] += often * n
+    return out
+
+
+def test_best_fit_by_groups_equals_piece_by_piece():
+    for seed in range(30):
+        rng = random.Random(seed)
+        counts = np.zeros(65, np.int64)
+        for _ in range(rng.randrange(1, 20)):
+            counts[rng.randrange(1, 65)] = rng.choice([1, 2, 7, 40])
+        got = packing.best_fit(counts, 64)
+        assert (taken(got, 65) == counts).all()
+        assert sum(n for _, n in got) == one_by_one(np.repeat(np.arange(65), counts).tolist(), 64)
+
+
+def test_program_covers_a_broad_histogram():
+    """Half a million pieces of log-normal length: the program places nearly all, and the plan does not grow with the pieces."""
+    lengths = np.random.default_rng(1).lognormal(np.log(200), 1, 530_000).round().astype(int)
+    counts = np.bincount(lengths[(lengths > 0) & (lengths < 1024)], minlength=1025)
+    got = packing.plan(counts, 1024)
+    assert (taken(got, 1025) == counts).all() and len(got) < 4 * 1024
+    assert sum(n for _, n in got) <= -(-int((counts * np.arange(1025)).sum()) // 1024) + 5
+    assert not packing.plan(np.zeros(1025, np.int64), 1024)
+
+
 def test_repeats_equal_brute_force(docs):
     rows = docs.collect()
     want = sorted(map(str, zip([r.doc_id for r in rows], brute.without_repeats([r.text for r in rows], 60))))
