@@ -114,17 +114,17 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
 def plan(counts: np.ndarray, capacity: int, rounds: int = 320, phases: int = 10, least: int = 80) -> list[tuple[dict[int, int], int]]:
     """(configuration, number of sequences) that take exactly ``counts[length]`` pieces of each length.
 
-    A phase has two rounds for each length that is left, within ``least`` and ``rounds``, so that the program covers
-    broad histograms too; its solution is rounded down and the next phase works on the rest.
+    The solution of a phase is rounded down and the next one works on the rest.  The first phase has ``least`` rounds,
+    each later one twice as many up to ``rounds``, so that the program covers broad histograms too.
     """
     left, out = counts.astype(np.int64).copy(), []
     left[0] = 0
     if left[capacity]:
         out.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    for _ in range(phases):
-        placed = 0
-        configs = fractional(left, capacity, min(rounds, max(least, 2 * np.count_nonzero(left)))) if left.any() else []
+    for phase in range(phases):
+        placed, now = 0, min(rounds, least << phase)
+        configs = fractional(left, capacity, now) if left.any() else []
         for config, x in sorted(configs, key=lambda c: -sum(k * n for k, n in c[0].items())):
             n = min(int(x), *(int(left[length] // often) for length, often in config.items()))
             if n > 0:
@@ -132,7 +132,7 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 320, phases: int = 10,
                 placed += n
                 for length, often in config.items():
                     left[length] -= n * often
-        if not placed:
+        if not placed and now == rounds:
             break
     return out + best_fit(left, capacity)
 
