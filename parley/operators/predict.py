@@ -144,8 +144,8 @@ def leave_one_out(df: DataFrame, text: str, max_words: int | None = None, out: s
     ws = F.split(strip(F.col(text)), f"{SPACE}+")
     rows = df.withColumn("_w", ws).filter(F.size("_w") >= 2)
     rows = rows.select("*", F.posexplode(F.slice("_w", 1, max_words) if max_words else F.col("_w")).alias("removed_index", "removed_word"))
-    rest = F.filter("_w", lambda w, i: i != F.col("removed_index"))
-    return rows.withColumn(out, F.array_join(rest, " ")).drop("_w")
+    i = F.col("removed_index")
+    return rows.withColumn(out, F.concat_ws(" ", F.slice("_w", 1, i), F.slice("_w", i + 2, F.size("_w")))).drop("_w")
 
 
 def ablation_delta(
