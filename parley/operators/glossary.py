@@ -8,11 +8,13 @@ shuffled nor joined, and nothing is collected to the driver.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from parley.session import work_dir
 
 SHARD = 1 << 20  # bytes of terms in one automaton
+ROWS = 2000  # rows of an Arrow batch whose texts are Python objects at a time
 HITS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("kept", T.BooleanType())]))
 COUNTS = T.StructType([T.StructField("terms", T.LongType()), T.StructField("kept", T.LongType())])
 _built: dict[tuple, list[ahocorasick.Automaton]] = {}
@@ -64,20 +67,38 @@ class Glossary:
             spark.sparkContext.addFile(f)
         self.files, self.shard = tuple(unquote(f.rsplit("/", 1)[1]) for f in files), shard
 
-    def _each(self, ref: pd.Series, hyp: pd.Series) -> list[list[tuple[str, bool]]]:
-        rows: list[list[tuple[str, bool]]] = [[] for _ in ref]
+    def _each(self, ref: pa.Array, hyp: pa.Array) -> Iterator[tuple[int, set[str], str]]:
+        """(row, terms of one shard in its reference, hypothesis), shard by shard; one row's terms are Python objects at a time."""
         for found in _automata(self.files, self.shard):
-            for row, r, h in zip(rows, ref, hyp, strict=True):
-                row += [(t, t in h) for t in {t for _, t in found.iter(r)}]
-        return rows
+            for at in range(0, len(ref), ROWS):
+                texts = zip(ref.slice(at, ROWS).to_pylist(), hyp.slice(at, ROWS).to_pylist(), strict=True)
+                for row, (r, h) in enumerate(texts, at):
+                    yield row, {t for _, t in found.iter(r)}, h
+
+    def _hits(self, r: pa.Array, h: pa.Array) -> pa.Array:
+        """The hits of each row; what is held of a hit is its row, the number of its term and one byte."""
+        number: dict[str, int] = {}
+        row, term, kept = array("i"), array("i"), bytearray()
+        for i, terms, text in self._each(r, h):
+            for t in terms:
+                row.append(i)
+                term.append(number.setdefault(t, len(number)))
+                kept.append(t in text)
+        rows = np.asarray(row, np.int32)
+        by_row = np.argsort(rows, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(r)))]).astype(np.int32)
+        hits = pa.StructArray.from_arrays([
+            pa.array(list(number), pa.string()).take(pa.array(np.asarray(term, np.int32)[by_row])),
+            pa.array(np.frombuffer(bytes(kept), np.bool_)[by_row])], ["term", "kept"])
+        return pa.ListArray.from_arrays(pa.array(ends), hits)
 
     def hits(self, ref: str = "ref", hyp: str = "hyp") -> Column:
         """array<struct<term, kept>>: each distinct term of the reference, and whether the hypothesis has it."""
-        each = self._each
+        hits = self._hits
 
-        @F.pandas_udf(HITS)
-        def found(r: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series([[{"term": t, "kept": k} for t, k in row] for row in each(r, h)])
+        @F.arrow_udf(HITS)
+        def found(r: pa.Array, h: pa.Array) -> pa.Array:
+            return hits(r, h)  # the automata run once past a whole batch
 
         return found(_low(ref), _low(hyp))
 
@@ -85,10 +106,13 @@ class Glossary:
         """struct<terms, kept>: how many terms the reference has, and how many of them the hypothesis has."""
         each = self._each
 
-        @F.pandas_udf(COUNTS)
-        def counted(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-            rows = each(r, h)
-            return pd.DataFrame({"terms": [len(x) for x in rows], "kept": [sum(k for _, k in x) for x in rows]}, dtype="int64")
+        @F.arrow_udf(COUNTS)
+        def counted(r: pa.Array, h: pa.Array) -> pa.Array:
+            terms, kept = np.zeros((2, len(r)), np.int64)
+            for i, some, text in each(r, h):
+                terms[i] += len(some)
+                kept[i] += sum(t in text for t in some)
+            return pa.StructArray.from_arrays([pa.array(terms), pa.array(kept)], ["terms", "kept"])
 
         return counted(_low(ref), _low(hyp))
 
