@@ -8,6 +8,7 @@ per group.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -212,9 +213,9 @@ def _grams(tokens: list[str], n: int) -> Iterator[tuple[str, ...]]:
     return zip(*(tokens[i:] for i in range(n)))
 
 
-def _lists_of(rows: list[list[int]]) -> pa.Array:
-    """list<long> of rows of equal length."""
-    flat = np.asarray(rows, np.int64).reshape(len(rows), -1)
+def _lists_of(rows: list[list[int]] | np.ndarray) -> pa.Array:
+    """list<long> of the statistics of rows."""
+    flat = np.asarray(rows, np.int64).reshape(len(rows), BLEU_ORDER + 2)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
 
 
@@ -247,7 +248,7 @@ def with_bleu_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
 LEFT_OUT = T.ArrayType(T.StructType([T.StructField("removed_index", T.IntegerType()), T.StructField("stats", LONGS)]))
 
 
-def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> list[tuple[int, list[int]]]:
+def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> Iterator[tuple[int, list[int]]]:
     """For each word left out of a text (a word may be several tokens): matches with the reference per order, and both lengths.
 
     Only the n-grams that hold a token of the word go, and only those across the gap come, so a word costs the order and not the text.
@@ -259,7 +260,6 @@ def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> list[tuple[int
     have = {n: Counter(tuple(flat[j:j + n]) for j in range(total - n + 1)) for n in orders}
     want = {n: Counter(tuple(ref[j:j + n]) for j in range(len(ref) - n + 1)) for n in orders}
     whole = {n: sum(min(c, want[n][g]) for g, c in have[n].items() if g in want[n]) for n in orders}
-    out = []
     for i, (a, b) in enumerate(zip(edge, edge[1:])):
         row = []
         for n in orders:
@@ -272,13 +272,22 @@ def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> list[tuple[int
                 g = tuple(near[j:j + n])
                 change[g] = change.get(g, 0) + 1
             row.append(whole[n] + sum(min(have[n][g] + d, want[n][g]) - min(have[n][g], want[n][g]) for g, d in change.items() if g in want[n]))
-        out.append((i, [*row, total - (b - a), len(ref)]))
-    return out
-
-
-@F.pandas_udf(LEFT_OUT)
-def _left_out(tokens: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([[{"removed_index": i, "stats": s} for i, s in left_out_overlaps([w.split() for w in ws], r.split())] for ws, r in zip(tokens, ref, strict=True)])
+        yield i, [*row, total - (b - a), len(ref)]
+
+
+@F.arrow_udf(LEFT_OUT)
+def _left_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for tokens, ref in batches:
+        for at in range(0, len(ref), ROWS):  # a word's statistics are plain numbers, and as many rows' at a time
+            index, stats, ends = array("i"), array("q"), [0]
+            for ws, r in zip(tokens.slice(at, ROWS).to_pylist(), ref.slice(at, ROWS).to_pylist(), strict=True):
+                for i, s in left_out_overlaps([w.split() for w in ws], r.split()):
+                    index.append(i)
+                    stats.extend(s)
+                ends.append(len(index))
+            each = pa.StructArray.from_arrays([pa.array(np.asarray(index, np.int32)), _lists_of(np.asarray(stats, np.int64).reshape(len(index), BLEU_ORDER + 2))],
+                                              ["removed_index", "stats"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
 
 
 def left_out_stats(words_: Column, ref: Column) -> Column:

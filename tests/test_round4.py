@@ -1,10 +1,14 @@
 """Faults found by the third review: each test failed before its mend."""
 
 import random
+import tracemalloc
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parley.functions import metrics as M
+from parley.operators import glossary
 
 WORDS = ["a", "b", "c", "a.", "1,0", "x-\ny", "<skipped>", "", "&amp;quot;", "-", "\n", ",", "..", "é", "10-3", " ", "[`{~", "5- 6", ".5,"]
 
@@ -47,3 +51,46 @@ def test_an_ablation_counts_only_what_changes(monkeypatch):
     for t in texts:
         assert count(t, " ".join(words)) == _plain(t.split(), words)
     assert len(whole) == 1
+
+
+def _peak(work) -> int:
+    """Bytes of Python objects that a call holds at most."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_left_out_statistics_are_held_as_numbers():
+    words = [[f"w{i % 40}"] for i in range(400)]
+    text = " ".join(w[0] for w in words)
+    batch = pa.array([[w[0] for w in words]] * 100), pa.array([text] * 100)
+    got = []
+    assert _peak(lambda: got.extend(M._left_out.func(iter([batch])))) < 16 << 20  # 40,000 words
+    assert sum(len(a) for a in got) == 100
+    for i, row in enumerate(got[0][99].as_py()):
+        assert row["removed_index"] == i
+        assert row["stats"] == _plain([w[0] for w in words[:i] + words[i + 1:]], text.split())
+
+
+def test_hits_are_held_as_numbers(monkeypatch):
+    terms = [f"t{i:04d}" for i in range(1000)]
+    shards = []
+    for some in (terms[:600], terms[600:]):
+        found = ahocorasick.Automaton()
+        for t in some:
+            found.add_word(t, t)
+        found.make_automaton()
+        shards.append(found)
+    monkeypatch.setattr(glossary, "_automata", lambda files, shard: iter(shards))
+    g = glossary.Glossary.__new__(glossary.Glossary)
+    g.files, g.shard = (), 0
+    ref, hyp = pa.array([" ".join(terms), "", "t0001 t0999"] * 100), pa.array([" ".join(terms[::2]), "x", "t0001"] * 100)
+    got = []
+    assert _peak(lambda: got.append(g._hits(ref, hyp))) < 8 << 20  # 100,200 hits
+    rows = got[0].to_pylist()
+    assert {h["term"]: h["kept"] for h in rows[297]} == {t: i % 2 == 0 for i, t in enumerate(terms)} and len(rows[297]) == 1000
+    assert rows[298] == [] and sorted((h["term"], h["kept"]) for h in rows[299]) == [("t0001", True), ("t0999", False)]
+    assert g._hits(ref.slice(0, 0), hyp.slice(0, 0)).to_pylist() == []
