@@ -173,8 +173,18 @@ def anomaly_report(manifest: DataFrame, files: DataFrame, summary: DataFrame, in
     return all_anomalies(parts)
 
 
+# Advice that comes with a representation report.
+BIAS_ADVICE = (
+    "Score each emotion on its own.",
+    "Trust rare classes less.",
+    "Compare durations with those met in use.",
+)
+
+
 def bias_report(manifest: DataFrame, emotion: str = "emotion", threshold: float = 0.5) -> DataFrame:
-    """Long form (section, key, n, expected, flagged): totals, slices, speakers and groups, all counts from one aggregate.
+    """Long form (section, key, n, expected, flagged): totals, slices, speakers and groups, all counts from one aggregate; then advice, in order.
+
+    A manifest without entries gets no advice.
     """
     null = F.lit(None).cast("string")
     base = manifest.select(F.col(emotion).cast("string").alias("emotion"), F.col("speaker_id").cast("string").alias("who"), L.duration_bucket(F.col("duration_sec")).alias("bucket"))
@@ -196,5 +206,7 @@ def bias_report(manifest: DataFrame, emotion: str = "emotion", threshold: float
         return F.struct(section.alias("section"), key.alias("key"), n.cast("long").alias("n"), expected.cast("double").alias("expected"), flagged.alias("flagged"))
 
     of_total = F.array(row(F.lit("total"), F.lit("entries"), F.col("n"), F.lit(None), F.lit(False)), row(F.lit("total"), F.lit("speakers"), F.col("_t.speakers"), F.lit(None), F.lit(False)))
+    advice = F.array(*(row(F.lit("advice"), F.lit(a), F.lit(i), F.lit(None), F.lit(False)) for i, a in enumerate(BIAS_ADVICE)))
+    of_total = F.when(F.col("n") > 0, F.concat(of_total, advice)).otherwise(of_total)
     itself = F.array(row(F.col("section"), F.col("key"), F.col("n"), F.col("expected"), F.col("flagged")))
     return rows.select(F.explode(F.when(F.col("section") == "entries", of_total).otherwise(itself)).alias("r")).select("r.*")

@@ -191,7 +191,11 @@ def _(spark, d):
       LEFT JOIN (SELECT CASE WHEN duration_sec < 2 THEN 'short' WHEN duration_sec <= 5 THEN 'medium' ELSE 'long' END AS value, count(*) AS n FROM manifest GROUP BY 1) b USING (value),
       (SELECT count(*) AS total FROM manifest) t
     UNION ALL SELECT 'speaker', speaker_id, count(*), CAST(NULL AS DOUBLE), FALSE FROM manifest GROUP BY speaker_id
-    UNION ALL SELECT 'group', emotion || '|' || speaker_id, count(*), NULL, FALSE FROM manifest GROUP BY emotion, speaker_id""", COUNTS))
+    UNION ALL SELECT 'group', emotion || '|' || speaker_id, count(*), NULL, FALSE FROM manifest GROUP BY emotion, speaker_id
+    UNION ALL SELECT 'advice', text, pos, NULL, FALSE FROM (VALUES
+      (0, 'Score each emotion on its own.'),
+      (1, 'Trust rare classes less.'),
+      (2, 'Compare durations with those met in use.')) a(pos, text) WHERE EXISTS (SELECT 1 FROM manifest)""", COUNTS))
 def _(spark, d):
     return quality.bias_report(manifest(spark, d))
 

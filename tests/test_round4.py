@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parley.functions import metrics as M
-from parley.operators import glossary
+from parley.operators import glossary, quality
 
 WORDS = ["a", "b", "c", "a.", "1,0", "x-\ny", "<skipped>", "", "&amp;quot;", "-", "\n", ",", "..", "é", "10-3", " ", "[`{~", "5- 6", ".5,"]
 
@@ -94,3 +94,9 @@ def test_hits_are_held_as_numbers(monkeypatch):
     assert {h["term"]: h["kept"] for h in rows[297]} == {t: i % 2 == 0 for i, t in enumerate(terms)} and len(rows[297]) == 1000
     assert rows[298] == [] and sorted((h["term"], h["kept"]) for h in rows[299]) == [("t0001", True), ("t0999", False)]
     assert g._hits(ref.slice(0, 0), hyp.slice(0, 0)).to_pylist() == []
+
+
+def test_bias_report_ends_with_advice(spark):
+    m = spark.createDataFrame([("happy", "1", 1.0), ("sad", None, 9.0)], "emotion string, speaker_id string, duration_sec double")
+    rows = [r for r in quality.bias_report(m).collect() if r.section == "advice"]
+    assert sorted((r.n, r.key, r.expected, r.flagged) for r in rows) == [(i, a, None, False) for i, a in enumerate(quality.BIAS_ADVICE)] and len(rows) == 3
