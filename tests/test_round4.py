@@ -4,11 +4,13 @@ import random
 import tracemalloc
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from parley.functions import metrics as M
 from parley.operators import glossary, quality
+from parley.streaming import state
 
 WORDS = ["a", "b", "c", "a.", "1,0", "x-\ny", "<skipped>", "", "&amp;quot;", "-", "\n", ",", "..", "é", "10-3", " ", "[`{~", "5- 6", ".5,"]
 
@@ -100,3 +102,81 @@ def test_bias_report_ends_with_advice(spark):
     m = spark.createDataFrame([("happy", "1", 1.0), ("sad", None, 9.0)], "emotion string, speaker_id string, duration_sec double")
     rows = [r for r in quality.bias_report(m).collect() if r.section == "advice"]
     assert sorted((r.n, r.key, r.expected, r.flagged) for r in rows) == [(i, a, None, False) for i, a in enumerate(quality.BIAS_ADVICE)] and len(rows) == 3
+
+
+class _Store:
+    """What a session's state machine keeps, and how often it is asked."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.value = 0, set(), {}, None
+
+    def getValueState(self, name, *schema):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls += 1
+            match name:
+                case "get": return self.value
+                case "update": self.value = a[0]
+                case "clear": self.value = None
+                case "getValue": return self.maps.get(a[0])
+                case "updateValue": self.maps[a[0]] = a[1]
+                case "removeKey": self.maps.pop(a[0], None)
+                case "registerTimer": self.timers.add(a[0])
+                case _: raise AttributeError(name)
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def _session(batches, idle=None, step=lambda v, r: ((v[0] + 1,), [(r["seq"], v[0] + 1)])):
+    """Rows (seq, row) in batches, after each the watermark (seconds): rows out, the store."""
+    out = T.StructType([T.StructField(n, T.LongType()) for n in ("k", "seq", "n")])
+    store = _Store()
+    fold = state._Fold(["seq", "row"], "k", "seq", "row", out.fieldNames(), T.StructType([T.StructField("n", T.LongType())]), (0,), step, state.Order(slot="10 seconds", idle=idle))
+    fold.init(store)
+    got = []
+    for rows, mark in batches:
+        store.now = mark * 1000
+        if rows:
+            got += [f for f in fold.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["seq", "row"])]), store)]
+        while due := sorted(t for t in store.timers if t <= store.now):
+            store.timers.discard(due[0])
+            got += [f for f in fold.handleExpiredTimer((1,), store, store)]
+    return [tuple(r) for f in got for r in f[["seq", "n"]].itertuples(index=False)], store
+
+
+def test_a_session_asks_its_store_a_few_times():
+    S = 1_000_000
+    rows = [(i * S, i) for i in range(100)]  # ten slots
+    got, store = _session([(rows[50:], 0), (rows[:50], 0), ([], 1000)])
+    assert got == [(i * S, i + 1) for i in range(100)]
+    assert store.calls < 15  # about eighty with five or more calls a slot
+
+
+def test_large_sessions_late_rows_and_replays():
+    S = 1_000_000
+    rows = [(i * 10_000, i) for i in range(6000)]  # six slots of 1,000 rows
+    late = [(5 * S + 1, 9001), *rows[:10], (55 * S, 5500)]
+    got, store = _session([(rows[3000:], 0), (rows[:3000], 30), (late, 30), ([], 1000), (rows[7:9], 1000)])
+    want = [*rows[:3000], late[0], *rows[3000:]]
+    assert got == [(seq, n) for n, (seq, _) in enumerate(want, 1)]
+    assert not store.timers
+
+
+def test_idle_sessions_are_forgotten_with_their_row_numbers():
+    S = 1_000_000
+    rows = [(i * 10_000, i) for i in range(3000)]
+    got, store = _session([(rows, 0), ([], 35), (rows[:3], 35), ([], 200)], idle="30 seconds")
+    assert got == [(seq, n) for n, (seq, _) in enumerate(rows, 1)]
+    assert store.value is None and not store.maps and not store.timers
+    got, _ = _session([(rows[:5], 0), ([], 200), ([(300 * S, 1)], 200), ([], 400)], idle="30 seconds")
+    assert got[-1] == (300 * S, 1)  # a new session
+    got, _ = _session([(rows[:5] + [(300 * S, 9)], 0), ([], 400)], idle="30 seconds")
+    assert got[-1] == (300 * S, 6)  # rows that wait keep it alive
