@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parley.functions.text import SPACE, let, norm_text, squeeze_spaces, words
@@ -33,6 +34,8 @@ DASH_AFTER_DIGIT = r"([0-9])(-)"
 RULES = [(re.compile(p), new) for p, new in (
     (PUNCTUATION, r" \1 "), (PERIOD_AFTER_NON_DIGIT, r"\1 \2 "), (PERIOD_BEFORE_NON_DIGIT, r" \1 \2"), (DASH_AFTER_DIGIT, r"\1 \2 "))]
 ROWS = 1000  # rows of an Arrow batch that are Python objects at a time
+CHUNK = 1 << 17  # bytes of text whose n-grams are counted at a time
+FOLLOW = 4  # texts in a row that change little from one to the next are counted by their changes
 
 
 def tokens_13a(c: Column) -> Column:
@@ -88,6 +91,8 @@ class _Pieces(dict):
     """13a tokens of texts without spaces; the short ones are remembered."""
 
     def __missing__(self, piece: str) -> tuple[str, ...]:
+        if piece.isalnum():  # no rule looks at letters alone
+            return (piece,)
         t = piece
         for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES):
             t = t.replace(old, new)
@@ -214,9 +219,126 @@ def _grams(tokens: list[str], n: int) -> Iterator[tuple[str, ...]]:
 
 
 def _lists_of(rows: list[list[int]] | np.ndarray) -> pa.Array:
-    """list<long> of the statistics of rows."""
-    flat = np.asarray(rows, np.int64).reshape(len(rows), BLEU_ORDER + 2)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+    """list<long> of the statistics of rows, all of one width."""
+    flat = np.asarray(rows, np.int64)
+    width = flat.shape[1] if len(flat) else 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * width, pa.int32()), pa.array(flat.reshape(-1)))
+
+
+def matches(ids: np.ndarray, count: np.ndarray, orders: int) -> np.ndarray:
+    """Clipped n-gram matches of many rows at once: one line a row, one column an order.
+
+    ``ids`` are the tokens of all hypotheses and then of all references, end to end, ``count`` how many each text has.  The longest n-gram
+    at each place is packed into one whole number behind its row, the side as the lowest bit; these in order are in order for all
+    shorter n-grams too.  Rows whose numbers need more than 63 bits are halved, and a single one takes the plain way.
+    """
+    rows = len(count) // 2
+    text = np.repeat(np.arange(len(count)), count)
+    bits = int(ids.max(initial=0) + 1).bit_length()
+    if rows.bit_length() + bits * orders + 1 > 63:
+        seen, ids = np.unique(ids, return_inverse=True)
+        bits = len(seen).bit_length()
+    if rows.bit_length() + bits * orders + 1 > 63:
+        ends = np.cumsum(count)
+        if rows == 1:
+            return np.array([[_clipped(ids[:ends[0]].tolist(), ids[ends[0]:].tolist(), n) for n in range(1, orders + 1)]])
+        first = text % rows < rows // 2
+        each = np.arange(2 * rows) % rows < rows // 2
+        return np.concatenate([matches(ids[f], count[e], orders) for f, e in ((first, each), (~first, ~each))])
+    out = np.zeros((rows, orders), np.int64)
+    if not len(ids):
+        return out
+    # 0 stands behind the end of a text
+    key = (text % rows) << bits | (ids + 1)
+    for n in range(1, orders):
+        key <<= bits
+        key[:-n] |= np.where(text[:-n] == text[n:], ids[n:] + 1, 0)
+    key = np.sort(key << 1 | (text >= rows))
+    of_ref = np.concatenate([[0], np.cumsum(key & 1)])
+    last = (1 << bits) - 1
+    for n in range(1, orders + 1):
+        gram = key >> (1 + bits * (orders - n))
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        edge = np.append(first, len(key))
+        ref = np.diff(of_ref[edge])
+        both = np.minimum(ref, np.diff(edge) - ref)
+        gram = gram[first]
+        some = np.flatnonzero((both > 0) & (gram & last > 0))
+        out[:, n - 1] = np.bincount(gram[some] >> (bits * n), both[some], rows)
+    return out
+
+
+def _token_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts as numbers, end to end, and how many each has; a piece between spaces is taken apart once."""
+    lists = pc.split_pattern(texts, " ")
+    pieces = lists.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    each = [[number.setdefault(t, len(number)) for t in _pieces[p]] for p in pieces.dictionary.to_pylist()]
+    size = np.array([len(e) for e in each], np.int64)
+    flat = np.array([t for e in each for t in e], np.int64)
+    which = pieces.indices.to_numpy().astype(np.int64)
+    count = size[which]
+    start = (np.cumsum(size) - size)[which]
+    ends = np.cumsum(count)
+    ids = flat[np.arange(count.sum()) + np.repeat(start - (ends - count), count)]
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
+    return ids, np.diff(np.concatenate([[0], ends])[edge])
+
+
+def _letter_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts as numbers, end to end, and how many each has."""
+    letters = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
+    seen = np.zeros(int(letters.max(initial=0)) + 1, bool)
+    seen[letters] = True
+    return (np.cumsum(seen) - 1)[letters], pc.utf8_length(texts).to_numpy().astype(np.int64)
+
+
+def _stats(hyp: pa.Array, ref: pa.Array, numbers: Callable, orders: int) -> np.ndarray:
+    """Row statistics of a few rows: matches per order, lengths of both sides.  A text is taken apart once, and equal texts match in all they have."""
+    rows = len(hyp)
+    texts = pa.concat_arrays([hyp, ref]).dictionary_encode()
+    which = texts.indices.to_numpy().astype(np.int64)
+    ids, count = numbers(texts.dictionary)
+    start = (np.cumsum(count) - count)[which]
+    count = count[which]
+    out = np.empty((rows, orders + 2), np.int64)
+    out[:, orders], out[:, orders + 1] = count[:rows], count[rows:]
+    out[:, :orders] = np.maximum(count[:rows, None] - np.arange(orders), 0)
+    other = np.flatnonzero(which[:rows] != which[rows:])
+    if len(other):
+        both = np.concatenate([other, rows + other])
+        count = count[both]
+        place = np.arange(count.sum()) + np.repeat(start[both] - (np.cumsum(count) - count), count)
+        out[other, :orders] = matches(ids[place], count, orders)
+    return out
+
+
+def _chunks(hyp: pa.Array, ref: pa.Array) -> Iterator[slice]:
+    """Runs of rows with about ``CHUNK`` bytes of text."""
+    size = sum(pc.binary_length(x).to_numpy().astype(np.int64) for x in (hyp, ref))
+    run = (np.cumsum(size) - size) // CHUNK
+    run = run * (len(size) // ROWS + 1) + np.arange(len(size)) // ROWS
+    cut = np.flatnonzero(np.diff(run)) + 1
+    return (slice(int(a), int(b)) for a, b in zip([0, *cut], [*cut, len(size)]) if a < b)
+
+
+def _followers(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """Rows in runs of ``FOLLOW`` or more that share a reference and of which each has most of the one before."""
+    like, old, old_ref = np.zeros(len(hyp) + 1, bool), "", None
+    for k, (h, r) in enumerate(zip(hyp, ref)):
+        new, new_ref = h.as_py(), r.as_py()
+        if new_ref == old_ref and new != new_ref:
+            short, long = sorted((len(old), len(new)))
+            if 2 * short >= long:
+                same = _same_start(old, new, short)
+                like[k] = 2 * (same + _same_end(old, new, short - same)) >= long
+        old, old_ref = new, new_ref
+    start = np.flatnonzero(like[1:] & ~like[:-1]) + 1
+    stop = np.flatnonzero(~like[1:] & like[:-1]) + 1
+    out = np.zeros(len(hyp), bool)
+    for a, b in zip(start, stop, strict=True):
+        out[a:b] = b - a >= FOLLOW
+    return out
 
 
 # The clipped n-gram counts are the one place where Arrow batches beat the JVM: as a sort-and-fold
@@ -224,15 +346,22 @@ def _lists_of(rows: list[list[int]] | np.ndarray) -> pa.Array:
 # and both leave the rows where they are.  An explode into (row, n-gram) would shuffle every n-gram.
 @F.arrow_udf(LONGS)
 def _token_overlaps(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    count, rows = Overlaps(), []
-    for at in range(0, len(hyp), ROWS):
-        rows += [count(h, r) for h, r in zip(hyp.slice(at, ROWS).to_pylist(), ref.slice(at, ROWS).to_pylist(), strict=True)]
-    return _lists_of(rows)
+    count, out, follows = Overlaps(), np.zeros((len(hyp), BLEU_ORDER + 2), np.int64), _followers(hyp, ref)
+    for k in np.flatnonzero(follows):
+        out[k] = count(hyp[k].as_py(), ref[k].as_py())
+    rows = np.flatnonzero(~follows)
+    h, r = hyp.take(pa.array(rows)), ref.take(pa.array(rows))
+    for s in _chunks(h, r):
+        out[rows[s]] = _stats(h[s], r[s], _token_numbers, BLEU_ORDER)
+    return _lists_of(out)
 
 
-@F.pandas_udf(LONGS)
-def _char_overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([[*_clipped_chars(h, r), len(h), len(r)] for h, r in zip(hyp, ref)])
+@F.arrow_udf(LONGS)
+def _char_overlaps(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    out = np.zeros((len(hyp), CHRF_ORDER + 2), np.int64)
+    for s in _chunks(hyp, ref):
+        out[s] = _stats(hyp[s], ref[s], _letter_numbers, CHRF_ORDER)
+    return _lists_of(out)
 
 
 def _left(n: Column, order: int) -> Column:

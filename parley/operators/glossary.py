@@ -72,8 +72,11 @@ class Glossary:
         for found in _automata(self.files, self.shard):
             for at in range(0, len(ref), ROWS):
                 texts = zip(ref.slice(at, ROWS).to_pylist(), hyp.slice(at, ROWS).to_pylist(), strict=True)
+                last, terms = None, set()
                 for row, (r, h) in enumerate(texts, at):
-                    yield row, {t for _, t in found.iter(r)}, h
+                    if r != last:  # the texts of a grid follow each other with one reference
+                        last, terms = r, {t for _, t in found.iter(r)}
+                    yield row, terms, h
 
     def _hits(self, r: pa.Array, h: pa.Array) -> pa.Array:
         """The hits of each row; what is held of a hit is its row, the number of its term and one byte."""
