@@ -1,11 +1,15 @@
 """Faults found by the review after the third: each test failed before its mend."""
 
+import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from parley.functions import metrics as M
+from parley.llm import pitman_yor
+from parley.llm.store import dropped, parted
 
 WORDS = ["a", "b", "c", "a.", "1,0", "x-\ny", "<skipped>", "", "&amp;quot;", "-", "\n", ",", "..", "é", "10-3", " ", "[`{~", "5- 6", "٣", "½", "a\u00a0b"]
 
@@ -61,3 +65,35 @@ def test_left_out_texts_are_still_counted_by_their_changes(monkeypatch):
     monkeypatch.setattr(M.Overlaps, "_whole", lambda self, tokens, plain=M.Overlaps._whole: (whole.append(1), plain(self, tokens)))
     got = M._token_overlaps.func(pa.array(texts), pa.array([" ".join(words)] * len(texts))).to_pylist()
     assert got == [_plain(t.split(), words, 4) for t in texts] and len(whole) == 1
+
+
+def test_questions_do_not_grow_with_the_square_of_the_buckets():
+    """op2_pitman_yor: a bucket asks as many shards whatever the number of buckets, and nothing is lost on the way."""
+    rng = np.random.default_rng(1)
+    contexts = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
+    own = np.stack([rng.integers(1, 9, len(contexts)), np.ones(len(contexts), np.int64)])
+    for buckets in (1, 36, 633, 2048):
+        asked = pitman_yor._questions(7, contexts, own, buckets)
+        assert len(asked) <= 64 and {a["bucket"] for a in asked} == {7} and [a["shard"] for a in asked] == sorted({a["shard"] for a in asked})
+        assert (np.concatenate([pitman_yor._unrising(a["contexts"]) for a in asked]) == contexts).all()
+        assert (pitman_yor._rejoined([a["values"] for a in asked], 2) == own).all()
+
+
+def test_pairs_are_put_in_order_as_numbers():
+    rng = np.random.default_rng(2)
+    few = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in (1, 2, 5000):
+        word, context = few[rng.integers(0, 40, n)], few[rng.integers(0, 40, n)]
+        order, new = pitman_yor._in_order(word, context)
+        assert (order == np.lexsort((context, word))).all()
+        assert list(zip(word[order[new]], context[order[new]], strict=True)) == sorted(set(zip(word, context, strict=True)))
+
+
+def test_one_pass_makes_a_table_of_each_value(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(10)], "x int, k int")
+    one, none, two = parted(df, "parts", "k", (0, 7, 2))
+    assert sorted(r.x for r in one.collect()) == [0, 3, 6, 9] and none.collect() == [] and two.columns == ["x"]
+    both = one.union(two)
+    folders = {f.rsplit("/", 1)[0].removeprefix("file://") for f in both.inputFiles()}
+    dropped(both, none)
+    assert len(folders) == 2 and not any(map(os.path.exists, folders))
