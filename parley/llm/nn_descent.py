@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.llm.blocks import raw
-from parley.llm.store import kept, partitions
+from parley.llm.store import fewer, kept, partitions
 
 NEAR = "array<struct<score:double,id:bigint>>"
 _NEAR = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
@@ -195,8 +195,8 @@ def graph(nodes: DataFrame, short: DataFrame, how: Graph) -> DataFrame:
     turns = nodes.mapInArrow(_codes(how.orders), "id long, vec binary, turn int, code long")
     first = turns.repartitionByRange(shares, "turn", "code", "id").sortWithinPartitions("turn", "code", "id").mapInArrow(_window_lists(how.window, how.near), schema)
     gathered = lambda rows, *by: rows.groupBy(*by).agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = _merged(how.near)
-    g = kept(gathered(first, "id").mapInArrow(best, schema), "graph")
+    best, many = _merged(how.near), nodes.count()
+    g = kept(fewer(gathered(first, "id"), many, 512).mapInArrow(best, schema), "graph")
     before = None
     for turn in range(how.rounds):
         total = g.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, x: a + x["score"]))).first()[0]
@@ -210,9 +210,9 @@ def graph(nodes: DataFrame, short: DataFrame, how: Graph) -> DataFrame:
             F.col("id").alias("other"), "vec", "bar", F.coalesce("parts", F.lit(1)).alias("parts"))
         known = _linked(g, how.listed, turn).join(cards, "other").groupBy("id").agg(
             F.collect_list(F.struct(F.col("other").alias("id"), "vec", "bar", "parts")).alias("known"))
-        told = known.mapInArrow(_introduce(how.near), f"id long, part long, near {NEAR}")
-        told = gathered(told, "id", "part").select("id", "near").mapInArrow(best, schema)
-        g = kept(gathered(g.union(told), "id").mapInArrow(best, schema), "graph")
+        told = fewer(known, many, 256).mapInArrow(_introduce(how.near), f"id long, part long, near {NEAR}")
+        told = fewer(gathered(told, "id", "part"), many, 512).select("id", "near").mapInArrow(best, schema)
+        g = kept(fewer(gathered(g.union(told), "id"), many, 512).mapInArrow(best, schema), "graph")
     return g
 
 
@@ -261,14 +261,15 @@ def search(queries: DataFrame, nodes: DataFrame, short: DataFrame, g: DataFrame,
         F.collect_list(F.struct(F.col("other").alias("id"), "vec")).alias("around"))
     around = kept(around, "around")
     own = F.array(F.struct(F.lit(float("inf")).alias("score"), F.col("node").alias("id")))  # the own node stays in the beam
+    many = queries.count()
     walk = queries.select("query", "own", own.cast(NEAR).alias("beam"), F.array("node").alias("done"), F.array("node").alias("go"))
     for _ in range(how.steps):
-        met = walk.select("query", "own", F.explode("go").alias("id")).join(around, "id").select("query", "own", "around").mapInArrow(
-            _look, f"query long, near {NEAR}").groupBy("query").agg(F.flatten(F.collect_list("near")).alias("met"))
+        opened = walk.select("query", "own", F.explode("go").alias("id")).join(around, "id").select("query", "own", "around")
+        met = fewer(opened, many, 32).mapInArrow(_look, f"query long, near {NEAR}").groupBy("query").agg(F.flatten(F.collect_list("near")).alias("met"))
         on = walk.join(met, "query", "left").select("query", "own", F.concat("beam", F.coalesce("met", F.array().cast(NEAR))).alias("beam"), "done")
-        walk = kept(on.mapInArrow(_advance(how.held, how.opened), f"query long, own binary, beam {NEAR}, done array<bigint>, go array<bigint>"), "walk")
+        walk = kept(fewer(on, many, 32).mapInArrow(_advance(how.held, how.opened), f"query long, own binary, beam {NEAR}, done array<bigint>, go array<bigint>"), "walk")
     sure = walk.select("query", "own", F.explode(F.slice("beam", 1, how.sure)).alias("b")).select("query", "own", F.col("b.id").alias("id"))
-    return sure.join(nodes, "id").select("query", "own", "id", "vec").mapInArrow(_scores, "query long, id long, score double")
+    return fewer(sure.join(nodes, "id").select("query", "own", "id", "vec"), many, 32).mapInArrow(_scores, "query long, id long, score double")
 
 
 def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, how: Graph | None = None) -> DataFrame:
