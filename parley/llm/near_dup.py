@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.llm.blocks import Words, lower_ascii, mix, pieces, raw, runs, shingle_sets
 from parley.llm.components import components
-from parley.llm.store import kept, likely, partitions
+from parley.llm.store import fewer, kept, likely, partitions
 
 _U = np.uint64
 
@@ -170,12 +170,13 @@ def nominated(sets: DataFrame, join: Join) -> DataFrame:
         held = kept(level.join(nodes.select("node", "n"), "node"), "nodes")
         leaves.append(held.filter(F.col("n") <= join.leaf).select("node", "id"))
         big = held.filter(F.col("n") > join.leaf)
-        if big.isEmpty():
+        many = big.count()
+        if not many:
             break
         if depth == join.levels:
             whole.append(big.join(big.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b"))
         else:
-            level = kept(_branch(big.select("node", "id").join(sets, "id"), join, 0), "level")
+            level = kept(_branch(fewer(big.select("node", "id").join(sets, "id"), many, 2048), join, 0), "level")
     rows = reduce(DataFrame.union, leaves).join(sets, "id").repartition(partitions(sets.sparkSession), "node").sortWithinPartitions("node")
     return reduce(DataFrame.union, whole, rows.mapInArrow(_leaf_links(join), "a long, b long"))
 
@@ -238,7 +239,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
         "id", F.col("component").alias("part"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("home"))
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # the same plan at every size: only texts that may be members are dealt by id
-    texts = named.filter(likely(clusters, ["id"])).join(members.hint("merge"), "id").mapInArrow(
+    texts = fewer(named.filter(likely(clusters, ["id"])).join(members.hint("merge"), "id"), clusters.count(), 512).mapInArrow(
         _shingles(join.words), "id long, part long, home int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("away")).select(
