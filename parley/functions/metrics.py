@@ -8,7 +8,6 @@ per group.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -35,6 +34,7 @@ RULES = [(re.compile(p), new) for p, new in (
     (PUNCTUATION, r" \1 "), (PERIOD_AFTER_NON_DIGIT, r"\1 \2 "), (PERIOD_BEFORE_NON_DIGIT, r" \1 \2"), (DASH_AFTER_DIGIT, r"\1 \2 "))]
 ROWS = 1000  # rows of an Arrow batch that are Python objects at a time
 CHUNK = 1 << 17  # bytes of text whose n-grams are counted at a time
+WORDS = 1 << 14  # words of texts that are left out at a time
 FOLLOW = 4  # texts in a row that change little from one to the next are counted by their changes
 
 
@@ -368,60 +368,109 @@ def _left(n: Column, order: int) -> Column:
     return F.greatest(n - (order - 1), F.lit(0)).cast("long")
 
 
-def with_bleu_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """Add the row statistics of BLEU: matches and totals per order, both lengths."""
+@F.arrow_udf(LONGS)
+def _some_overlaps(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """The statistics of the rows that have texts; the others have none."""
+    some = pc.is_valid(hyp)
+    if not pc.any(some).as_py():
+        return pa.nulls(len(hyp), pa.list_(pa.int64()))
+    found = _token_overlaps.func(hyp.filter(some), ref.filter(some))
+    return found.take(pc.if_else(some, pa.array(np.cumsum(some.to_numpy(zero_copy_only=False)) - 1), None))
+
+
+def with_bleu_stats(df: DataFrame, ref: str, hyp: str, known: Column | None = None) -> DataFrame:
+    """Add the row statistics of BLEU: matches and totals per order, both lengths.
+
+    Rows whose statistics are ``known`` (null where not) do not send their texts to be counted.
+    """
     text = [F.coalesce(F.col(c), F.lit("")) for c in (hyp, ref)]
-    return df.withColumn("_m", _token_overlaps(*text)).withColumns(bleu_columns(F.col("_m"))).drop("_m")
+    if known is None:
+        return df.withColumn("_m", _token_overlaps(*text)).withColumns(bleu_columns(F.col("_m"))).drop("_m")
+    rows = df.withColumn("_k", known)
+    rows = rows.withColumn("_t", F.when(F.col("_k").isNull(), F.struct(text[0].alias("hyp"), text[1].alias("ref"))))
+    rows = rows.withColumn("_m", F.coalesce(F.col("_k"), _some_overlaps(F.col("_t.hyp"), F.col("_t.ref"))))
+    return rows.withColumns(bleu_columns(F.col("_m"))).drop("_m", "_k", "_t")
 
 
 LEFT_OUT = T.ArrayType(T.StructType([T.StructField("removed_index", T.IntegerType()), T.StructField("stats", LONGS)]))
 
 
-def left_out_overlaps(words_: list[list[str]], ref: list[str]) -> Iterator[tuple[int, list[int]]]:
-    """For each word left out of a text (a word may be several tokens): matches with the reference per order, and both lengths.
+def left_out_matches(ids: np.ndarray, count: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """For each word left out of its text: clipped n-gram matches with the reference per order, and tokens of both sides; one line a word.
 
-    Only the n-grams that hold a token of the word go, and only those across the gap come, so a word costs the order and not the text.
+    ``ids`` are the tokens of all words of all texts and then of all references, end to end, ``count`` how many each word and each reference
+    has, ``words_`` how many words each text has.  Only the n-grams that hold a token of the word go, and only those across the gap
+    come, so a word costs the order and not the text.  An n-gram is its first n - 1 tokens, as a number, and its last one; the row is part
+    of the first.
     """
-    flat, edge = [t for w in words_ for t in w], [0]
-    for w in words_:
-        edge.append(edge[-1] + len(w))
-    total, orders = len(flat), range(1, BLEU_ORDER + 1)
-    have = {n: Counter(tuple(flat[j:j + n]) for j in range(total - n + 1)) for n in orders}
-    want = {n: Counter(tuple(ref[j:j + n]) for j in range(len(ref) - n + 1)) for n in orders}
-    whole = {n: sum(min(c, want[n][g]) for g, c in have[n].items() if g in want[n]) for n in orders}
-    for i, (a, b) in enumerate(zip(edge, edge[1:])):
-        row = []
-        for n in orders:
-            change: dict[tuple, int] = {}
-            for j in range(max(0, a - n + 1), min(b, total - n + 1)):
-                g = tuple(flat[j:j + n])
-                change[g] = change.get(g, 0) - 1
-            near = flat[max(0, a - n + 1):a] + flat[b:b + n - 1]
-            for j in range(len(near) - n + 1):
-                g = tuple(near[j:j + n])
-                change[g] = change.get(g, 0) + 1
-            row.append(whole[n] + sum(min(have[n][g] + d, want[n][g]) - min(have[n][g], want[n][g]) for g, d in change.items() if g in want[n]))
-        yield i, [*row, total - (b - a), len(ref)]
+    rows, total = len(words_), int(words_.sum())
+    row = np.repeat(np.arange(rows), words_)
+    stop = np.cumsum(count[:total])
+    start = stop - count[:total]
+    size = np.bincount(row, count[:total], rows).astype(np.int64)
+    last = np.cumsum(size)
+    end, begin = last[row], (last - size)[row]
+    hyp, ref = ids[:len(ids) - int(count[total:].sum())], ids[len(ids) - int(count[total:].sum()):]
+    hyp_row, ref_row = np.repeat(row, count[:total]), np.repeat(np.arange(rows), count[total:])
+    hyp_end, ref_end = last[hyp_row], np.cumsum(count[total:])[ref_row]
+    most = int(ids.max(initial=0)) + 1
+    some = stop > start  # a word without tokens changes nothing
+    out = np.empty((total, BLEU_ORDER + 2), np.int64)
+    out[:, BLEU_ORDER], out[:, BLEU_ORDER + 1] = size[row] - count[:total], count[total:][row]
+    h, r, gap = hyp_row, ref_row, {}  # the first n - 1 tokens at each place; a gap's, by the tokens before it
+    for n in range(1, BLEU_ORDER + 1):
+        in_hyp, in_ref = np.flatnonzero(np.arange(len(hyp)) + n <= hyp_end), np.flatnonzero(np.arange(len(ref)) + n <= ref_end)
+        keys = [h[in_hyp] * most + hyp[in_hyp + n - 1], r[in_ref] * most + ref[in_ref + n - 1]]
+        across = [np.flatnonzero(some & (start - u >= begin) & (stop + n - u <= end)) for u in range(1, n)]
+        for u, k in enumerate(across, 1):
+            keys.append((gap[u][k] if n - u > 1 else h[start[k] - u]) * most + hyp[stop[k] + n - u - 1])
+        grams, number = np.unique(np.concatenate(keys), return_inverse=True)
+        number = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+        h, r, gap = np.zeros(len(hyp), np.int64), np.zeros(len(ref), np.int64), {u: np.zeros(total, np.int64) for u in range(1, n + 1)}
+        h[in_hyp], r[in_ref] = number[0], number[1]
+        for u, k in enumerate(across, 1):
+            gap[u][k] = number[u + 1]
+        have, want = np.bincount(number[0], minlength=len(grams)), np.bincount(number[1], minlength=len(grams))
+        of = np.zeros(len(grams), np.int64)
+        of[number[0]] = hyp_row[in_hyp]
+        both = np.minimum(have, want)
+        whole = np.bincount(of, both, rows).astype(np.int64)
+        # (word, n-gram): how many fewer or more there are without the word
+        low = np.maximum(begin, start - n + 1)
+        gone = np.where(some, np.maximum(np.minimum(stop, end - n + 1) - low, 0), 0)
+        word = np.repeat(np.arange(total), gone)
+        place = np.arange(len(word)) + np.repeat(low - (np.cumsum(gone) - gone), gone)
+        word, gram = np.concatenate([word, *across]), np.concatenate([h[place], *number[2:]])
+        by = np.where(np.arange(len(word)) < len(place), -1, 1)
+        kept = np.flatnonzero(want[gram] > 0)
+        pair, which = np.unique(word[kept] * len(grams) + gram[kept], return_inverse=True)
+        by = np.bincount(which, by[kept], len(pair)).astype(np.int64)
+        word, gram = np.divmod(pair, max(len(grams), 1))
+        out[:, n - 1] = whole[row] + np.bincount(word, np.minimum(have[gram] + by, want[gram]) - both[gram], total).astype(np.int64)
+    return out
 
 
 @F.arrow_udf(LEFT_OUT)
 def _left_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for tokens, ref in batches:
-        for at in range(0, len(ref), ROWS):  # a word's statistics are plain numbers, and as many rows' at a time
-            index, stats, ends = array("i"), array("q"), [0]
-            for ws, r in zip(tokens.slice(at, ROWS).to_pylist(), ref.slice(at, ROWS).to_pylist(), strict=True):
-                for i, s in left_out_overlaps([w.split() for w in ws], r.split()):
-                    index.append(i)
-                    stats.extend(s)
-                ends.append(len(index))
-            each = pa.StructArray.from_arrays([pa.array(np.asarray(index, np.int32)), _lists_of(np.asarray(stats, np.int64).reshape(len(index), BLEU_ORDER + 2))],
-                                              ["removed_index", "stats"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+    for texts, refs in batches:
+        for at in range(0, len(refs), ROWS):  # a word's statistics are plain numbers, and as many rows' at a time
+            some, ref = texts.slice(at, ROWS), pc.fill_null(refs.slice(at, ROWS), "")
+            words_ = pc.fill_null(pc.list_value_length(some), 0).to_numpy().astype(np.int64)
+            flat, edge = pc.fill_null(some.flatten(), ""), np.concatenate([[0], np.cumsum(words_)])
+            run = np.cumsum(words_ + pc.binary_length(ref).to_numpy() // 4) // WORDS
+            cut = np.flatnonzero(np.diff(run)) + 1
+            stats = np.empty((edge[-1], BLEU_ORDER + 2), np.int64)
+            for a, b in zip([0, *cut], [*cut, len(words_)]):
+                texts_ = pa.concat_arrays([flat.slice(edge[a], edge[b] - edge[a]), ref.slice(a, b - a)])
+                stats[edge[a]:edge[b]] = left_out_matches(*_token_numbers(texts_), words_[a:b])
+            index = np.arange(edge[-1]) - np.repeat(edge[:-1], words_)
+            each = pa.StructArray.from_arrays([pa.array(index, pa.int32()), _lists_of(stats)], ["removed_index", "stats"])
+            yield pa.ListArray.from_arrays(pa.array(edge, pa.int32()), each)
 
 
 def left_out_stats(words_: Column, ref: Column) -> Column:
     """array<struct<removed_index, stats>>: the row statistics of BLEU of a text's words (an array) without each of them."""
-    return _left_out(F.transform(words_, tokens_13a), tokens_13a(ref))
+    return _left_out(words_, ref)
 
 
 def bleu_columns(stats: Column) -> dict[str, Column]:

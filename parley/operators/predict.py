@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parley.functions import metrics as M
@@ -139,13 +142,41 @@ def repeat_stats(scores: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     )
 
 
-def leave_one_out(df: DataFrame, text: str, max_words: int | None = None, out: str = "ablated") -> DataFrame:
-    """One row per left-out word (of the first ``max_words``, if given): (…, removed_index, removed_word, ablated text); texts of one word give none."""
-    ws = F.split(strip(F.col(text)), f"{SPACE}+")
-    rows = df.withColumn("_w", ws).filter(F.size("_w") >= 2)
-    rows = rows.select("*", F.posexplode(F.slice("_w", 1, max_words) if max_words else F.col("_w")).alias("removed_index", "removed_word"))
-    i = F.col("removed_index")
-    return rows.withColumn(out, F.concat_ws(" ", F.slice("_w", 1, i), F.slice("_w", i + 2, F.size("_w")))).drop("_w")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _places(words_: pa.Array) -> pa.Array:
+    """The byte at which each word begins in its text, the words joined by single spaces."""
+    count = pc.fill_null(pc.list_value_length(words_), 0).to_numpy().astype(np.int64)
+    size = pc.binary_length(words_.flatten()).to_numpy().astype(np.int64) + 1
+    begin, edge = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(count)])
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(begin[:-1] - np.repeat(begin[edge[:-1]], count), pa.int32()))
+
+
+def _words_of(text: Column) -> Column:
+    return F.split(strip(text), f"{SPACE}+")
+
+
+def _joined(words_: Column) -> Column:
+    """The words with single spaces as bytes, which are cut without a look at the letters before the place."""
+    return F.concat_ws(" ", words_).cast("binary")
+
+
+def _without(joined: Column, place: Column, word: Column) -> Column:
+    """The joined text without the word at a place, nor the space behind it (before it, if it is the last)."""
+    size, gone = F.octet_length(joined), F.octet_length(word) + 1
+    return F.concat(F.substring(joined, F.lit(1), F.least(place, size - gone)), F.substring(joined, place + gone + 1, size)).cast("string")
+
+
+def leave_one_out(df: DataFrame, text: str, max_words: int | None = None, out: str = "ablated", along: Sequence[str] = ()) -> DataFrame:
+    """One row per left-out word (of the first ``max_words``, if given): (…, removed_index, removed_word, ablated text); texts of one word give none.
+
+    Array columns ``along`` have a value a word, of which a row gets its own (null where there are fewer).
+    """
+    rows = df.withColumn("_w", _words_of(F.col(text))).filter(F.size("_w") >= 2).withColumns({"_p": _places("_w"), "_j": _joined(F.col("_w"))})
+    most = F.least(F.size("_w"), F.lit(max_words)) if max_words else F.size("_w")
+    each = F.posexplode(F.slice(F.arrays_zip("_w", "_p", *along), 1, most)).alias("removed_index", "_e")
+    rows = rows.select("*", each).withColumns({
+        "removed_word": F.col("_e._w"), out: _without(F.col("_j"), F.col("_e._p"), F.col("_e._w")), **{c: F.col("_e")[c] for c in along}})
+    return rows.drop("_w", "_p", "_j", "_e")
 
 
 def ablation_delta(
@@ -156,15 +187,23 @@ def ablation_delta(
 
     ``predict(df, source_column, out_column)`` adds the model's answer.  The score of the full
     text is computed once per row and travels with it, so the difference needs no join.
+
+    The BLEU statistics of the full answer without each of its words come from count changes, once per row.  An answer that is, byte by
+    byte, one of these has its statistics; any other answer is counted for itself.
     """
     score = sentence_chrf if metric == "chrf" else sentence_bleu
     name = f"sentence_{metric}"
     base = predict(df.select(*keys, source, ref), source, "_full")
-    full = score(base, ref, "_full").withColumnRenamed(name, "full_score").drop("_full")
-    each = predict(leave_one_out(full, source, max_words), "ablated", "_part")
-    return score(each, ref, "_part").select(
-        *keys, "removed_index", "removed_word", "full_score", (F.col("full_score") - F.col(name)).alias("delta")
-    )
+    full = score(base, ref, "_full").withColumnRenamed(name, "full_score")
+    if metric == "chrf":
+        each = score(predict(leave_one_out(full.drop("_full"), source, max_words), "ablated", "_part"), ref, "_part")
+    else:
+        full = full.withColumn("_a", _words_of(F.coalesce("_full", F.lit(""))))
+        full = full.withColumns({"_at": _places("_a"), "_known": M.left_out_stats(F.col("_a"), F.col(ref)), "_joined": _joined(F.col("_a"))}).drop("_full")
+        each = predict(leave_one_out(full, source, max_words, along=["_a", "_at", "_known"]), "ablated", "_part")
+        known = F.when(F.col("_part") == _without(F.col("_joined"), F.col("_at"), F.col("_a")), F.col("_known.stats"))
+        each = sentence_bleu(each, ref, "_part", known)
+    return each.select(*keys, "removed_index", "removed_word", "full_score", (F.col("full_score") - F.col(name)).alias("delta"))
 
 
 def word_ablation_delta(df: DataFrame, keys: Sequence[str], answer: Callable[[Column], Column], source: str, ref: str) -> DataFrame:
@@ -173,8 +212,7 @@ def word_ablation_delta(df: DataFrame, keys: Sequence[str], answer: Callable[[Co
     The answer without a word is then the answer's other words, so the scores come from the changes of the n-gram counts around the gap: a
     text costs its length, not the square of it, and no text but the full one is made.
     """
-    ws = F.split(strip(F.col(source)), f"{SPACE}+")
-    rows = df.select(*keys, source, ref, ws.alias("_w")).withColumn("_full", answer(F.col(source)))
+    rows = df.select(*keys, source, ref, _words_of(F.col(source)).alias("_w")).withColumn("_full", answer(F.col(source)))
     full = sentence_bleu(rows, ref, "_full").withColumnRenamed("sentence_bleu", "full_score").filter(F.size("_w") >= 2)
     each = full.withColumn("_o", F.explode(M.left_out_stats(F.transform("_w", answer), F.col(ref))))
     scored = each.withColumns(M.bleu_columns(F.col("_o.stats"))).withColumn("_part", M.bleu_score(effective_order=True))

@@ -33,9 +33,9 @@ def token_f1(df: DataFrame, by: Sequence[str] = (), ref: str = "ref", hyp: str =
     )
 
 
-def sentence_bleu(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Add ``sentence_bleu`` to every row; nothing is shuffled."""
-    scored = M.with_bleu_stats(df, ref, hyp).withColumn("sentence_bleu", M.bleu_score(effective_order=True))
+def sentence_bleu(df: DataFrame, ref: str = "ref", hyp: str = "hyp", known: Column | None = None) -> DataFrame:
+    """Add ``sentence_bleu`` to every row; nothing is shuffled.  Rows with ``known`` statistics need no count."""
+    scored = M.with_bleu_stats(df, ref, hyp, known).withColumn("sentence_bleu", M.bleu_score(effective_order=True))
     return scored.drop(*M.BLEU_STATS)
 
 
